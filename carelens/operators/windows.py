@@ -80,7 +80,7 @@ def running_share(df: DataFrame, value: str, order: list[Column]) -> DataFrame:
     upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = Window.partitionBy()
     return (df.withColumn("cum_count", F.sum(value).over(upto))
-              .withColumn("cum_pct", F.col("cum_count") * 100.0 / F.sum(value).over(total)))
+              .withColumn("cum_pct", F.col("cum_count") / F.sum(value).over(total) * 100.0))
 
 
 def lag_trend(df: DataFrame, value: str, keys: list[str], order: str,

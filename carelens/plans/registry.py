@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from carelens.plans import kpi
+from carelens.plans import governance, kpi
 from carelens.sources.adapters import care_tables
 
 _PLANS = [
     kpi.kpi1_readmission_rate, kpi.kpi2_alos_variance, kpi.kpi3_measure_scorecard,
     kpi.kpi4_composite_score, kpi.kpi5_ed_utilization, kpi.kpi5_ed_rollup, kpi.kpi6_monthly_volume,
+    governance.gov1_issue_summary, governance.gov2_sla_breach, governance.gov3_source_scorecard,
+    governance.gov4_orphans, governance.gov5_completeness, governance.gov6_monthly_trend,
+    governance.sla_compliance, governance.spc_weekly_issues, governance.pareto_issue_types,
+    governance.quality_measure_derivation, governance.lab_reference_flags, governance.load_report,
 ]
 
 
