@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from carelens.plans import governance, kpi
+from carelens.plans import governance, kpi, statistics, survey
 from carelens.sources.adapters import care_tables
 
 _PLANS = [
@@ -16,6 +16,12 @@ _PLANS = [
     governance.gov4_orphans, governance.gov5_completeness, governance.gov6_monthly_trend,
     governance.sla_compliance, governance.spc_weekly_issues, governance.pareto_issue_types,
     governance.quality_measure_derivation, governance.lab_reference_flags, governance.load_report,
+    survey.srv1_domain_summary, survey.srv2_topbox_by_quarter, survey.srv3_domain_correlation,
+    survey.srv4_satisfaction_outcomes, survey.srv5_low_score_followup, survey.survey_domain_stats,
+    survey.survey_monthly_trend, survey.survey_corr_matrix, survey.survey_quartile_outcomes,
+    survey.survey_cms_submission,
+    statistics.ttest_los_readmission, statistics.ttest_rating_readmission,
+    statistics.pearson_rating_los, statistics.significance_pvalues,
 ]
 
 
