@@ -34,3 +34,11 @@ def flag(cond: Column) -> Column:
 def count_when(cond: Column) -> Column:
     """SUM(CASE WHEN cond THEN 1 ELSE 0 END): BIGINT, NULL over zero rows."""
     return F.sum(F.when(cond, F.lit(1)).otherwise(F.lit(0))).cast("bigint")
+
+
+def round_clean(x, scale: int, guard: int = 8) -> Column:
+    """Round a value derived from exact decimals (4-dp rates times 100, means of
+    them) to ``scale`` digits after first rounding away binary noise at ``guard``
+    digits, so 0.5385 * 100 (= 53.849999...) reports 53.9 as decimal
+    arithmetic does."""
+    return F.round(F.round(_c(x), guard), scale)

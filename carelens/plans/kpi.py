@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from carelens.functions.dates import month_label, quarter_label, window_start
-from carelens.functions.numeric import count_when, pct
+from carelens.functions.numeric import count_when, pct, round_clean
 from carelens.functions.tiers import at_least, at_most
 from carelens.operators.windows import latest_rows, top_distinct
 from carelens.sources.adapters import CareTables
@@ -70,9 +70,9 @@ def kpi3_measure_scorecard(t: CareTables) -> DataFrame:
     rank = F.rank().over(Window.partitionBy("measure").orderBy(F.col("performance_rate").desc()))
     return (latest
             .select("department", "measure", "quarter",
-                    F.round(F.col("performance_rate") * 100, 1).alias("performance_pct"),
-                    F.round(F.col("national_benchmark") * 100, 1).alias("benchmark_pct"),
-                    F.round(F.col("gap_to_benchmark") * 100, 1).alias("gap_pct"),
+                    round_clean(F.col("performance_rate") * 100, 1).alias("performance_pct"),
+                    round_clean(F.col("national_benchmark") * 100, 1).alias("benchmark_pct"),
+                    round_clean(F.col("gap_to_benchmark") * 100, 1).alias("gap_pct"),
                     "numerator", "denominator",
                     rank.alias("dept_rank"),
                     at_least("gap_to_benchmark", MEASURE_TIERS, MEASURE_TIER_ELSE).alias("performance_tier"))
@@ -85,9 +85,9 @@ def kpi4_composite_score(t: CareTables, n_quarters: int = 4) -> DataFrame:
     recent = qm.join(top_distinct(qm, "quarter", n_quarters), "quarter", "left_semi")
     return (recent.groupBy("department")
                   .agg(F.countDistinct("measure").alias("measures_tracked"),
-                       F.round(F.avg("performance_rate") * 100, 1).alias("composite_score_pct"),
-                       F.round(F.avg("national_benchmark") * 100, 1).alias("avg_benchmark_pct"),
-                       F.round(F.avg("gap_to_benchmark") * 100, 1).alias("avg_gap_pct"),
+                       round_clean(F.avg("performance_rate") * 100, 1).alias("composite_score_pct"),
+                       round_clean(F.avg("national_benchmark") * 100, 1).alias("avg_benchmark_pct"),
+                       round_clean(F.avg("gap_to_benchmark") * 100, 1).alias("avg_gap_pct"),
                        count_when(F.col("gap_to_benchmark") >= 0).alias("measures_meeting_benchmark"),
                        count_when(F.col("gap_to_benchmark") < 0).alias("measures_below_benchmark"))
                   .orderBy(F.col("composite_score_pct").desc()))

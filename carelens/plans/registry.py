@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from carelens.plans import governance, kpi, statistics, survey
+from carelens.plans import eda, exports, governance, kpi, statistics, survey
 from carelens.sources.adapters import care_tables
 
 _PLANS = [
@@ -22,6 +22,9 @@ _PLANS = [
     survey.survey_cms_submission,
     statistics.ttest_los_readmission, statistics.ttest_rating_readmission,
     statistics.pearson_rating_los, statistics.significance_pvalues,
+    eda.eda_describe, eda.eda_frequency, eda.eda_age_histogram, eda.eda_monthly_encounters,
+    eda.eda_measure_heatmap, eda.eda_readmission_by_dept, eda.eda_measure_trend, eda.eda_lab_rates,
+    exports.bi_quality_export, exports.qm_trend_direction, exports.hours_allocation,
 ]
 
 
