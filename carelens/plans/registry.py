@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from carelens.plans import eda, exports, governance, kpi, statistics, survey
+from carelens.plans import eda, exports, governance, kpi, modeling, statistics, survey
 from carelens.sources.adapters import care_tables
 
 _PLANS = [
@@ -25,6 +25,10 @@ _PLANS = [
     eda.eda_describe, eda.eda_frequency, eda.eda_age_histogram, eda.eda_monthly_encounters,
     eda.eda_measure_heatmap, eda.eda_readmission_by_dept, eda.eda_measure_trend, eda.eda_lab_rates,
     exports.bi_quality_export, exports.qm_trend_direction, exports.hours_allocation,
+    modeling.readmission_features, modeling.readmission_split, modeling.readmission_model_auc,
+    modeling.readmission_importance, modeling.readmission_risk_tiers,
+    modeling.score_auc, modeling.score_roc, modeling.score_confusion, modeling.score_report,
+    modeling.score_risk_tiers,
 ]
 
 
