@@ -2,9 +2,9 @@
 
 Each operator reduces its input with built-in aggregate functions (partial
 aggregation before the shuffle, one row or one row per group out), then
-derives the statistic with column arithmetic. Inputs may carry a ``weight``
-column (rows pre-aggregated per key before a join); moments then come from
-weighted sums.
+derives the statistic with column arithmetic. The ``*_from_sums`` forms take
+partial sums per row, so inputs can be pre-aggregated per join key before a
+join (one row per key) and the statistic still comes out exact.
 """
 
 from __future__ import annotations
@@ -14,9 +14,7 @@ from pyspark.sql import functions as F
 
 from carelens.functions.numeric import ratio
 
-
-def _w(weight: str | None) -> Column:
-    return F.col(weight).cast("double") if weight else F.lit(1.0)
+_REL_EPS = 1e-12
 
 
 def control_limits(df: DataFrame, value: str, sigma: float = 3.0, scale: int = 4) -> DataFrame:
@@ -36,25 +34,26 @@ def control_limits(df: DataFrame, value: str, sigma: float = 3.0, scale: int = 4
                      F.coalesce((v > ucl) | (v < lcl), F.lit(False)).alias("out_of_control"))
 
 
-def pooled_ttest(df: DataFrame, value: str, group: str, weight: str | None = None,
-                 scale: int = 4) -> DataFrame:
-    """Two-sample pooled-variance t statistic of ``value`` between group = 1 and group = 0.
+def ttest_from_sums(df: DataFrame, group: str, n: str, s: str, q: str, scale: int = 4) -> DataFrame:
+    """Pooled-variance two-sample t statistic from per-row partial sums
+    (n = count, s = sum of x, q = sum of x^2) of group = 1 against group = 0.
 
-    One row: n_1, n_0, mean_1, mean_0, t_stat, dof. NULL values are left out;
-    a group with fewer than two rows gives a NULL statistic."""
-    x, w = F.col(value), _w(weight)
+    Rows may be pre-aggregated (e.g. one row per encounter); the statistic only
+    needs the three sums per group. One row: n_1, n_0, mean_1, mean_0, t_stat, dof;
+    a group with fewer than two values gives a NULL statistic."""
     sums = []
     for g in (1, 0):
-        inside = (F.col(group) == g) & x.isNotNull()
-        sums += [F.sum(F.when(inside, w)).alias(f"n{g}"),
-                 F.sum(F.when(inside, w * x)).alias(f"s{g}"),
-                 F.sum(F.when(inside, w * x * x)).alias(f"q{g}")]
+        inside = F.col(group) == g
+        sums += [F.sum(F.when(inside, F.col(n))).alias(f"n{g}"),
+                 F.sum(F.when(inside, F.col(s))).alias(f"s{g}"),
+                 F.sum(F.when(inside, F.col(q))).alias(f"q{g}")]
     m = df.agg(*sums)
     for g in (1, 0):
-        n, s, q = F.col(f"n{g}"), F.col(f"s{g}"), F.col(f"q{g}")
-        m = m.withColumn(f"mean{g}", ratio(s, n)) \
-             .withColumn(f"var{g}", F.try_divide(q - s * s / n, n - 1))
-    n1, n0 = F.coalesce(F.col("n1"), F.lit(0.0)), F.coalesce(F.col("n0"), F.lit(0.0))
+        cn, cs, cq = F.col(f"n{g}").cast("double"), F.col(f"s{g}"), F.col(f"q{g}")
+        m = m.withColumn(f"mean{g}", ratio(cs, cn)) \
+             .withColumn(f"var{g}", F.try_divide(cq - cs * cs / cn, cn - 1))
+    n1 = F.coalesce(F.col("n1"), F.lit(0)).cast("double")
+    n0 = F.coalesce(F.col("n0"), F.lit(0)).cast("double")
     dof = n1 + n0 - 2
     sp2 = F.try_divide((n1 - 1) * F.col("var1") + (n0 - 1) * F.col("var0"), dof)
     t = F.try_divide(F.col("mean1") - F.col("mean0"), F.sqrt(sp2 * (F.lit(1.0) / n1 + F.lit(1.0) / n0)))
@@ -63,25 +62,37 @@ def pooled_ttest(df: DataFrame, value: str, group: str, weight: str | None = Non
                     F.round(t, scale).alias("t_stat"), dof.cast("bigint").alias("dof"))
 
 
-def pearson(df: DataFrame, x: str, y: str, weight: str | None = None, scale: int = 4) -> DataFrame:
-    """Pearson r over rows where both values are present, with n and the t statistic
+def pooled_ttest(df: DataFrame, value: str, group: str, scale: int = 4) -> DataFrame:
+    """Pooled-variance t statistic of ``value`` between group = 1 and group = 0 (NULLs left out)."""
+    x = F.col(value)
+    rows = df.where(x.isNotNull()).select(group, F.lit(1).alias("_n"), x.alias("_s"), (x * x).alias("_q"))
+    return ttest_from_sums(rows, group, "_n", "_s", "_q", scale)
+
+
+def pearson_from_sums(df: DataFrame, n: str, sx: str, sy: str, sxx: str, syy: str, sxy: str,
+                      scale: int = 4) -> DataFrame:
+    """Pearson r from partial sums over complete pairs, with n and the t statistic
     t = r * sqrt((n - 2) / (1 - r^2)). One row: n, r, t_stat, dof."""
-    cx, cy, w = F.col(x), F.col(y), _w(weight)
-    both = cx.isNotNull() & cy.isNotNull()
-    m = df.agg(F.sum(F.when(both, w)).alias("n"),
-               F.sum(F.when(both, w * cx)).alias("sx"), F.sum(F.when(both, w * cy)).alias("sy"),
-               F.sum(F.when(both, w * cx * cx)).alias("sxx"), F.sum(F.when(both, w * cy * cy)).alias("syy"),
-               F.sum(F.when(both, w * cx * cy)).alias("sxy"))
-    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
-    cov = F.col("sxy") - sx * sy / n
-    vx, vy = F.col("sxx") - sx * sx / n, F.col("syy") - sy * sy / n
+    m = df.agg(*[F.sum(c).alias(a) for c, a in
+                 [(n, "n"), (sx, "sx"), (sy, "sy"), (sxx, "sxx"), (syy, "syy"), (sxy, "sxy")]])
+    cn, csx, csy = F.col("n").cast("double"), F.col("sx"), F.col("sy")
+    cov = F.col("sxy") - csx * csy / cn
+    vx, vy = F.col("sxx") - csx * csx / cn, F.col("syy") - csy * csy / cn
     r = F.try_divide(cov, F.sqrt(vx * vy))
     m = m.withColumn("r", F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r)))
-    t = F.col("r") * F.sqrt(F.try_divide(n - 2, F.lit(1.0) - F.col("r") * F.col("r")))
-    return m.select(F.coalesce(n, F.lit(0.0)).cast("bigint").alias("n"),
-                    F.round("r", scale).alias("r"),
-                    F.round(t, scale).alias("t_stat"),
-                    (F.coalesce(n, F.lit(0.0)) - 2).cast("bigint").alias("dof"))
+    t = F.col("r") * F.sqrt(F.try_divide(cn - 2, F.lit(1.0) - F.col("r") * F.col("r")))
+    n0 = F.coalesce(F.col("n"), F.lit(0)).cast("bigint")
+    return m.select(n0.alias("n"), F.round("r", scale).alias("r"), F.round(t, scale).alias("t_stat"),
+                    (n0 - 2).alias("dof"))
+
+
+def pearson(df: DataFrame, x: str, y: str, scale: int = 4) -> DataFrame:
+    """Pearson r of two columns over rows where both are present."""
+    cx, cy = F.col(x), F.col(y)
+    rows = df.where(cx.isNotNull() & cy.isNotNull()).select(
+        F.lit(1).alias("_n"), cx.alias("_sx"), cy.alias("_sy"), (cx * cx).alias("_sxx"),
+        (cy * cy).alias("_syy"), (cx * cy).alias("_sxy"))
+    return pearson_from_sums(rows, "_n", "_sx", "_sy", "_sxx", "_syy", "_sxy", scale)
 
 
 def available_case_correlation(df: DataFrame, xs: list[str], y: str, scale: int = 4) -> DataFrame:
@@ -118,28 +129,47 @@ def available_case_correlation(df: DataFrame, xs: list[str], y: str, scale: int
 
 def pairwise_correlation_matrix(df: DataFrame, cols: list[str], scale: int = 4) -> DataFrame:
     """Full correlation matrix, each pair over its complete rows (pandas ``corr``),
-    in long form (domain_a, domain_b, correlation, lower_triangle). One pass; a
-    constant column gives NULL instead of a division error."""
-    aggs, cells = [], []
+    in long form (domain_a, domain_b, correlation, lower_triangle).
+
+    One pass of plain sums (count, sums, sums of squares and of products per
+    pair over complete pairs): cheap, map-side combinable aggregates. A constant
+    column gives NULL instead of a division error. Values on a bounded scale
+    (survey ratings) keep the sums well conditioned."""
+    aggs = []
     for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            if j > i:
-                continue
-            ca, cb = F.col(a), F.col(b)
+        ca = F.col(a)
+        aggs += [F.count(ca).alias(f"n_{i}"), F.sum(ca).alias(f"s_{i}"), F.sum(ca * ca).alias(f"q_{i}")]
+        for j, b in enumerate(cols[:i]):
+            cb = F.col(b)
             both = ca.isNotNull() & cb.isNotNull()
-            aggs += [F.covar_pop(ca, cb).alias(f"c_{i}_{j}"),
-                     F.var_pop(F.when(both, ca)).alias(f"va_{i}_{j}"),
-                     F.var_pop(F.when(both, cb)).alias(f"vb_{i}_{j}")]
+            aggs += [F.count(F.when(both, F.lit(1))).alias(f"n_{i}_{j}"),
+                     F.sum(F.when(both, ca)).alias(f"sa_{i}_{j}"), F.sum(F.when(both, cb)).alias(f"sb_{i}_{j}"),
+                     F.sum(F.when(both, ca * ca)).alias(f"qa_{i}_{j}"),
+                     F.sum(F.when(both, cb * cb)).alias(f"qb_{i}_{j}"),
+                     F.sum(ca * cb).alias(f"x_{i}_{j}")]
     one = df.agg(*aggs)
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            lo, hi = max(i, j), min(i, j)
-            den = F.sqrt(F.col(f"va_{lo}_{hi}") * F.col(f"vb_{lo}_{hi}"))
-            r = F.try_divide(F.col(f"c_{lo}_{hi}"), F.when(den > 0, den))
-            cells.append(F.struct(F.lit(a).alias("domain_a"), F.lit(b).alias("domain_b"),
-                                  F.round(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r)), scale)
-                                  .alias("correlation"),
-                                  F.lit(j <= i).alias("lower_triangle")))
+
+    def centered(q, s_, n):
+        # sum of squared deviations; rounding noise of a constant column counts as 0
+        v = q - s_ * s_ / n
+        return F.when(v > F.lit(_REL_EPS) * q, v)
+
+    def corr_cell(i, j):
+        if i == j:
+            n, s_, q = F.col(f"n_{i}").cast("double"), F.col(f"s_{i}"), F.col(f"q_{i}")
+            return F.when(centered(q, s_, n).isNotNull(), F.lit(1.0))
+        hi, lo = max(i, j), min(i, j)
+        n = F.col(f"n_{hi}_{lo}").cast("double")
+        sa, sb = F.col(f"sa_{hi}_{lo}"), F.col(f"sb_{hi}_{lo}")
+        cov = F.col(f"x_{hi}_{lo}") - sa * sb / n
+        den = F.sqrt(centered(F.col(f"qa_{hi}_{lo}"), sa, n) * centered(F.col(f"qb_{hi}_{lo}"), sb, n))
+        return F.try_divide(cov, den)
+
+    cells = [F.struct(F.lit(a).alias("domain_a"), F.lit(b).alias("domain_b"),
+                      F.round(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), corr_cell(i, j))), scale)
+                      .alias("correlation"),
+                      F.lit(j <= i).alias("lower_triangle"))
+             for i, a in enumerate(cols) for j, b in enumerate(cols)]
     return one.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
 
 

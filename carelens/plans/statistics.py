@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from carelens.functions.pvalue import t_p_value
 from carelens.operators.quality import union_all
-from carelens.operators.stats import pearson, pooled_ttest
-from carelens.plans.survey import OVERALL, ratings_per_encounter
+from carelens.operators.stats import pearson_from_sums, pooled_ttest, ttest_from_sums
+from carelens.plans.survey import OVERALL, rating_moments_per_encounter
 from carelens.sources.adapters import CareTables
 from carelens.sources.dimensions import SIGNIFICANCE_ALPHA
 
@@ -22,18 +22,22 @@ def _ttest_los(t: CareTables, scale: int) -> DataFrame:
 
 
 def _rated_encounters(t: CareTables, cols: list[str]) -> DataFrame:
-    rated = ratings_per_encounter(t).where(F.col(OVERALL).isNotNull())
-    return rated.join(t.encounters.select("encounter_id", *cols), "encounter_id", "inner")
+    """Per-encounter rating sums (n, sx, sxx) joined 1:1 to encounter columns."""
+    return rating_moments_per_encounter(t).join(t.encounters.select("encounter_id", *cols),
+                                                "encounter_id", "inner")
 
 
 def _ttest_rating(t: CareTables, scale: int) -> DataFrame:
-    return pooled_ttest(_rated_encounters(t, ["readmission_30d"]), OVERALL, "readmission_30d",
-                        weight="w", scale=scale)
+    return ttest_from_sums(_rated_encounters(t, ["readmission_30d"]), "readmission_30d",
+                           "n", "sx", "sxx", scale=scale)
 
 
 def _pearson(t: CareTables, scale: int) -> DataFrame:
-    return pearson(_rated_encounters(t, ["length_of_stay"]), OVERALL, "length_of_stay",
-                   weight="w", scale=scale)
+    j = _rated_encounters(t, ["length_of_stay"]).where(F.col("length_of_stay").isNotNull())
+    y = F.col("length_of_stay")
+    j = j.select("n", "sx", "sxx", (F.col("n") * y).alias("sy"), (F.col("n") * y * y).alias("syy"),
+                 (F.col("sx") * y).alias("sxy"))
+    return pearson_from_sums(j, "n", "sx", "sy", "sxx", "syy", "sxy", scale=scale)
 
 
 def ttest_los_readmission(t: CareTables) -> DataFrame:

@@ -1,10 +1,11 @@
 """Patient-survey analyses: domain scores, top-box rates, correlations,
 satisfaction versus clinical outcomes, follow-up lists and the CMS summary.
 
-Joins of surveys to encounters first reduce the surveys to one row per
-(encounter, rating) with a count. Partial aggregation happens map-side, so an
-encounter carrying a large share of all surveys reaches the join as a handful
-of rows, and the join input shrinks; the analyses then use weighted sums.
+Joins of surveys to encounters first reduce the surveys to ONE row per
+encounter (counts per tier, rating sums). Partial aggregation runs map-side, so
+an encounter carrying a large share of all surveys reaches the shuffle as one
+row per map task, and the aggregate's hash partitioning on encounter_id is
+reused by the join: a single shuffle of the survey side and a 1:1 join.
 """
 
 from __future__ import annotations
@@ -46,6 +47,14 @@ def ratings_per_encounter(t: CareTables, rating: str = OVERALL) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("w"), F.count("survey_id").alias("n_ids")))
 
 
+def rating_moments_per_encounter(t: CareTables, rating: str = OVERALL) -> DataFrame:
+    """(encounter_id, n, sx, sxx) over the non-NULL ratings of each encounter."""
+    x = F.col(rating)
+    return (t.patient_surveys.where(x.isNotNull())
+            .groupBy("encounter_id")
+            .agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(x * x).alias("sxx")))
+
+
 def srv1_domain_summary(t: CareTables) -> DataFrame:
     """One row: mean per domain, recommend share, stored top-box share, survey count."""
     s = t.patient_surveys
@@ -77,14 +86,23 @@ def srv4_satisfaction_outcomes(t: CareTables) -> DataFrame:
     """Inpatient outcomes (stay, readmission, charges) per satisfaction tier."""
     inpatient = (t.encounters.where(F.col("encounter_type") == "Inpatient")
                  .select("encounter_id", "length_of_stay", "readmission_30d", "total_charges"))
-    j = ratings_per_encounter(t).join(inpatient, "encounter_id", "inner")
     tier = at_least(OVERALL, SATISFACTION_TIERS, SATISFACTION_TIER_ELSE)
-    return (j.groupBy(tier.alias("satisfaction_tier"))
-             .agg(F.sum("w").alias("n"),
-                  F.round(weighted_avg("length_of_stay"), 2).alias("avg_los"),
-                  F.round(F.lit(100.0) * weighted_avg("readmission_30d"), 1).alias("readmission_rate_pct"),
-                  F.round(weighted_avg("total_charges"), 0).alias("avg_charges"))
-             .orderBy(F.col("satisfaction_tier").desc()))
+    labels = [label for _, label in SATISFACTION_TIERS] + [SATISFACTION_TIER_ELSE]
+    per_enc = (t.patient_surveys.groupBy("encounter_id")
+               .agg(*[F.count(F.when(tier == lab, F.lit(1))).alias(f"w{i}") for i, lab in enumerate(labels)]))
+    j = per_enc.join(inpatient, "encounter_id", "inner")
+    # one row per (encounter, tier) with surveys in it
+    long = j.select(F.explode(F.array(*[F.struct(F.lit(lab).alias("satisfaction_tier"),
+                                                 F.col(f"w{i}").alias("w"))
+                                        for i, lab in enumerate(labels)])).alias("k"),
+                    "length_of_stay", "readmission_30d", "total_charges") \
+            .select("k.*", "length_of_stay", "readmission_30d", "total_charges").where(F.col("w") > 0)
+    return (long.groupBy("satisfaction_tier")
+                .agg(F.sum("w").alias("n"),
+                     F.round(weighted_avg("length_of_stay"), 2).alias("avg_los"),
+                     F.round(F.lit(100.0) * weighted_avg("readmission_30d"), 1).alias("readmission_rate_pct"),
+                     F.round(weighted_avg("total_charges"), 0).alias("avg_charges"))
+                .orderBy(F.col("satisfaction_tier").desc()))
 
 
 def srv5_low_score_followup(t: CareTables, cap: int = 200) -> DataFrame:
