@@ -17,6 +17,11 @@ from carelens.functions.numeric import ratio
 _REL_EPS = 1e-12
 
 
+def _clamp_unit(r: Column) -> Column:
+    """Clamp rounding overshoot into [-1, 1]; NULL stays NULL (least/greatest skip NULLs)."""
+    return F.when(r.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r)))
+
+
 def control_limits(df: DataFrame, value: str, sigma: float = 3.0, scale: int = 4) -> DataFrame:
     """Shewhart limits mean +/- sigma * sd (sample sd) over all rows of an
     aggregated series; LCL floored at 0; strict out-of-control test.
@@ -79,7 +84,7 @@ def pearson_from_sums(df: DataFrame, n: str, sx: str, sy: str, sxx: str, syy: st
     cov = F.col("sxy") - csx * csy / cn
     vx, vy = F.col("sxx") - csx * csx / cn, F.col("syy") - csy * csy / cn
     r = F.try_divide(cov, F.sqrt(vx * vy))
-    m = m.withColumn("r", F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r)))
+    m = m.withColumn("r", _clamp_unit(r))
     t = F.col("r") * F.sqrt(F.try_divide(cn - 2, F.lit(1.0) - F.col("r") * F.col("r")))
     n0 = F.coalesce(F.col("n"), F.lit(0)).cast("bigint")
     return m.select(n0.alias("n"), F.round("r", scale).alias("r"), F.round(t, scale).alias("t_stat"),
@@ -166,7 +171,7 @@ def pairwise_correlation_matrix(df: DataFrame, cols: list[str], scale: int = 4)
         return F.try_divide(cov, den)
 
     cells = [F.struct(F.lit(a).alias("domain_a"), F.lit(b).alias("domain_b"),
-                      F.round(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), corr_cell(i, j))), scale)
+                      F.round(_clamp_unit(corr_cell(i, j)), scale)
                       .alias("correlation"),
                       F.lit(j <= i).alias("lower_triangle"))
              for i, a in enumerate(cols) for j, b in enumerate(cols)]
