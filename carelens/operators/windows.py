@@ -70,8 +70,29 @@ def ntile_from_row_number(row_number: Column, n_rows: Column, k: int) -> Column:
 def ntile_global(df: DataFrame, k: int, order: list[Column], name: str = "ntile") -> DataFrame:
     """Distributed ``NTILE(k) OVER (ORDER BY order)``."""
     n = df.agg(F.count(F.lit(1))).scalar()
-    numbered = global_row_number(df, order, name="_rn")
-    return numbered.withColumn(name, ntile_from_row_number(F.col("_rn"), n, k)).drop("_rn")
+    numbered = global_row_number(df, order, name="_rn").withColumn("_n", n)  # one subquery, referenced once
+    return numbered.withColumn(name, ntile_from_row_number(F.col("_rn"), F.col("_n"), k)).drop("_rn", "_n")
+
+
+def lowest_ntile(df: DataFrame, k: int, value: str, tiebreak: list[str]) -> DataFrame:
+    """Rows of bucket 1 of ``NTILE(k) OVER (ORDER BY value ASC NULLS FIRST, tiebreak...)``.
+
+    Bucket 1 is the first ceil(n / k) rows. A histogram of ``value`` (one row
+    per distinct value, cumulated range-wise) gives the smallest value t whose
+    cumulative count reaches that size; only rows with value <= t (or NULL) can
+    be in bucket 1, so just that prefix is range-partitioned and numbered."""
+    from carelens.operators.evaluation import cumulative_counts
+    v = F.col(value)
+    n = df.agg(F.count(F.lit(1))).scalar()
+    size = F.ceil(n / F.lit(float(k)))
+    n_null = df.agg(F.count(F.when(v.isNull(), F.lit(1)))).scalar()
+    hist = df.where(v.isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_cnt"))
+    cum = cumulative_counts(hist, value, ["_cnt"])
+    threshold = cum.where(F.col("cum__cnt") + n_null >= size).agg(F.min(value)).scalar()
+    prefix = df.where(v.isNull() | (v <= threshold))
+    order = [v.asc_nulls_first()] + [F.col(c).asc_nulls_first() for c in tiebreak]
+    numbered = global_row_number(prefix, order, name="_rn").withColumn("_size", size)
+    return numbered.where(F.col("_rn") <= F.col("_size")).drop("_rn", "_size")
 
 
 def running_share(df: DataFrame, value: str, order: list[Column]) -> DataFrame:

@@ -19,7 +19,7 @@ from carelens.functions.tiers import at_least, lookup
 from carelens.operators.stats import (
     available_case_correlation, pairwise_correlation_matrix, quantile_bins,
 )
-from carelens.operators.windows import ntile_global
+from carelens.operators.windows import lowest_ntile
 from carelens.sources.adapters import CareTables
 from carelens.sources.dimensions import (
     ACCEPTABLE_SCORE, DOMAIN_MEAN_BANDS, SATISFACTION_QUARTILES, SATISFACTION_TIER_ELSE,
@@ -108,15 +108,17 @@ def srv4_satisfaction_outcomes(t: CareTables) -> DataFrame:
 def srv5_low_score_followup(t: CareTables, cap: int = 200) -> DataFrame:
     """Surveys in the lowest overall-rating decile, with their encounter, first ``cap``.
 
-    The decile is a distributed NTILE (range-partitioned global row number), so
-    no single task sorts the whole survey table. Ties are broken by survey and
-    encounter id, which makes the list deterministic."""
+    The decile is a distributed NTILE: only the prefix of ratings that can fall in
+    the first decile is range-partitioned and numbered, so no single task sorts
+    the survey table. Ties are broken by survey and encounter id, which makes the
+    list deterministic."""
     order = [F.col(OVERALL).asc_nulls_first(), F.col("survey_id").asc_nulls_first(),
              F.col("encounter_id").asc_nulls_first()]
-    scored = ntile_global(t.patient_surveys.select("survey_id", "encounter_id", OVERALL), 10, order, "decile")
+    first_decile = lowest_ntile(t.patient_surveys.select("survey_id", "encounter_id", OVERALL), 10,
+                                OVERALL, ["survey_id", "encounter_id"])
     enc = t.encounters.select("encounter_id", "department", "encounter_type", "encounter_date",
                               "attending_provider")
-    return (scored.where(F.col("decile") == 1)
+    return (first_decile
                   .join(enc, "encounter_id", "inner")
                   .select("survey_id", "encounter_id", OVERALL, "department", "encounter_type",
                           "encounter_date", "attending_provider",

@@ -328,3 +328,17 @@ def test_null_rating_in_low_tier(spark):
     got = [r[0] for r in df.select(at_least("r", SATISFACTION_TIERS, SATISFACTION_TIER_ELSE)).collect()]
     assert got == [SATISFACTION_TIER_ELSE, "High Satisfaction (4.5-5.0)", "Mid Satisfaction (3.5-4.4)",
                    SATISFACTION_TIER_ELSE]
+
+
+@pytest.mark.parametrize("n", [1, 9, 23, 200])
+def test_lowest_ntile_equals_window_ntile(spark, n):
+    from carelens.operators.windows import lowest_ntile
+    # heavy ties on the value (a hot value holds a third of the rows) and NULLs
+    data = [(None if i % 17 == 0 else (2.0 if i % 3 == 0 else float(i % 7)), f"s{i:04d}", f"e{i % 5}")
+            for i in range(n)]
+    df = spark.createDataFrame(data, "r double, sid string, eid string")
+    order = [F.col("r").asc_nulls_first(), F.col("sid"), F.col("eid")]
+    ref = sorted(r["sid"] for r in df.withColumn("b", F.ntile(10).over(Window.orderBy(*order)))
+                 .where("b = 1").collect())
+    got = sorted(r["sid"] for r in lowest_ntile(df, 10, "r", ["sid", "eid"]).collect())
+    assert got == ref
