@@ -100,6 +100,37 @@ def pearson(df: DataFrame, x: str, y: str, scale: int = 4) -> DataFrame:
     return pearson_from_sums(rows, "_n", "_sx", "_sy", "_sxx", "_syy", "_sxy", scale)
 
 
+def average_ranks(df: DataFrame, value: str, weight: str, name: str) -> DataFrame:
+    """(value, name): the average 1-based rank of each distinct non-NULL ``value``
+    among the weighted rows (ties share the mean of their ranks). Built from a
+    histogram with range-wise cumulative counts, so no global sort of rows."""
+    from carelens.operators.evaluation import cumulative_counts
+    from carelens.session import checkpointed
+    hist = checkpointed(df.where(F.col(value).isNotNull()).groupBy(value)
+                          .agg(F.sum(weight).cast("bigint").alias("_c")))
+    cum = cumulative_counts(hist, value, ["_c"])
+    return cum.select(value, (F.col("cum__c") - (F.col("_c") - 1) / 2.0).alias(name))
+
+
+def spearman(df: DataFrame, x: str, y: str, weight: str | None = None, scale: int = 4) -> DataFrame:
+    """Spearman rank correlation (Pearson r of average ranks) over complete pairs.
+    One row: n, rho."""
+    w = weight or "_w"
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    if weight is None:
+        rows = rows.withColumn(w, F.lit(1))
+    rx = average_ranks(rows, x, w, "_rx")
+    ry = average_ranks(rows, y, w, "_ry")
+    ranked = rows.join(rx, x, "inner").join(ry, y, "inner")
+    cw = F.col(w).cast("double")
+    sums = ranked.select(cw.alias("n"), (cw * F.col("_rx")).alias("sx"), (cw * F.col("_ry")).alias("sy"),
+                         (cw * F.col("_rx") * F.col("_rx")).alias("sxx"),
+                         (cw * F.col("_ry") * F.col("_ry")).alias("syy"),
+                         (cw * F.col("_rx") * F.col("_ry")).alias("sxy"))
+    return pearson_from_sums(sums, "n", "sx", "sy", "sxx", "syy", "sxy", scale) \
+        .select("n", F.col("r").alias("rho"))
+
+
 def available_case_correlation(df: DataFrame, xs: list[str], y: str, scale: int = 4) -> DataFrame:
     """Correlation of each ``x`` with ``y`` where the means use every non-NULL
     value of their own column while the cross product uses complete pairs (the

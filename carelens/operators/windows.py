@@ -82,11 +82,12 @@ def lowest_ntile(df: DataFrame, k: int, value: str, tiebreak: list[str]) -> Data
     cumulative count reaches that size; only rows with value <= t (or NULL) can
     be in bucket 1, so just that prefix is range-partitioned and numbered."""
     from carelens.operators.evaluation import cumulative_counts
+    from carelens.session import checkpointed
     v = F.col(value)
     n = df.agg(F.count(F.lit(1))).scalar()
     size = F.ceil(n / F.lit(float(k)))
     n_null = df.agg(F.count(F.when(v.isNull(), F.lit(1)))).scalar()
-    hist = df.where(v.isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_cnt"))
+    hist = checkpointed(df.where(v.isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_cnt")))
     cum = cumulative_counts(hist, value, ["_cnt"])
     threshold = cum.where(F.col("cum__cnt") + n_null >= size).agg(F.min(value)).scalar()
     prefix = df.where(v.isNull() | (v <= threshold))

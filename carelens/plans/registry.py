@@ -21,7 +21,7 @@ _PLANS = [
     survey.survey_monthly_trend, survey.survey_corr_matrix, survey.survey_quartile_outcomes,
     survey.survey_cms_submission,
     statistics.ttest_los_readmission, statistics.ttest_rating_readmission,
-    statistics.pearson_rating_los, statistics.significance_pvalues,
+    statistics.pearson_rating_los, statistics.significance_pvalues, statistics.spearman_rating_los,
     eda.eda_describe, eda.eda_frequency, eda.eda_age_histogram, eda.eda_monthly_encounters,
     eda.eda_measure_heatmap, eda.eda_readmission_by_dept, eda.eda_measure_trend, eda.eda_lab_rates,
     exports.bi_quality_export, exports.qm_trend_direction, exports.hours_allocation,

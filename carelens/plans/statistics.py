@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from carelens.functions.pvalue import t_p_value
 from carelens.operators.quality import union_all
-from carelens.operators.stats import pearson_from_sums, pooled_ttest, ttest_from_sums
-from carelens.plans.survey import OVERALL, rating_moments_per_encounter
+from carelens.operators.stats import pearson_from_sums, pooled_ttest, spearman, ttest_from_sums
+from carelens.plans.survey import OVERALL, rating_moments_per_encounter, ratings_per_encounter
 from carelens.sources.adapters import CareTables
 from carelens.sources.dimensions import SIGNIFICANCE_ALPHA
 
@@ -69,3 +69,12 @@ def significance_pvalues(t: CareTables) -> DataFrame:
                  .select("test", F.round("t_stat", 4).alias("t_stat"), "dof", "p_value",
                          F.when(F.col("p_value") < SIGNIFICANCE_ALPHA, "*** Significant")
                           .otherwise("Not significant").alias("significance")))
+
+
+def spearman_rating_los(t: CareTables) -> DataFrame:
+    """Spearman rank correlation between overall rating and length of stay.
+    Surveys are reduced to (encounter, rating, count) before the join; ranks
+    come from weighted histograms of the two variables."""
+    rated = ratings_per_encounter(t).where(F.col(OVERALL).isNotNull())
+    j = rated.join(t.encounters.select("encounter_id", "length_of_stay"), "encounter_id", "inner")
+    return spearman(j, OVERALL, "length_of_stay", weight="w")

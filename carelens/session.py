@@ -57,3 +57,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="carelens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(local)
     return local
+
+
+def checkpointed(df):
+    """Materialise a small intermediate (a histogram, a set of cut points) once
+    into the shared checkpoint folder and cut its lineage, so later stages and
+    retries after an executor loss read it instead of recomputing its inputs."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

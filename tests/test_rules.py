@@ -342,3 +342,21 @@ def test_lowest_ntile_equals_window_ntile(spark, n):
                  .where("b = 1").collect())
     got = sorted(r["sid"] for r in lowest_ntile(df, 10, "r", ["sid", "eid"]).collect())
     assert got == ref
+
+
+def test_spearman_equals_ranked_pearson(spark):
+    from carelens.operators.stats import spearman
+    data = [(float(i % 5), float((i * 7) % 11)) for i in range(40)] + [(None, 1.0)]
+    df = spark.createDataFrame(data, "x double, y double")
+    got = spearman(df, "x", "y").first()
+
+    def avg_ranks(vals):
+        order = sorted(vals)
+        return {v: (order.index(v) + 1 + len(order) - order[::-1].index(v)) / 2 for v in set(vals)}
+    pairs = [(a, b) for a, b in data if a is not None]
+    rx, ry = avg_ranks([a for a, _ in pairs]), avg_ranks([b for _, b in pairs])
+    xs, ys = [rx[a] for a, _ in pairs], [ry[b] for _, b in pairs]
+    mx, my = sum(xs) / len(xs), sum(ys) / len(ys)
+    cov = sum((a - mx) * (b - my) for a, b in zip(xs, ys))
+    rho = cov / math.sqrt(sum((a - mx) ** 2 for a in xs) * sum((b - my) ** 2 for b in ys))
+    assert got["n"] == 40 and got["rho"] == round(rho, 4)
