@@ -41,7 +41,7 @@ def readmission_model_auc(t: CareTables) -> DataFrame:
     """Test-set ROC AUC of logistic regression, random forest and gradient boosting."""
     m = _models(t)
     frames = []
-    for name in ("logistic_regression", "random_forest", "gradient_boosting"):
+    for name in MODEL_NAMES:
         frames.append(ev.auc(m.scored_test(name), "risk_score", ml.LABEL)
                         .select(F.lit(name).alias("model"), "auc", "n_pos", "n_neg"))
     out = frames[0]
@@ -50,6 +50,31 @@ def readmission_model_auc(t: CareTables) -> DataFrame:
     return out
 
 
+MODEL_NAMES = ("logistic_regression", "random_forest", "gradient_boosting")
+
+
+def readmission_roc(t: CareTables) -> DataFrame:
+    """Test-set ROC points of the three models (one point per distinct score)."""
+    m = _models(t)
+    out = None
+    for name in MODEL_NAMES:
+        pts = ev.roc_points(m.scored_test(name), "risk_score", ml.LABEL).select(F.lit(name).alias("model"), "*")
+        out = pts if out is None else out.unionByName(pts)
+    return out
+
+
+def readmission_confusion(t: CareTables) -> DataFrame:
+    """Gradient-boosting confusion matrix on the test set at probability 0.5."""
+    return ev.confusion(_models(t).scored_test("gradient_boosting"), "risk_score", ml.LABEL,
+                        CLASSIFICATION_THRESHOLD)
+
+
+def readmission_report(t: CareTables) -> DataFrame:
+    """Gradient-boosting classification report on the test set at probability 0.5."""
+    return ev.classification_report(_models(t).scored_test("gradient_boosting"), "risk_score", ml.LABEL,
+                                    CLASSIFICATION_THRESHOLD, CLASS_NAMES)
+
+
 def readmission_importance(t: CareTables) -> DataFrame:
     """Random-forest feature importances, top 12, flagged above their mean.
     The 13 importances are model metadata, the only values built on the driver."""

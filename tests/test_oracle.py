@@ -7,7 +7,8 @@ from tests.conftest import SF_SMALL
 from tests.harness import compare
 
 ORACLE = entry.oracle_sql()
-MODEL_KEYS = {"readmission_model_auc", "readmission_importance", "readmission_risk_tiers"}
+MODEL_KEYS = {"readmission_model_auc", "readmission_importance", "readmission_risk_tiers",
+              "readmission_roc", "readmission_confusion", "readmission_report"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
