@@ -11,6 +11,7 @@ from carelens.functions.numeric import count_when, pct, ratio
 from carelens.operators import quality
 from carelens.operators.stats import control_limits
 from carelens.operators.windows import running_share
+from carelens.session import checkpointed
 from carelens.sources.adapters import CareTables
 from carelens.sources.dimensions import (
     PARETO_CUTOFF_PCT, SLA_BREACH_ALERT_PCT, SOURCE_GRADE_ELSE, SOURCE_GRADES, severity_dim,
@@ -37,8 +38,10 @@ def gov2_sla_breach(t: CareTables) -> DataFrame:
              .select("issue_id", "table_name", "issue_type", "field_name", "severity",
                      "source_system", "detected_date", "days_to_resolve", "sla_days",
                      F.when(breached, "SLA BREACHED").otherwise("WITHIN SLA").alias("sla_status"))
+             # issue_id breaks ties: with only ~124 distinct (severity, days) keys the
+             # range partitioner could not otherwise split a hot key across tasks
              .orderBy(F.coalesce(quality.severity_order("severity"), F.lit(4)),
-                      F.col("days_to_resolve").desc()))
+                      F.col("days_to_resolve").desc(), F.col("issue_id")))
 
 
 def gov3_source_scorecard(t: CareTables) -> DataFrame:
@@ -127,7 +130,8 @@ def spc_weekly_issues(t: CareTables) -> DataFrame:
     weekly = (t.data_governance_log.where(F.col("detected_date").isNotNull())
               .groupBy(week_start("detected_date").alias("week"))
               .agg(F.count(F.lit(1)).alias("issues")))
-    return control_limits(weekly, "issues").orderBy("week")
+    # one row per week, read three times (mean, sd, flags): materialise once
+    return control_limits(checkpointed(weekly), "issues").orderBy("week")
 
 
 def pareto_issue_types(t: CareTables) -> DataFrame:
