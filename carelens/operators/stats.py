@@ -163,6 +163,15 @@ def available_case_correlation(df: DataFrame, xs: list[str], y: str, scale: int
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.domain", "r.correlation")
 
 
+def _q(name: str) -> str:
+    """Backtick-quote a column name for a SQL expression."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _lit(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def pairwise_correlation_matrix(df: DataFrame, cols: list[str], scale: int = 4) -> DataFrame:
     """Full correlation matrix, each pair over its complete rows (pandas ``corr``),
     in long form (domain_a, domain_b, correlation, lower_triangle).
@@ -170,43 +179,43 @@ def pairwise_correlation_matrix(df: DataFrame, cols: list[str], scale: int = 4)
     One pass of plain sums (count, sums, sums of squares and of products per
     pair over complete pairs): cheap, map-side combinable aggregates. A constant
     column gives NULL instead of a division error. Values on a bounded scale
-    (survey ratings) keep the sums well conditioned."""
+    (survey ratings) keep the sums well conditioned. The wide aggregate and the
+    long form are written as SQL expressions (one call each, parsed in the JVM)."""
     aggs = []
     for i, a in enumerate(cols):
-        ca = F.col(a)
-        aggs += [F.count(ca).alias(f"n_{i}"), F.sum(ca).alias(f"s_{i}"), F.sum(ca * ca).alias(f"q_{i}")]
+        qa = _q(a)
+        aggs += [f"count({qa}) AS n_{i}", f"sum({qa}) AS s_{i}", f"sum({qa} * {qa}) AS q_{i}"]
         for j, b in enumerate(cols[:i]):
-            cb = F.col(b)
-            both = ca.isNotNull() & cb.isNotNull()
-            aggs += [F.count(F.when(both, F.lit(1))).alias(f"n_{i}_{j}"),
-                     F.sum(F.when(both, ca)).alias(f"sa_{i}_{j}"), F.sum(F.when(both, cb)).alias(f"sb_{i}_{j}"),
-                     F.sum(F.when(both, ca * ca)).alias(f"qa_{i}_{j}"),
-                     F.sum(F.when(both, cb * cb)).alias(f"qb_{i}_{j}"),
-                     F.sum(ca * cb).alias(f"x_{i}_{j}")]
-    one = df.agg(*aggs)
-
-    def centered(q, s_, n):
+            qb = _q(b)
+            both = f"{qa} IS NOT NULL AND {qb} IS NOT NULL"
+            aggs += [f"count(CASE WHEN {both} THEN 1 END) AS n_{i}_{j}",
+                     f"sum(CASE WHEN {both} THEN {qa} END) AS sa_{i}_{j}",
+                     f"sum(CASE WHEN {both} THEN {qb} END) AS sb_{i}_{j}",
+                     f"sum(CASE WHEN {both} THEN {qa} * {qa} END) AS qa_{i}_{j}",
+                     f"sum(CASE WHEN {both} THEN {qb} * {qb} END) AS qb_{i}_{j}",
+                     f"sum({qa} * {qb}) AS x_{i}_{j}"]
+    one = df.selectExpr(*aggs)
+
+    def centered(q: str, s_: str, n: str) -> str:
         # sum of squared deviations; rounding noise of a constant column counts as 0
-        v = q - s_ * s_ / n
-        return F.when(v > F.lit(_REL_EPS) * q, v)
+        v = f"({q} - {s_} * {s_} / {n})"
+        return f"CASE WHEN {v} > {_REL_EPS!r} * {q} THEN {v} END"
 
-    def corr_cell(i, j):
+    def cell(i: int, j: int) -> str:
         if i == j:
-            n, s_, q = F.col(f"n_{i}").cast("double"), F.col(f"s_{i}"), F.col(f"q_{i}")
-            return F.when(centered(q, s_, n).isNotNull(), F.lit(1.0))
+            return f"CASE WHEN ({centered(f'q_{i}', f's_{i}', f'CAST(n_{i} AS DOUBLE)')}) IS NOT NULL THEN 1.0D END"
         hi, lo = max(i, j), min(i, j)
-        n = F.col(f"n_{hi}_{lo}").cast("double")
-        sa, sb = F.col(f"sa_{hi}_{lo}"), F.col(f"sb_{hi}_{lo}")
-        cov = F.col(f"x_{hi}_{lo}") - sa * sb / n
-        den = F.sqrt(centered(F.col(f"qa_{hi}_{lo}"), sa, n) * centered(F.col(f"qb_{hi}_{lo}"), sb, n))
-        return F.try_divide(cov, den)
-
-    cells = [F.struct(F.lit(a).alias("domain_a"), F.lit(b).alias("domain_b"),
-                      F.round(_clamp_unit(corr_cell(i, j)), scale)
-                      .alias("correlation"),
-                      F.lit(j <= i).alias("lower_triangle"))
-             for i, a in enumerate(cols) for j, b in enumerate(cols)]
-    return one.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+        n = f"CAST(n_{hi}_{lo} AS DOUBLE)"
+        cov = f"(x_{hi}_{lo} - sa_{hi}_{lo} * sb_{hi}_{lo} / {n})"
+        den = (f"sqrt(({centered(f'qa_{hi}_{lo}', f'sa_{hi}_{lo}', n)}) * "
+               f"({centered(f'qb_{hi}_{lo}', f'sb_{hi}_{lo}', n)}))")
+        r = f"try_divide({cov}, {den})"
+        return f"CASE WHEN {r} IS NOT NULL THEN least(1.0D, greatest(-1.0D, {r})) END"
+
+    rows = ", ".join(f"{_lit(a)}, {_lit(b)}, round({cell(i, j)}, {scale}), {'true' if j <= i else 'false'}"
+                     for i, a in enumerate(cols) for j, b in enumerate(cols))
+    return one.selectExpr(
+        f"stack({len(cols) ** 2}, {rows}) AS (domain_a, domain_b, correlation, lower_triangle)")
 
 
 DESCRIBE_STATS = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]

@@ -216,5 +216,14 @@ class CareTables:
         return getattr(self, name)
 
 
-def care_tables(spark: SparkSession, sf_dir: str) -> CareTables:
-    return CareTables(spark, sf_dir)
+_REGISTRY: dict[tuple, CareTables] = {}
+
+
+def care_tables(spark: SparkSession, sf_dir: str, refresh: bool = False) -> CareTables:
+    """The care tables of one data folder, defined once per session (like tables
+    registered in a catalog). Only the lazy plans are kept, no data; pass
+    ``refresh=True`` to re-list the folder after its files changed."""
+    key = (spark.sparkContext.applicationId, id(spark), os.path.abspath(sf_dir))
+    if refresh or key not in _REGISTRY:
+        _REGISTRY[key] = CareTables(spark, sf_dir)
+    return _REGISTRY[key]
