@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carelens.functions.numeric import ratio
+from carelens.functions.sqlexpr import ident as _q, stack as _stack_sql, string as _lit
 
 _REL_EPS = 1e-12
 
@@ -139,37 +140,22 @@ def available_case_correlation(df: DataFrame, xs: list[str], y: str, scale: int
         S_xy = n_p * covar_pop_p(x, y) + n_p * (mean_p(x) - mean(x)) * (mean_p(y) - mean(y))
         r    = S_xy / (sqrt(n_x * var_pop(x)) * sqrt(n_y * var_pop(y)))
 
-    where ``_p`` is over complete pairs. Returns (x, correlation) rows."""
-    cy = F.col(y)
-    aggs = [F.count(cy).alias("ny"), F.var_pop(cy).alias("vy"), F.avg(cy).alias("my")]
+    where ``_p`` is over complete pairs. Returns (domain, correlation) rows."""
+    qy = _q(y)
+    aggs = [f"count({qy}) AS ny", f"var_pop({qy}) AS vy", f"avg({qy}) AS my"]
     for i, x in enumerate(xs):
-        cx = F.col(x)
-        both = cx.isNotNull() & cy.isNotNull()
-        aggs += [F.count(F.when(both, F.lit(1))).alias(f"np{i}"),
-                 F.covar_pop(cx, cy).alias(f"cp{i}"),
-                 F.avg(F.when(both, cx)).alias(f"mxp{i}"),
-                 F.avg(F.when(both, cy)).alias(f"myp{i}"),
-                 F.avg(cx).alias(f"mx{i}"),
-                 F.count(cx).alias(f"nx{i}"),
-                 F.var_pop(cx).alias(f"vx{i}")]
-    one = df.agg(*aggs)
+        qx = _q(x)
+        both = f"{qx} IS NOT NULL AND {qy} IS NOT NULL"
+        aggs += [f"count(CASE WHEN {both} THEN 1 END) AS np{i}", f"covar_pop({qx}, {qy}) AS cp{i}",
+                 f"avg(CASE WHEN {both} THEN {qx} END) AS mxp{i}", f"avg(CASE WHEN {both} THEN {qy} END) AS myp{i}",
+                 f"avg({qx}) AS mx{i}", f"count({qx}) AS nx{i}", f"var_pop({qx}) AS vx{i}"]
+    one = df.selectExpr(*aggs)
     rows = []
     for i, x in enumerate(xs):
-        s_xy = (F.col(f"np{i}") * F.col(f"cp{i}")
-                + F.col(f"np{i}") * (F.col(f"mxp{i}") - F.col(f"mx{i}")) * (F.col(f"myp{i}") - F.col("my")))
-        den = F.sqrt(F.col(f"nx{i}") * F.col(f"vx{i}")) * F.sqrt(F.col("ny") * F.col("vy"))
-        rows.append(F.struct(F.lit(x).alias("domain"),
-                             F.round(F.try_divide(s_xy, den), scale).alias("correlation")))
-    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.domain", "r.correlation")
-
-
-def _q(name: str) -> str:
-    """Backtick-quote a column name for a SQL expression."""
-    return "`" + name.replace("`", "``") + "`"
-
-
-def _lit(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        s_xy = f"(np{i} * cp{i} + np{i} * (mxp{i} - mx{i}) * (myp{i} - my))"
+        den = f"(sqrt(nx{i} * vx{i}) * sqrt(ny * vy))"
+        rows.append([_lit(x), f"round(try_divide({s_xy}, {den}), {scale})"])
+    return one.selectExpr(_stack_sql(rows, ["domain", "correlation"]))
 
 
 def pairwise_correlation_matrix(df: DataFrame, cols: list[str], scale: int = 4) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from carelens.functions.dates import month_label, quarter_label
 from carelens.functions.numeric import pct
+from carelens.functions.sqlexpr import ident, stack, string
 from carelens.functions.tiers import at_least, lookup
 from carelens.operators.stats import (
     available_case_correlation, pairwise_correlation_matrix, quantile_bins,
@@ -127,33 +128,23 @@ def srv5_low_score_followup(t: CareTables, cap: int = 200) -> DataFrame:
                   .limit(cap))
 
 
-def _top_box_share(d: str):
-    return F.avg(F.coalesce(F.col(d) >= TOP_BOX_THRESHOLD, F.lit(False)).cast("double"))
-
-
-def _stack(one_row: DataFrame, fields: list[tuple[str, list]]) -> DataFrame:
-    """Turn one wide row into one row per domain."""
-    structs = [F.struct(F.lit(name).alias("domain"), F.lit(i + 1).alias("domain_order"), *cols)
-               for i, (name, cols) in enumerate(fields)]
-    return one_row.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
+def _top_box_share_sql(d: str) -> str:
+    """Share of rows with the score at or above the top-box threshold (NULL counts as not)."""
+    return f"avg(CASE WHEN {ident(d)} >= {TOP_BOX_THRESHOLD} THEN 1.0D ELSE 0.0D END)"
 
 
 def survey_domain_stats(t: CareTables) -> DataFrame:
     """Per domain: mean, sample sd, median (3 dp then 2 dp), top-box % (score >= 4.5,
     NULL counted as not top-box) and colour bands. One aggregate pass."""
-    s = t.patient_surveys
     aggs = []
     for i, d in enumerate(SURVEY_DOMAINS):
-        aggs += [F.avg(d).alias(f"m{i}"), F.stddev_samp(d).alias(f"s{i}"),
-                 F.percentile(d, 0.5).alias(f"p{i}"), _top_box_share(d).alias(f"t{i}")]
-    one = s.agg(*aggs)
-
-    def r32(c):
-        return F.round(F.round(c, 3), 2)
-    stacked = _stack(one, [(d, [r32(F.col(f"m{i}")).alias("mean"), r32(F.col(f"s{i}")).alias("std_dev"),
-                                r32(F.col(f"p{i}")).alias("median"),
-                                F.round(F.col(f"t{i}") * 100, 2).alias("top_box_pct")])
-                           for i, d in enumerate(SURVEY_DOMAINS)])
+        q = ident(d)
+        aggs += [f"avg({q}) AS m{i}", f"stddev_samp({q}) AS s{i}", f"percentile({q}, 0.5) AS p{i}",
+                 f"{_top_box_share_sql(d)} AS t{i}"]
+    one = t.patient_surveys.selectExpr(*aggs)
+    rows = [[string(d), str(i + 1), f"round(round(m{i}, 3), 2)", f"round(round(s{i}, 3), 2)",
+             f"round(round(p{i}, 3), 2)", f"round(t{i} * 100, 2)"] for i, d in enumerate(SURVEY_DOMAINS)]
+    stacked = one.selectExpr(stack(rows, ["domain", "domain_order", "mean", "std_dev", "median", "top_box_pct"]))
     return (stacked.withColumn("mean_band", at_least("mean", DOMAIN_MEAN_BANDS, "RED"))
                    .withColumn("top_box_band", at_least("top_box_pct", TOP_BOX_BANDS, "RED"))
                    .withColumn("meets_acceptable", F.col("mean") >= ACCEPTABLE_SCORE)
@@ -194,14 +185,11 @@ def survey_quartile_outcomes(t: CareTables) -> DataFrame:
 
 def survey_cms_submission(t: CareTables) -> DataFrame:
     """CMS-style summary: Domain, Mean_Score, Top_Box_Pct, N_Responses (domain order)."""
-    s = t.patient_surveys
     aggs = []
     for i, d in enumerate(SURVEY_DOMAINS):
-        aggs += [F.avg(d).alias(f"m{i}"), _top_box_share(d).alias(f"t{i}"), F.count(d).alias(f"n{i}")]
-    one = s.agg(*aggs)
-    stacked = _stack(one, [(d, [F.round(F.col(f"m{i}"), 2).alias("Mean_Score"),
-                                F.round(F.col(f"t{i}") * 100, 2).alias("Top_Box_Pct"),
-                                F.col(f"n{i}").alias("N_Responses")])
-                           for i, d in enumerate(SURVEY_DOMAINS)])
-    return (stacked.orderBy("domain_order")
-                   .select(F.col("domain").alias("Domain"), "Mean_Score", "Top_Box_Pct", "N_Responses"))
+        aggs += [f"avg({ident(d)}) AS m{i}", f"{_top_box_share_sql(d)} AS t{i}", f"count({ident(d)}) AS n{i}"]
+    one = t.patient_surveys.selectExpr(*aggs)
+    rows = [[string(d), str(i + 1), f"round(m{i}, 2)", f"round(t{i} * 100, 2)", f"n{i}"]
+            for i, d in enumerate(SURVEY_DOMAINS)]
+    stacked = one.selectExpr(stack(rows, ["Domain", "domain_order", "Mean_Score", "Top_Box_Pct", "N_Responses"]))
+    return stacked.orderBy("domain_order").select("Domain", "Mean_Score", "Top_Box_Pct", "N_Responses")
