@@ -55,3 +55,17 @@ def hours_allocation(t: CareTables) -> DataFrame:
                          hours.alias("hours"),
                          F.round(hours * F.col("rate") * 100, 6).alias("expected_points"))
                  .orderBy("quarter", "alloc_rank"))
+
+
+def export_bi_quality(t: CareTables, path: str, fmt: str = "csv") -> None:
+    """Write the BI export partitioned by quarter (one folder per quarter, header
+    per file), so dashboards read only the quarters they show."""
+    from carelens.sources.io import write_partitioned
+    write_partitioned(bi_quality_export(t), path, ["quarter"], fmt=fmt)
+
+
+def export_cms_submission(t: CareTables, path: str) -> None:
+    """Write the 8-row CMS submission summary as a single CSV with a header."""
+    from carelens.plans.survey import survey_cms_submission
+    from carelens.sources.io import write_small_csv
+    write_small_csv(survey_cms_submission(t), path)

@@ -360,3 +360,16 @@ def test_spearman_equals_ranked_pearson(spark):
     cov = sum((a - mx) * (b - my) for a, b in zip(xs, ys))
     rho = cov / math.sqrt(sum((a - mx) ** 2 for a in xs) * sum((b - my) ** 2 for b in ys))
     assert got["n"] == 40 and got["rho"] == round(rho, 4)
+
+
+def test_bi_export_partitioned_by_quarter(spark, tmp_path):
+    from carelens.plans.exports import bi_quality_export, export_bi_quality
+    from carelens.sources.adapters import care_tables
+    from tests.conftest import SF_SMALL
+    t = care_tables(spark, SF_SMALL)
+    out = str(tmp_path / "bi")
+    export_bi_quality(t, out)
+    folders = {p.name for p in (tmp_path / "bi").iterdir() if p.name.startswith("quarter=")}
+    assert folders == {f"quarter={r['quarter']}" for r in t.quality_measures.select("quarter").distinct().collect()}
+    back = spark.read.option("header", True).csv(out)
+    assert back.count() == bi_quality_export(t).count()
