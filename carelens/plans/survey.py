@@ -21,6 +21,7 @@ from carelens.operators.stats import (
     available_case_correlation, pairwise_correlation_matrix, quantile_bins,
 )
 from carelens.operators.windows import lowest_ntile
+from carelens.session import checkpointed
 from carelens.sources.adapters import CareTables
 from carelens.sources.dimensions import (
     ACCEPTABLE_SCORE, DOMAIN_MEAN_BANDS, SATISFACTION_QUARTILES, SATISFACTION_TIER_ELSE,
@@ -167,18 +168,29 @@ def survey_corr_matrix(t: CareTables) -> DataFrame:
 
 
 def survey_quartile_outcomes(t: CareTables) -> DataFrame:
-    """Inpatient stay and readmission per overall-rating quartile (qcut, right-closed)."""
+    """Inpatient stay and readmission per overall-rating quartile (qcut, right-closed).
+
+    Every reported quantity is additive per rating value, so the survey x
+    encounter join is reduced ONCE to per-rating sums (one row per distinct
+    rating, checkpointed); the quartile edges (frequency-weighted exact
+    percentiles) and the bins are then computed on that small table."""
     inpatient = (t.encounters.where((F.col("encounter_type") == "Inpatient")
                                     & F.col("readmission_30d").isNotNull()
                                     & F.col("length_of_stay").isNotNull())
                  .select("encounter_id", "length_of_stay", "readmission_30d"))
     rated = ratings_per_encounter(t).where(F.col(OVERALL).isNotNull())
-    j = rated.join(inpatient, "encounter_id", "inner")
-    binned = quantile_bins(j, OVERALL, SATISFACTION_QUARTILES, weight="w")
+    per_rating = checkpointed(
+        rated.join(inpatient, "encounter_id", "inner")
+             .groupBy(OVERALL)
+             .agg(F.sum("w").alias("w"),
+                  F.sum(F.col("w") * F.col("length_of_stay")).alias("w_los"),
+                  F.sum(F.col("w") * F.col("readmission_30d")).alias("w_readmit"),
+                  F.sum("n_ids").alias("n_ids")))
+    binned = quantile_bins(per_rating, OVERALL, SATISFACTION_QUARTILES, weight="w")
     order = lookup("sat_quartile", {lab: i + 1 for i, lab in enumerate(SATISFACTION_QUARTILES)})
     return (binned.groupBy(F.col("bin_label").alias("sat_quartile"))
-                  .agg(F.round(weighted_avg("length_of_stay"), 6).alias("avg_los"),
-                       F.round(weighted_avg("readmission_30d"), 6).alias("readmit_rate"),
+                  .agg(F.round(F.sum("w_los") / F.sum("w"), 6).alias("avg_los"),
+                       F.round(F.sum("w_readmit") / F.sum("w"), 6).alias("readmit_rate"),
                        F.sum("n_ids").alias("n"))
                   .orderBy(order))
 

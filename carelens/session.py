@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -60,8 +61,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df):
-    """Materialise a small intermediate (a histogram, a set of cut points) once
-    into the shared checkpoint folder and cut its lineage, so later stages and
-    retries after an executor loss read it instead of recomputing its inputs."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise a small reused intermediate (a histogram, per-value sums) once
+    as a Parquet table in the shared checkpoint folder and read it back: later
+    stages and retries after an executor loss read the files instead of
+    recomputing the inputs. (``Dataset.checkpoint`` would compute an uncached
+    input twice: once for its count and once for the checkpoint write.)"""
+    spark = df.sparkSession
+    path = os.path.join(ensure_checkpoint_dir(spark), "tables", uuid.uuid4().hex)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
