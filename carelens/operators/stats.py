@@ -120,8 +120,11 @@ def spearman(df: DataFrame, x: str, y: str, weight: str | None = None, scale: in
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     if weight is None:
         rows = rows.withColumn(w, F.lit(1))
-    rx = average_ranks(rows, x, w, "_rx")
-    ry = average_ranks(rows, y, w, "_ry")
+    from carelens.session import broadcast_if_small, checkpointed
+    # one row per distinct value; broadcast when provably small so a hot value
+    # is joined map-side, otherwise AQE splits its partition
+    rx = broadcast_if_small(checkpointed(average_ranks(rows, x, w, "_rx")))
+    ry = broadcast_if_small(checkpointed(average_ranks(rows, y, w, "_ry")))
     ranked = rows.join(rx, x, "inner").join(ry, y, "inner")
     cw = F.col(w).cast("double")
     sums = ranked.select(cw.alias("n"), (cw * F.col("_rx")).alias("sx"), (cw * F.col("_ry")).alias("sy"),

@@ -39,9 +39,15 @@ def global_row_number(df: DataFrame, order: list[Column], n_parts: int | None =
     """
     spark = df.sparkSession
     n_parts = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n_parts, *order)
-                .sortWithinPartitions(*order)
-                .withColumn("_mid", F.monotonically_increasing_id()))
+    # Last sort key: the row's position in the scan. Exact copies of a row then
+    # have distinct keys, so the range partitioner can spread even a group of
+    # copies holding a large share of the rows; the numbering among copies does
+    # not change any result.
+    keyed = df.withColumn("_uid", F.monotonically_increasing_id())
+    order = list(order) + [F.col("_uid")]
+    ranged = (keyed.repartitionByRange(n_parts, *order)
+                   .sortWithinPartitions(*order)
+                   .withColumn("_mid", F.monotonically_increasing_id()))
     ranged = ranged.select("*",
                            F.shiftright("_mid", _LOCAL_BITS).alias("_pid"),
                            (F.col("_mid") - F.shiftleft(F.shiftright("_mid", _LOCAL_BITS), _LOCAL_BITS))
@@ -54,7 +60,7 @@ def global_row_number(df: DataFrame, order: list[Column], n_parts: int | None =
     # at most n_parts rows: bounded broadcast
     numbered = ranged.join(F.broadcast(offsets), "_pid", "inner")
     return (numbered.withColumn(name, F.coalesce(F.col("_offset"), F.lit(0)) + F.col("_local") + 1)
-                    .drop("_mid", "_pid", "_local", "_offset"))
+                    .drop("_uid", "_mid", "_pid", "_local", "_offset"))
 
 
 def ntile_from_row_number(row_number: Column, n_rows: Column, k: int) -> Column:

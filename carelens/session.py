@@ -70,3 +70,11 @@ def checkpointed(df):
     path = os.path.join(ensure_checkpoint_dir(spark), "tables", uuid.uuid4().hex)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def broadcast_if_small(df, max_rows: int = 1_000_000):
+    """Broadcast ``df`` only when a count proves it small (call it on a
+    checkpointed or otherwise cheap-to-count frame); beyond the bound the join
+    is left to AQE (sort-merge with skew splitting)."""
+    from pyspark.sql import functions as F
+    return F.broadcast(df) if df.count() <= max_rows else df

@@ -373,3 +373,12 @@ def test_bi_export_partitioned_by_quarter(spark, tmp_path):
     assert folders == {f"quarter={r['quarter']}" for r in t.quality_measures.select("quarter").distinct().collect()}
     back = spark.read.option("header", True).csv(out)
     assert back.count() == bi_quality_export(t).count()
+
+
+def test_global_row_number_spreads_copies(spark):
+    # a third of the rows are exact copies of one row
+    df = spark.createDataFrame([(5, "x")] * 100 + [(i, f"k{i}") for i in range(200)], "v int, s string")
+    out = global_row_number(df, [F.col("v"), F.col("s")], n_parts=6, name="rn").collect()
+    assert sorted(r["rn"] for r in out) == list(range(1, 301))
+    ordered = sorted(out, key=lambda r: r["rn"])
+    assert [(r["v"], r["s"]) for r in ordered] == sorted((r["v"], r["s"]) for r in out)
