@@ -22,13 +22,18 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "date": "DATE", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
+EXACT = {"on": False}
+
+
 def _norm(v):
     if v is None:
         return None
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return round(v, 9)
+        return v if EXACT["on"] else round(v, 9)
     if isinstance(v, (dt.datetime, dt.date)):
         return v.isoformat()
     if hasattr(v, "item"):
@@ -42,10 +47,19 @@ def rows_of(columns, rows):
     return sorted(out, key=lambda t: tuple((x is None, str(type(x)), x if x is not None else 0) for x in t))
 
 
-def compare(spark_df, con, sql: str):
-    """Return (ok, message)."""
+def compare(spark_df, con, sql: str, check_types: bool = False, exact: bool = False):
+    """Return (ok, message). ``check_types`` also compares column types;
+    ``exact`` compares doubles bit for bit instead of at 9 decimals."""
+    EXACT["on"] = exact
     s_cols = spark_df.columns
     s_rows = [tuple(r) for r in spark_df.collect()]
+    if check_types:
+        rel = con.sql(sql)
+        d_types = dict(zip(rel.columns, (str(t) for t in rel.types)))
+        for f in spark_df.schema.fields:
+            st = SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+            if d_types.get(f.name) != st:
+                return False, f"type of {f.name}: spark={st} duck={d_types.get(f.name)}"
     rel = con.execute(sql)
     d_cols = [c[0] for c in rel.description]
     d_rows = rel.fetchall()

@@ -14,7 +14,7 @@ MODEL_KEYS = {"readmission_model_auc", "readmission_importance", "readmission_ri
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, duck_small, name):
     df = entry.queries()[name](spark, SF_SMALL)
-    ok, msg = compare(df, duck_small, ORACLE[name])
+    ok, msg = compare(df, duck_small, ORACLE[name], check_types=True, exact=True)
     assert ok, f"{name}: {msg}"
 
 
