@@ -104,29 +104,31 @@ def pearson(df: DataFrame, x: str, y: str, scale: int = 4) -> DataFrame:
 def average_ranks(df: DataFrame, value: str, weight: str, name: str) -> DataFrame:
     """(value, name): the average 1-based rank of each distinct non-NULL ``value``
     among the weighted rows (ties share the mean of their ranks). Built from a
-    histogram with range-wise cumulative counts, so no global sort of rows."""
+    histogram with cumulative counts (range-wise when large), so no global sort
+    of rows. Pass a materialised (checkpointed) input: it is read more than once."""
     from carelens.operators.evaluation import cumulative_counts
-    from carelens.session import checkpointed
-    hist = checkpointed(df.where(F.col(value).isNotNull()).groupBy(value)
-                          .agg(F.sum(weight).cast("bigint").alias("_c")))
+    hist = (df.where(F.col(value).isNotNull()).groupBy(value)
+              .agg(F.sum(weight).cast("bigint").alias("_c")))
     cum = cumulative_counts(hist, value, ["_c"])
     return cum.select(value, (F.col("cum__c") - (F.col("_c") - 1) / 2.0).alias(name))
 
 
 def spearman(df: DataFrame, x: str, y: str, weight: str | None = None, scale: int = 4) -> DataFrame:
     """Spearman rank correlation (Pearson r of average ranks) over complete pairs.
-    One row: n, rho."""
-    w = weight or "_w"
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    if weight is None:
-        rows = rows.withColumn(w, F.lit(1))
+    One row: n, rho.
+
+    The data is read once: it is reduced to the joint histogram of (x, y) with
+    counts (checkpointed); average ranks come from its marginals, and the rank
+    moments from the histogram joined with the two rank tables (one row per
+    distinct value, broadcast when a count proves them small)."""
     from carelens.session import broadcast_if_small, checkpointed
-    # one row per distinct value; broadcast when provably small so a hot value
-    # is joined map-side, otherwise AQE splits its partition
-    rx = broadcast_if_small(checkpointed(average_ranks(rows, x, w, "_rx")))
-    ry = broadcast_if_small(checkpointed(average_ranks(rows, y, w, "_ry")))
-    ranked = rows.join(rx, x, "inner").join(ry, y, "inner")
-    cw = F.col(w).cast("double")
+    w = F.col(weight) if weight else F.lit(1)
+    joint = checkpointed(df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+                           .groupBy(x, y).agg(F.sum(w).cast("bigint").alias("_w")))
+    rx = broadcast_if_small(average_ranks(joint, x, "_w", "_rx"))
+    ry = broadcast_if_small(average_ranks(joint, y, "_w", "_ry"))
+    ranked = joint.join(rx, x, "inner").join(ry, y, "inner")
+    cw = F.col("_w").cast("double")
     sums = ranked.select(cw.alias("n"), (cw * F.col("_rx")).alias("sx"), (cw * F.col("_ry")).alias("sy"),
                          (cw * F.col("_rx") * F.col("_rx")).alias("sxx"),
                          (cw * F.col("_ry") * F.col("_ry")).alias("syy"),
