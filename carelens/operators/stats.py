@@ -9,7 +9,7 @@ join (one row per key) and the statistic still comes out exact.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from carelens.functions.numeric import ratio
@@ -26,18 +26,19 @@ def _clamp_unit(r: Column) -> Column:
 def control_limits(df: DataFrame, value: str, sigma: float = 3.0, scale: int = 4) -> DataFrame:
     """Shewhart limits mean +/- sigma * sd (sample sd) over all rows of an
     aggregated series; LCL floored at 0; strict out-of-control test.
-    The mean and sd are scalar subqueries, evaluated once."""
-    mean = df.agg(F.avg(value)).scalar()
-    sd = df.agg(F.stddev_samp(value)).scalar()
+    The mean and sd are scalar subqueries, each attached once as a column."""
+    base = (df.withColumn("_m", df.agg(F.avg(value)).scalar())
+              .withColumn("_sd", df.agg(F.stddev_samp(value)).scalar()))
+    mean, sd = F.col("_m"), F.col("_sd")
     ucl = mean + F.lit(sigma) * sd
     lcl = F.greatest(F.lit(0.0), mean - F.lit(sigma) * sd)
     v = F.col(value)
-    return df.select("*",
-                     F.round(mean, scale).alias("mean_value"),
-                     F.round(sd, scale).alias("sd_value"),
-                     F.round(ucl, scale).alias("ucl"),
-                     F.round(lcl, scale).alias("lcl"),
-                     F.coalesce((v > ucl) | (v < lcl), F.lit(False)).alias("out_of_control"))
+    return base.select(*df.columns,
+                       F.round(mean, scale).alias("mean_value"),
+                       F.round(sd, scale).alias("sd_value"),
+                       F.round(ucl, scale).alias("ucl"),
+                       F.round(lcl, scale).alias("lcl"),
+                       F.coalesce((v > ucl) | (v < lcl), F.lit(False)).alias("out_of_control"))
 
 
 def ttest_from_sums(df: DataFrame, group: str, n: str, s: str, q: str, scale: int = 4) -> DataFrame:
@@ -235,22 +236,29 @@ def describe(df: DataFrame, cols: list[str], scale: int = 2) -> DataFrame:
 
 def histogram(df: DataFrame, col: str, bins: int = 20, scale: int = 4) -> DataFrame:
     """Equal-width histogram over [min, max] with the last bin closed (numpy
-    semantics); every bin is reported, empty ones with count 0."""
+    semantics); every bin is reported, empty ones with count 0. The bounds are
+    scalar subqueries, each attached once as a column."""
     x = F.col(col)
-    lo = df.agg(F.min(x).cast("double")).scalar()
-    hi = df.agg(F.max(x).cast("double")).scalar()
-    width = F.try_divide(hi - lo, F.lit(float(bins)))
+    bounded = (df.where(x.isNotNull())
+                 .withColumn("_lo", df.agg(F.min(x).cast("double")).scalar())
+                 .withColumn("_hi", df.agg(F.max(x).cast("double")).scalar()))
+    lo, hi = F.col("_lo"), F.col("_hi")
     idx = F.least(F.lit(bins - 1), F.coalesce(
         F.floor(F.try_divide((x - lo) * bins, hi - lo)), F.lit(0))).cast("int")
-    counts = df.where(x.isNotNull()).groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    spark = df.sparkSession
-    all_bins = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
-    return (all_bins.join(counts, "bin", "left")
-                    .select("bin",
-                            F.round(lo + F.col("bin") * width, scale).alias("bin_start"),
-                            F.round(lo + (F.col("bin") + 1) * width, scale).alias("bin_end"),
-                            F.coalesce(F.col("n"), F.lit(0)).alias("count"))
-                    .orderBy("bin"))
+    counts = (bounded.groupBy(idx.alias("bin"))
+                     .agg(F.count(F.lit(1)).alias("n"), F.first("_lo").alias("lo"), F.first("_hi").alias("hi")))
+    all_bins = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    # bounds for empty bins come from any non-empty bin (a window over `bins` rows)
+    everyone = Window.partitionBy()
+    joined = (all_bins.join(counts, "bin", "left")
+                      .withColumn("lo", F.max("lo").over(everyone))
+                      .withColumn("hi", F.max("hi").over(everyone)))
+    width = F.try_divide(F.col("hi") - F.col("lo"), F.lit(float(bins)))
+    return (joined.select("bin",
+                          F.round(F.col("lo") + F.col("bin") * width, scale).alias("bin_start"),
+                          F.round(F.col("lo") + (F.col("bin") + 1) * width, scale).alias("bin_end"),
+                          F.coalesce(F.col("n"), F.lit(0)).alias("count"))
+                  .orderBy("bin"))
 
 
 def quantile_bins(df: DataFrame, col: str, labels: list[str], weight: str | None = None) -> DataFrame:
