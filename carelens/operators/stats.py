@@ -269,11 +269,11 @@ def quantile_bins(df: DataFrame, col: str, labels: list[str], weight: str | None
     probs = [i / k for i in range(1, k)]
     q = (F.percentile(F.col(col), probs, F.col(weight).cast("long")) if weight
          else F.percentile(F.col(col), probs))
-    edges = df.agg(q).scalar()
-    x = F.col(col)
+    withedges = df.withColumn("_edges", df.agg(q).scalar())   # one subquery, attached once
+    x, edges = F.col(col), F.col("_edges")
     label = None
     for i, lab in enumerate(labels[:-1]):
         cond = x <= edges[i]
         label = F.when(cond, lab) if label is None else label.when(cond, lab)
     label = label.when(x.isNotNull(), labels[-1])
-    return df.withColumn("bin_label", label)
+    return withedges.withColumn("bin_label", label).drop("_edges")
