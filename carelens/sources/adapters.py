@@ -193,8 +193,12 @@ class CareTables:
 
     @property
     def quality_measures(self) -> DataFrame:
-        return self._get("quality_measures", lambda: quality_measures_from(
-            self._src("lineitem", ["l_partkey", "l_suppkey", "l_returnflag", "l_shipdate"])))
+        """Aggregated once per session and written to the checkpoint folder: the
+        table is tiny (departments x measures x quarters) while deriving it scans
+        all of lineitem, and every measure analysis reads it."""
+        from carelens.session import checkpointed
+        return self._get("quality_measures", lambda: checkpointed(quality_measures_from(
+            self._src("lineitem", ["l_partkey", "l_suppkey", "l_returnflag", "l_shipdate"]))))
 
     @property
     def patient_surveys(self) -> DataFrame:
