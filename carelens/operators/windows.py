@@ -90,11 +90,13 @@ def lowest_ntile(df: DataFrame, k: int, value: str, tiebreak: list[str]) -> Data
     from carelens.operators.evaluation import cumulative_counts
     from carelens.session import checkpointed
     v = F.col(value)
-    n = df.agg(F.count(F.lit(1))).scalar()
+    # one scan: histogram of the value, NULL group included, materialised once;
+    # the row count, the NULL count and the threshold all come from it
+    hist_all = checkpointed(df.groupBy(value).agg(F.count(F.lit(1)).alias("_cnt")))
+    n = hist_all.agg(F.sum("_cnt")).scalar()
+    n_null = hist_all.agg(F.coalesce(F.sum(F.when(v.isNull(), F.col("_cnt"))), F.lit(0))).scalar()
     size = F.ceil(n / F.lit(float(k)))
-    n_null = df.agg(F.count(F.when(v.isNull(), F.lit(1)))).scalar()
-    hist = checkpointed(df.where(v.isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_cnt")))
-    cum = cumulative_counts(hist, value, ["_cnt"])
+    cum = cumulative_counts(hist_all.where(v.isNotNull()), value, ["_cnt"])
     threshold = cum.where(F.col("cum__cnt") + n_null >= size).agg(F.min(value)).scalar()
     prefix = df.where(v.isNull() | (v <= threshold))
     order = [v.asc_nulls_first()] + [F.col(c).asc_nulls_first() for c in tiebreak]
