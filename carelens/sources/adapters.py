@@ -173,12 +173,18 @@ class CareTables:
     sf_dir: str
     _cache: dict = field(default_factory=dict)
 
+    stored: bool = False     # True: sf_dir holds the six care tables written by ``ingest``
+
     def _src(self, name: str, cols: list[str]) -> DataFrame:
         return self.spark.read.parquet(os.path.join(self.sf_dir, f"{name}.parquet")).select(*cols)
 
     def _get(self, key, build):
         if key not in self._cache:
-            self._cache[key] = build()
+            if self.stored:
+                from carelens.sources.io import read_parquet_table
+                self._cache[key] = read_parquet_table(self.spark, os.path.join(self.sf_dir, key), key)
+            else:
+                self._cache[key] = build()
         return self._cache[key]
 
     @property
@@ -223,11 +229,12 @@ class CareTables:
 _REGISTRY: dict[tuple, CareTables] = {}
 
 
-def care_tables(spark: SparkSession, sf_dir: str, refresh: bool = False) -> CareTables:
+def care_tables(spark: SparkSession, sf_dir: str, refresh: bool = False, stored: bool = False) -> CareTables:
     """The care tables of one data folder, defined once per session (like tables
     registered in a catalog). Only the lazy plans are kept, no data; pass
-    ``refresh=True`` to re-list the folder after its files changed."""
-    key = (spark.sparkContext.applicationId, id(spark), os.path.abspath(sf_dir))
+    ``refresh=True`` to re-list the folder after its files changed. With
+    ``stored=True`` the folder holds the six tables written by ``ingest``."""
+    key = (spark.sparkContext.applicationId, id(spark), os.path.abspath(sf_dir), stored)
     if refresh or key not in _REGISTRY:
-        _REGISTRY[key] = CareTables(spark, sf_dir)
+        _REGISTRY[key] = CareTables(spark, sf_dir, stored=stored)
     return _REGISTRY[key]

@@ -54,12 +54,24 @@ def write_partitioned(df: DataFrame, path: str, partition_by: list[str], fmt: st
        .option("header", True).save(path))
 
 
+# Date partitioning of the event tables: trailing-window filters on these
+# columns prune whole partitions at the scan.
+DEFAULT_PARTITIONING = {
+    "encounters": ["encounter_date"],
+    "patient_surveys": ["survey_date"],
+    "data_governance_log": ["detected_date"],
+    "lab_results": ["result_date"],
+}
+
+
 def ingest(spark: SparkSession, tables: dict[str, DataFrame], out_dir: str,
            partition_by: dict[str, list[str]] | None = None) -> None:
-    """Persist the care tables as Parquet (optionally partitioned), the form later
-    analyses read with predicate and partition pushdown."""
+    """Persist the care tables as Parquet (event tables partitioned by date by
+    default), the form later analyses read with partition pruning and
+    predicate pushdown (``care_tables(spark, out_dir, stored=True)``)."""
+    parts = DEFAULT_PARTITIONING if partition_by is None else partition_by
     for name, df in tables.items():
-        cols = (partition_by or {}).get(name)
+        cols = parts.get(name)
         target = f"{out_dir.rstrip('/')}/{name}"
         if cols:
             write_partitioned(df, target, cols)
