@@ -32,11 +32,14 @@ def global_row_number(df: DataFrame, order: list[Column], n_parts: int | None =
 
     The rows are range-partitioned on the order keys and sorted inside each
     partition; each row's index inside its partition comes from
-    ``monotonically_increasing_id``; partition sizes (one row per partition)
-    give the offsets. Only the per-partition counts are windowed globally.
-    Include tie-breaker keys in ``order`` so the range partitioner can split
-    a value that holds a large share of the rows.
+    ``monotonically_increasing_id``. That ranged table (rows + partition id +
+    local index) is written once to the checkpoint folder, so the partition
+    sizes (one row per partition, windowed into offsets) and the numbering both
+    read it instead of shuffling the rows twice, and a lost executor does not
+    re-run the range shuffle. Include tie-breaker keys in ``order`` so the range
+    partitioner can split a value that holds a large share of the rows.
     """
+    from carelens.session import checkpointed
     spark = df.sparkSession
     n_parts = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Last sort key: the row's position in the scan. Exact copies of a row then
@@ -45,13 +48,15 @@ def global_row_number(df: DataFrame, order: list[Column], n_parts: int | None =
     # not change any result.
     keyed = df.withColumn("_uid", F.monotonically_increasing_id())
     order = list(order) + [F.col("_uid")]
-    ranged = (keyed.repartitionByRange(n_parts, *order)
-                   .sortWithinPartitions(*order)
-                   .withColumn("_mid", F.monotonically_increasing_id()))
-    ranged = ranged.select("*",
-                           F.shiftright("_mid", _LOCAL_BITS).alias("_pid"),
-                           (F.col("_mid") - F.shiftleft(F.shiftright("_mid", _LOCAL_BITS), _LOCAL_BITS))
-                           .alias("_local"))
+    mid = F.monotonically_increasing_id()
+    ranged = checkpointed(
+        keyed.repartitionByRange(n_parts, *order)
+             .sortWithinPartitions(*order)
+             .withColumn("_mid", mid)
+             .select(*df.columns,
+                     F.shiftright("_mid", _LOCAL_BITS).alias("_pid"),
+                     (F.col("_mid") - F.shiftleft(F.shiftright("_mid", _LOCAL_BITS), _LOCAL_BITS))
+                     .alias("_local")))
     sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_size"))
     offsets = sizes.select(
         "_pid",
@@ -60,7 +65,7 @@ def global_row_number(df: DataFrame, order: list[Column], n_parts: int | None =
     # at most n_parts rows: bounded broadcast
     numbered = ranged.join(F.broadcast(offsets), "_pid", "inner")
     return (numbered.withColumn(name, F.coalesce(F.col("_offset"), F.lit(0)) + F.col("_local") + 1)
-                    .drop("_uid", "_mid", "_pid", "_local", "_offset"))
+                    .drop("_pid", "_local", "_offset"))
 
 
 def ntile_from_row_number(row_number: Column, n_rows: Column, k: int) -> Column:
