@@ -2,10 +2,12 @@
 satisfaction versus clinical outcomes, follow-up lists and the CMS summary.
 
 Joins of surveys to encounters first reduce the surveys to ONE row per
-encounter (counts per tier, rating sums). Partial aggregation runs map-side, so
-an encounter carrying a large share of all surveys reaches the shuffle as one
-row per map task, and the aggregate's hash partitioning on encounter_id is
-reused by the join: a single shuffle of the survey side and a 1:1 join.
+encounter (counts per tier, rating sums) where the analysis only needs those;
+partial aggregation runs map-side, so an encounter carrying a large share of all
+surveys reaches the shuffle as one row per map task, and the aggregate's hash
+partitioning on encounter_id is reused by the join: a single shuffle of the
+survey side and a 1:1 join. Analyses that need the rating distribution
+(quartiles, ranks) keep one row per (encounter, rating) with a count instead.
 """
 
 from __future__ import annotations
