@@ -104,9 +104,19 @@ def _ed_visits_by_patient(t: CareTables) -> DataFrame:
              .agg(F.count(F.lit(1)).alias("_visits")))
 
 
+BROADCAST_MAX_PATIENTS = 2_000_000   # rows of (patient_id, insurance_type, chronic_conditions)
+
+
 def _ed_utilization(t: CareTables, keys: list[str]) -> DataFrame:
     p = t.patients.select("patient_id", "insurance_type", "chronic_conditions")
-    joined = _ed_visits_by_patient(t).join(p, "patient_id", "inner")
+    if p.count() <= BROADCAST_MAX_PATIENTS:
+        # proven small: broadcast it and join the ED rows map-side (no shuffle of
+        # encounters before the aggregate, so a hot patient costs nothing)
+        ed = t.encounters.where(F.col("encounter_type") == ED) \
+                         .select("patient_id", "department", F.lit(1).cast("long").alias("_visits"))
+        joined = ed.join(F.broadcast(p), "patient_id", "inner")
+    else:
+        joined = _ed_visits_by_patient(t).join(p, "patient_id", "inner")
     avoidable = F.when(F.col("chronic_conditions") >= 3, F.col("_visits")).otherwise(F.lit(0))
     return (joined.groupBy(*keys)
                   .agg(F.sum("_visits").alias("ed_visits"),

@@ -382,3 +382,13 @@ def test_global_row_number_spreads_copies(spark):
     assert sorted(r["rn"] for r in out) == list(range(1, 301))
     ordered = sorted(out, key=lambda r: r["rn"])
     assert [(r["v"], r["s"]) for r in ordered] == sorted((r["v"], r["s"]) for r in out)
+
+
+def test_ed_utilization_both_join_paths_agree(spark, monkeypatch):
+    from carelens.sources.adapters import care_tables
+    from tests.conftest import SF_SMALL
+    t = care_tables(spark, SF_SMALL)
+    small = sorted(map(tuple, kpi.kpi5_ed_utilization(t).collect()))
+    monkeypatch.setattr(kpi, "BROADCAST_MAX_PATIENTS", 0)     # force the pre-aggregate + shuffle path
+    large = kpi.kpi5_ed_utilization(t)
+    assert sorted(map(tuple, large.collect())) == small
