@@ -44,7 +44,11 @@ MODEL_SEED = 42
 
 def inpatient_frame(encounters: DataFrame, patients: DataFrame) -> DataFrame:
     """Inpatient encounters left-joined to their patient; calendar and age features."""
-    p = patients.select("patient_id", "age", "chronic_conditions", "insurance_type", "ehr_system")
+    from carelens.session import broadcast_if_small
+    # broadcast when a count proves the patient columns small: the left join is
+    # then map-side and a hot (e.g. orphan) patient key needs no skew handling
+    p = broadcast_if_small(patients.select("patient_id", "age", "chronic_conditions",
+                                           "insurance_type", "ehr_system"))
     e = encounters.where(F.col("encounter_type") == "Inpatient")
     d = F.col("encounter_date")
     dow = F.weekday(d)  # Monday = 0
