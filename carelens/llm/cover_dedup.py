@@ -10,7 +10,7 @@ equal passage shares an aligned anchor.
 2. Anchors of a document whose partner lies on one diagonal chain up: what they
    span equals the partner's text. Around the chains, where a match may extend
    left or right of its anchors, the 50-word windows themselves are compared by
-   128-bit hashes in one more exchange.
+   96-bit hashes in one more exchange.
 3. Words covered by a window that a smaller id also has are dropped.
 
 Only anchors and the windows around shared anchors are shuffled, never pairs. A
@@ -44,9 +44,10 @@ ANCHOR = WINDOW - PERIOD + 1
 _IN_COVER = np.zeros(PERIOD, bool)
 _IN_COVER[list(COVER)] = True
 
-ANCHOR_SCHEMA = ("k long, res boolean, hash long, doc_id long, th long, pos int, "
-                 "src_doc long, src_pos int, shared boolean")
-WINDOW_SCHEMA = "k long, k2 long, res boolean, doc_id long, th long, lo int, hi int"
+#: ``hash`` and ``src_*`` are set only on rows that were resolved inside their slice.
+ANCHOR_SCHEMA = "k long, doc_id long, pos int, hash long, src_doc long, src_pos int, shared boolean"
+#: ``hi`` is set only on resolved ranges; ``th`` tells apart rows that repeat a doc_id.
+WINDOW_SCHEMA = "k long, k2 int, doc_id long, th int, lo int, hi int"
 
 
 def _anchors(words: Words):
@@ -64,7 +65,6 @@ def _emit_anchors(batches):
             w = Words(part.column("text"))
             i, h = _anchors(w)
             ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-            th = part.column("th").to_numpy(zero_copy_only=False)
             doc, row, pos = ids[w.row[i]], w.row[i], w.pos[i]
             order = np.lexsort((pos, row, doc, h))
             h, doc, row, pos = h[order], doc[order], row[order], pos[order]
@@ -77,10 +77,10 @@ def _emit_anchors(batches):
             alone = np.bincount(lead, minlength=len(h))[lead] == 1 if len(h) else head
             key = np.where(head, h, mix(h ^ mix(doc.view(np.uint64))))
             yield pa.RecordBatch.from_arrays([
-                pa.array(signed(key)), pa.array(~head), pa.array(signed(h)), pa.array(doc), pa.array(th[row]),
-                pa.array(pos.astype(np.int32)), pa.array(doc[lead]), pa.array(pos[lead].astype(np.int32)),
-                pa.array(~alone)],
-                names=["k", "res", "hash", "doc_id", "th", "pos", "src_doc", "src_pos", "shared"])
+                pa.array(signed(key)), pa.array(doc), pa.array(pos.astype(np.int32)),
+                pa.array(signed(h), mask=head), pa.array(doc[lead], mask=head),
+                pa.array(pos[lead].astype(np.int32), mask=head), pa.array(~alone)],
+                names=["k", "doc_id", "pos", "hash", "src_doc", "src_pos", "shared"])
 
 
 def _spread(size: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -156,28 +156,31 @@ def _emit_windows(batches):
             base = w.first[r]
             n1, n2 = len(at), len(lo)
             k = np.concatenate([h1, mix(ids[r].view(np.uint64) ^ mix(lo.astype(np.uint64)))])
+            ranged = np.concatenate([np.ones(n1, bool), np.zeros(n2, bool)])
             yield pa.RecordBatch.from_arrays([
-                pa.array(signed(k)), pa.array(np.concatenate([signed(h2), np.zeros(n2, np.int64)])),
-                pa.array(np.concatenate([np.zeros(n1, bool), np.ones(n2, bool)])),
+                pa.array(signed(k)),
+                pa.array(np.concatenate([(h2 >> np.uint64(32)).astype(np.uint32).view(np.int32),
+                                         np.zeros(n2, np.int32)])),
                 pa.array(np.concatenate([ids[row], ids[r]])), pa.array(np.concatenate([th[row], th[r]])),
                 pa.array(np.concatenate([w.pos[at], lo - base]).astype(np.int32)),
-                pa.array(np.concatenate([w.pos[at] + WINDOW, hi - base]).astype(np.int32))],
-                names=["k", "k2", "res", "doc_id", "th", "lo", "hi"])
+                pa.array(np.concatenate([np.zeros(n1, int), hi - base]).astype(np.int32), mask=ranged)],
+                names=["k", "k2", "doc_id", "th", "lo", "hi"])
 
 
 def _cut(batches):
     for batch in batches:
-        texts, spans = batch.column("text"), batch.column("spans")
+        texts, spans, own = batch.column("text"), batch.column("spans"), batch.column("th").to_numpy()
         n, removed, kept, sha = [], [], [], []
-        for t, s in zip(texts, spans):
+        for t, s, th in zip(texts, spans, own):
             words = (t.as_py() or "").encode().split()
             n.append(len(words))
             if s.is_valid:
                 gone = np.zeros(len(words) + 1, np.int64)
                 lo = np.asarray(s.values.field("lo"))
                 hi = np.asarray(s.values.field("hi"))
-                np.add.at(gone, lo, 1)
-                np.add.at(gone, hi, -1)
+                mine = np.asarray(s.values.field("th")) == th
+                np.add.at(gone, lo[mine], 1)
+                np.add.at(gone, hi[mine], -1)
                 stay = np.cumsum(gone)[:-1] == 0
                 words = [x for x, k in zip(words, stay.tolist()) if k]
             removed.append(n[-1] - len(words))
@@ -194,25 +197,29 @@ def cover_dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, text, kept_sha256): every document with the
     words of repeated 50-word windows taken out; ``text`` is what is left."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = docs.withColumn("th", F.xxhash64("text"))
+    docs = docs.withColumn("th", F.hash("text"))
     named = docs.filter(F.col("doc_id").isNotNull())
-    order = Window.partitionBy("k", "res").orderBy("doc_id")
-    links = (named.mapInArrow(_emit_anchors, ANCHOR_SCHEMA)
-             .withColumn("head", F.first(F.struct("src_doc", "src_pos")).over(order))
-             .withColumn("next", F.lead("doc_id").over(order))
-             .filter(F.col("shared") | F.col("res") | (F.col("head.src_doc") < F.col("doc_id"))
+    order = Window.partitionBy("k").orderBy("doc_id", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    links = (named.select("doc_id", "text").mapInArrow(_emit_anchors, ANCHOR_SCHEMA)
+             .withColumn("head", F.first(F.struct("doc_id", "pos")).over(order))
+             .withColumn("next", F.lead("doc_id").over(Window.partitionBy("k").orderBy("doc_id", "pos")))
+             .filter(F.col("shared") | F.col("hash").isNotNull() | (F.col("head.doc_id") < F.col("doc_id"))
                      | F.col("next").isNotNull())
-             .groupBy("doc_id", "th")
-             .agg(F.collect_list(F.struct("hash", F.col("head.src_doc").alias("src_doc"),
-                                          F.col("head.src_pos").alias("src_pos"))).alias("links")))
-    windows = (named.join(links, ["doc_id", "th"])
+             .groupBy("doc_id")
+             .agg(F.collect_list(F.struct(
+                 F.coalesce("hash", "k").alias("hash"), F.coalesce("src_doc", "head.doc_id").alias("src_doc"),
+                 F.coalesce("src_pos", "head.pos").alias("src_pos"))).alias("links")))
+    windows = (named.join(links, "doc_id")
                .select("doc_id", "th", "text", "links").mapInArrow(_emit_windows, WINDOW_SCHEMA))
-    order = Window.partitionBy("k", "k2", "res").orderBy("doc_id")
+    order = Window.partitionBy("k", "k2").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
     spans = (windows.withColumn("head", F.first("doc_id").over(order))
-             .filter(F.col("res") | (F.col("head") < F.col("doc_id")))
-             .groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
+             .filter(F.col("hi").isNotNull() | (F.col("head") < F.col("doc_id")))
+             .groupBy("doc_id")
+             .agg(F.collect_list(F.struct("th", "lo", F.coalesce("hi", F.col("lo") + WINDOW).alias("hi")))
+                  .alias("spans")))
     out = "doc_id long, n_words long, n_removed long, text string, kept_sha256 string"
     whole = docs.filter(F.col("doc_id").isNull()).withColumn(
-        "spans", F.lit(None).cast("array<struct<lo:int,hi:int>>"))
-    return (named.join(spans, ["doc_id", "th"], "left").select("doc_id", "text", "spans")
-            .unionByName(whole.select("doc_id", "text", "spans")).mapInArrow(_cut, out))
+        "spans", F.lit(None).cast("array<struct<th:int,lo:int,hi:int>>"))
+    # both joins deal the texts out by doc_id alone, so Spark shuffles them once
+    return (named.join(spans, "doc_id", "left").select("doc_id", "th", "text", "spans")
+            .unionByName(whole.select("doc_id", "th", "text", "spans")).mapInArrow(_cut, out))
