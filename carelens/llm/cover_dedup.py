@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from carelens.llm.text import Words, mix, rolling, signed, slices
+from carelens.llm.text import Words, base_columns, mix, rolling, signed, slices
 
 WINDOW = 50
 PERIOD = 31
@@ -196,8 +196,7 @@ def _cut(batches):
 def cover_dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, text, kept_sha256): every document with the
     words of repeated 50-word windows taken out; ``text`` is what is left."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = docs.withColumn("th", F.hash("text"))
+    docs = base_columns(docs, "doc_id", "text").withColumn("th", F.hash("text"))
     named = docs.filter(F.col("doc_id").isNotNull())
     order = Window.partitionBy("k").orderBy("doc_id", "pos").rowsBetween(Window.unboundedPreceding, 0)
     links = (named.select("doc_id", "text").mapInArrow(_emit_anchors, ANCHOR_SCHEMA)

@@ -142,3 +142,13 @@ def crc_mod(ids, m: int) -> np.ndarray:
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
+
+
+def base_columns(docs, *names: str):
+    """The named columns of ``docs``, cast only where a type differs (an alias
+    on top of a column would keep Spark from reusing an exchange)."""
+    from pyspark.sql import functions as F
+    want = {"doc_id": "bigint"}
+    have = dict(docs.dtypes)
+    return docs.select(*[F.col(n) if have[n] == want.get(n, "string")
+                         else F.col(n).cast(want.get(n, "string")).alias(n) for n in names])
