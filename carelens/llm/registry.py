@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from carelens.llm import sql
 from carelens.llm.cover_dedup import cover_dedup
+from carelens.llm.crf_lang import crf_language
+from carelens.llm.line_rules import line_rules
+from carelens.llm.zstd_toxicity import zstd_toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +22,24 @@ def op7_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_dedup(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = [op7_cover_dedup]
+def op3_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document from per-word CRF posteriors."""
+    return crf_language(documents(spark, sf_dir))
+
+
+def op9_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by compression distance."""
+    return zstd_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line-first quality verdict of every document."""
+    return line_rules(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "n_lines", "n_lines_removed", "n_words_removed")
+
+
+QUERIES = [op3_crf_language, op7_cover_dedup, op9_zstd_toxicity, op10_line_rules]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -26,4 +47,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_line_rules": sql.LINE_RULES}
