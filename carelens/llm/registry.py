@@ -10,6 +10,7 @@ from carelens.llm import sql
 from carelens.llm.cover_dedup import cover_dedup
 from carelens.llm.crf_lang import crf_language
 from carelens.llm.line_rules import line_rules
+from carelens.llm.suffix_tree_lm import suffix_tree_lm
 from carelens.llm.zstd_toxicity import zstd_toxicity
 
 
@@ -17,6 +18,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every document under the suffix tree and the base formula."""
+    return suffix_tree_lm(documents(spark, sf_dir))
+
+
 def op7_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left after removing repeated 50-word windows, per document."""
     return cover_dedup(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -39,7 +45,7 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_lines", "n_lines_removed", "n_words_removed")
 
 
-QUERIES = [op3_crf_language, op7_cover_dedup, op9_zstd_toxicity, op10_line_rules]
+QUERIES = [op1_suffix_tree_lm, op3_crf_language, op7_cover_dedup, op9_zstd_toxicity, op10_line_rules]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
