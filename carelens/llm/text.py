@@ -21,6 +21,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_FOLD = _LOWER.copy()
+_FOLD[[b for b in range(128) if not chr(b).isalnum()]] = 0x20
 
 
 def _table(seed: int) -> np.ndarray:
@@ -69,10 +71,12 @@ class Words:
     ``row``    row of each word, ``pos`` index of the word inside its row,
     ``start``/``end`` byte positions in ``raw``."""
 
-    def __init__(self, col: pa.Array, lower: bool = False):
+    def __init__(self, col: pa.Array, lower: bool = False, fold: bool = False):
         raw, off = text_bytes(col)
         if lower:
             raw = _LOWER[raw]
+        if fold:  # lower case, ASCII punctuation counts as blank
+            raw = _FOLD[raw]
         self.raw, self.off = raw, off
         word = ~_SPACE[raw]
         size = len(raw)
