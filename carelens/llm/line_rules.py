@@ -42,21 +42,16 @@ def _strip(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 
 
-def _words(text: Column) -> Column:
-    stripped = _strip(text)
-    return F.when(stripped == "", F.array().cast("array<string>")).otherwise(F.split(stripped, "[ \\t-\\r]+"))
-
-
-def _judge(line: Column, p: dict) -> Column:
-    """(line, n words, ok) of one line."""
-    bare, words = _strip(line), _words(line)
-    n = F.size(words)
+def _judge(x: Column, p: dict) -> Column:
+    """(line, number of words, ok) of one line given as (line, bare, words)."""
+    line, bare, words = x["line"], x["bare"], x["words"]
+    n, low = F.size(words), F.lower(bare)
     fails = (~bare.rlike(SENTENCE)
              | (_count(line, SEPARATORS) > p["max_separators"] * n)
              | (_count(line, SYMBOLS) > p["max_symbols"] * n)
-             | ((n >= p["shout_words"]) & (F.upper(bare) == bare) & (F.lower(bare) != bare))
+             | ((n >= p["shout_words"]) & (low != bare) & (F.upper(bare) == bare))
              | ((n >= p["dull_words"]) & (F.size(F.array_distinct(words)) < p["min_distinct"] * n))
-             | F.lower(bare).rlike("|".join(BOILERPLATE)))
+             | reduce(lambda a, b: a | b, [F.contains(low, F.lit(t)) for t in BOILERPLATE]))
     return F.struct(line.alias("line"), n.alias("n"), (~fails).alias("ok"))
 
 
@@ -70,21 +65,25 @@ def line_rules(docs: DataFrame, max_loss: float = 0.5, max_symbols: float = 0.1,
              dull_words=dull_words, min_distinct=min_distinct)
     text = F.col("raw")
     df = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("raw"))
-    df = df.select("*", _words(text).alias("w"),
-                   F.filter(F.split(text, "\n", -1), lambda x: _strip(x) != "").alias("lines"))
+    df = df.select("*", F.filter(F.transform(
+        F.split(text, "\n", -1), lambda x: F.struct(x.alias("line"), _strip(x).alias("bare"))),
+        lambda x: x["bare"] != "").alias("bared"))
+    df = df.select("doc_id", "raw", F.transform("bared", lambda x: F.struct(
+        x["line"].alias("line"), x["bare"].alias("bare"), F.split(x["bare"], "[ \\t-\\r]+").alias("words"))).alias("rows"))
+    df = df.select("*", F.flatten(F.col("rows.words")).alias("w"), F.col("rows.line").alias("lines"))
     df = df.select("*", F.when(F.size("w") >= 5, F.transform(
         F.sequence(F.lit(0), F.size("w") - 5),
         lambda i: F.xxhash64(*[F.get(F.col("w"), i + j) for j in range(5)])))
         .otherwise(F.array().cast("array<bigint>")).alias("h"))
     # sorted (hash, position) pairs, only where some window occurs twice
-    df = df.select("*", F.when(F.size(F.array_distinct("h")) < F.size("h"), F.array_sort(
+    df = df.select("*", F.when(F.size(F.array_distinct("h")) < F.size("h"), F.sort_array(
         F.transform("h", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))).alias("pairs"))
     df = df.select("*", F.sort_array(F.transform(
         F.filter("pairs", lambda q, j: F.coalesce(
             (F.get(F.col("pairs"), j - 1)["x"] == q["x"]), F.lit(False))
             | F.coalesce(F.get(F.col("pairs"), j + 1)["x"] == q["x"], F.lit(False))),
         lambda q: q["i"])).alias("at"),
-        F.transform("lines", lambda x: _judge(x, p)).alias("judged"))
+        F.transform("rows", lambda x: _judge(x, p)).alias("judged"))
     covered = F.coalesce(F.aggregate(F.transform("at", lambda x, j: F.least(
         F.lit(5), F.coalesce(F.get(F.col("at"), j + 1) - x, F.lit(5)))), F.lit(0), lambda a, b: a + b), F.lit(0))
     ok = F.filter("judged", lambda x: x["ok"])
