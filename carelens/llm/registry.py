@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from carelens.llm import sql
+from carelens.llm.bag_minhash import near_duplicates
 from carelens.llm.cover_dedup import cover_dedup
 from carelens.llm.crf_lang import crf_language
+from carelens.llm.decontaminate import contained_items
+from carelens.llm.fuzzy_lines import dedup_lines
 from carelens.llm.line_rules import line_rules
+from carelens.llm.mix_sources import mix_sources
 from carelens.llm.suffix_tree_lm import suffix_tree_lm
 from carelens.llm.zstd_toxicity import zstd_toxicity
 
@@ -28,6 +33,37 @@ def op7_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_dedup(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+#: Target weights of the mix by level; sources weigh the same.
+MIX_WEIGHTS = {"domain": {"d0": 400, "d1": 300, "d2": 200, "d3": 100},
+               "lang": {"en": 500, "de": 200, "fr": 200, "es": 100}}
+
+
+def domain() -> Column:
+    """The test data names no domains: sources fall into four by their number."""
+    number = F.regexp_extract("source", "([0-9]+)$", 1).try_cast("int")
+    return F.concat(F.lit("d"), (number % 4).cast("string"))
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents."""
+    return contained_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op4_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return near_duplicates(documents(spark, sf_dir))
+
+
+def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and removed lines of every document."""
+    return dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed")
+
+
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and tokens of the mix, per epoch."""
+    return mix_sources(documents(spark, sf_dir), domain(), MIX_WEIGHTS).drop("th")
+
+
 def op3_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document from per-word CRF posteriors."""
     return crf_language(documents(spark, sf_dir))
@@ -45,7 +81,8 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_lines", "n_lines_removed", "n_words_removed")
 
 
-QUERIES = [op1_suffix_tree_lm, op3_crf_language, op7_cover_dedup, op9_zstd_toxicity, op10_line_rules]
+QUERIES = [op1_suffix_tree_lm, op2_decontaminate, op3_crf_language, op4_bag_minhash, op5_fuzzy_lines,
+           op7_cover_dedup, op8_mix_sources, op9_zstd_toxicity, op10_line_rules]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -53,4 +90,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_rules": sql.LINE_RULES}
+    return {"op8_mix_sources": sql.MIX_SOURCES, "op10_line_rules": sql.LINE_RULES}

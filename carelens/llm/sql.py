@@ -43,3 +43,47 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        n_lines, n_lines - n_ok AS n_lines_removed, n_words - n_kept AS n_words_removed
 FROM failed
 """
+
+
+def _share(level: int) -> str:
+    """One level of the budget: water-filling of each parent's budget over its children."""
+    tree = ("domain", "lang", "source")
+    keys, parent = ", ".join(tree[:level + 1]), ", ".join(tree[:level])
+    by = f"PARTITION BY {parent}" if parent else ""
+    weight = ("CASE domain WHEN 'd0' THEN 400 WHEN 'd1' THEN 300 WHEN 'd2' THEN 200 WHEN 'd3' THEN 100 ELSE 100 END",
+              "CASE lang WHEN 'en' THEN 500 WHEN 'de' THEN 200 WHEN 'fr' THEN 200 ELSE 100 END", "100")[level]
+    up = f"JOIN got{level - 1} USING ({parent})" if level else ""
+    budget = f"got{level - 1}.got" if level else "(SELECT CAST(floor(sum(n_tokens) * 0.5) AS BIGINT) FROM meta)"
+    return f"""
+node{level} AS (SELECT {keys}, cap, {budget} AS budget, {weight} AS w
+  FROM (SELECT {keys}, CAST(sum(tokens) * 2 AS BIGINT) AS cap FROM leaves GROUP BY {keys}) {up}),
+ranked{level} AS (SELECT *, sum(cap) OVER o - cap AS before,
+    sum(w) OVER ({by} ORDER BY cap / w, {tree[level]} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+  FROM node{level} WHERE cap > 0
+  WINDOW o AS ({by} ORDER BY cap / w, {tree[level]} ROWS UNBOUNDED PRECEDING)),
+judged{level} AS (SELECT *, CAST(cap AS DOUBLE) * rest <= CAST(w AS DOUBLE) * (budget - before) AS is_full FROM ranked{level}),
+open{level} AS (SELECT *, CAST(budget - sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER ({by}) AS DOUBLE) AS remaining,
+    sum(CASE WHEN is_full THEN 0 ELSE w END) OVER ({by}) AS all_w,
+    sum(CASE WHEN is_full THEN 0 ELSE w END) OVER ({by} ORDER BY cap / w, {tree[level]} ROWS UNBOUNDED PRECEDING) AS upto
+  FROM judged{level}),
+got{level} AS (SELECT {keys}, CAST(CASE WHEN is_full THEN cap
+    ELSE floor(remaining * upto / all_w) - floor(remaining * (upto - w) / all_w) END AS BIGINT) AS got FROM open{level})"""
+
+
+MIX_SOURCES = rf"""
+WITH meta AS (
+  SELECT doc_id, coalesce('d' || CAST(CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 4 AS VARCHAR), 'none') AS domain,
+         coalesce(lang, 'none') AS lang, coalesce(source, 'none') AS source,
+         CAST(len(list_filter(string_split_regex(text, '{_BLANKS}'), lambda w: w <> '')) AS BIGINT) AS n_tokens
+  FROM documents WHERE regexp_matches(text, '[^\x20\x09-\x0D]')),
+leaves AS (SELECT domain, lang, source, sum(n_tokens) AS tokens FROM meta GROUP BY 1, 2, 3),
+{_share(0)},{_share(1)},{_share(2)},
+quota AS (SELECT l.*, e AS epoch, least(tokens, got - e * tokens) AS quota
+  FROM leaves l JOIN got2 USING (domain, lang, source), range(2) AS r(e)),
+placed AS (SELECT m.*, q.epoch, q.quota, sum(n_tokens) OVER (
+    PARTITION BY domain, lang, source, q.epoch ORDER BY md5('20:' || q.epoch || ':' || doc_id) ROWS UNBOUNDED PRECEDING) - n_tokens AS start
+  FROM meta m JOIN quota q USING (domain, lang, source) WHERE q.quota > 0)
+SELECT doc_id, CAST(epoch AS INT) AS epoch, domain, lang, source, n_tokens,
+       CAST(least(n_tokens, quota - start) AS BIGINT) AS taken
+FROM placed WHERE start < quota
+"""
