@@ -15,6 +15,7 @@ from carelens.llm.decontaminate import contained_items
 from carelens.llm.fuzzy_lines import dedup_lines
 from carelens.llm.line_rules import line_rules
 from carelens.llm.mix_sources import mix_sources
+from carelens.llm.sparse_suffixes import repeated_passages
 from carelens.llm.suffix_tree_lm import suffix_tree_lm
 from carelens.llm.zstd_toxicity import zstd_toxicity
 
@@ -28,6 +29,11 @@ def op1_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree_lm(documents(spark, sf_dir))
 
 
+def op6_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that an earlier document holds too."""
+    return repeated_passages(documents(spark, sf_dir))
+
+
 def op7_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left after removing repeated 50-word windows, per document."""
     return cover_dedup(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -82,7 +88,7 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [op1_suffix_tree_lm, op2_decontaminate, op3_crf_language, op4_bag_minhash, op5_fuzzy_lines,
-           op7_cover_dedup, op8_mix_sources, op9_zstd_toxicity, op10_line_rules]
+           op6_sparse_suffixes, op7_cover_dedup, op8_mix_sources, op9_zstd_toxicity, op10_line_rules]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
