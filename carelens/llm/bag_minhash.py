@@ -174,3 +174,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 16, wi
         F.min("root").alias("class_id"), F.min("rep").alias("copy_of"))
     return docs.select("doc_id").join(named, "doc_id", "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"))
+
+
+def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """All columns of one row of each class: the smallest doc_id's; rows without doc_id stay."""
+    classes = near_duplicates(docs, threshold)
+    stay = classes.filter("doc_id = class_id").select("doc_id").distinct()
+    return (docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+            .unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns))

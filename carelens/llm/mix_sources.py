@@ -118,3 +118,19 @@ def mix_sources(docs: DataFrame, domain: Column, weights: dict, budget_share: fl
             .filter("start < room").withColumn("taken", F.least(F.col("n_tokens"), F.col("room") - F.col("start")))
             .select(*out))
     return whole.unionByName(edge)
+
+
+def mixed_documents(docs: DataFrame, domain: Column, weights: dict, **options) -> DataFrame:
+    """The mix with its texts: all columns of ``docs`` and domain, epoch, n_tokens,
+    taken; a document that is taken in part keeps its first ``taken`` words."""
+    mix = mix_sources(docs, domain, weights, **options).select(
+        F.col("doc_id").alias("__id"), F.col("th").alias("__th"), *[
+            F.col(c).alias(f"mix_{c}") for c in ("domain", "epoch", "n_tokens", "taken")])
+    mix = mix.dropDuplicates()
+    keyed = docs.withColumn("__key", F.xxhash64("text"))
+    words = F.split(F.btrim("text", F.lit(BLANKS)), "[ \\t-\\r]+")
+    cut = F.when(F.col("mix_taken") < F.col("mix_n_tokens"),
+                 F.array_join(F.slice(words, F.lit(1), F.col("mix_taken").cast("int")), " ")).otherwise(F.col("text"))
+    return (keyed.join(mix, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__th")))
+            .select(*[cut.alias(c) if c == "text" else F.col(c) for c in docs.columns],
+                    *[F.col(f"mix_{c}").alias(c) for c in ("domain", "epoch", "n_tokens", "taken")]))

@@ -69,7 +69,7 @@ def _contrast(own: Counter, n1: int, other: Counter, n2: int, least: float, rati
     extensions only the one with the clearest difference stays."""
     g = {}
     for s, k in own.items():
-        if k >= 5 and k / n1 > ratio * (other[s] + 0.5) / n2:
+        if k >= 3 and k / n1 > ratio * (other[s] + 0.5) / n2:
             v = _llr(k, other[s], n1, n2)
             if v > least:
                 g[s] = v
@@ -116,58 +116,61 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return b
 
 
-def fit_zstd(rows: list[tuple[int, str]], least: float = 30.0, ratio: float = 3.0) -> dict | None:
-    """Dictionaries and calibration from (label, text) rows."""
+def _dictionaries(counts, n, common: bytes, least: float, ratio: float) -> dict:
+    toxic = b"".join(reversed(_contrast(counts[1], n[1], counts[0], n[0], least, ratio)))
+    ordinary = b"".join(reversed(_contrast(counts[0], n[0], counts[1], n[1], least, ratio)))
+    # the stems stand before the common text, which so has the same distance in both
+    return {"toxic": toxic[-COMMON_BYTES:] + b" " + common, "ordinary": ordinary[-COMMON_BYTES:] + b" " + common}
+
+
+def fit_zstd(rows: list[tuple[int, str]], least: tuple = (10.0, 15.0, 20.0, 30.0, 45.0), ratio: float = 3.0) -> dict | None:
+    """Dictionaries and calibration from (label, text) rows. One half of the rows
+    makes the dictionaries, the other the calibration; of the significance levels
+    ``least`` the one with the smallest loss on the second half is taken."""
     y = np.array([a for a, _ in rows], int)
-    if not (0 < y.sum() < len(y)):
+    half = np.zeros(len(rows), bool)
+    for label in (0, 1):
+        half[np.flatnonzero(y == label)[::2]] = True
+    if not all(0 < y[x].sum() < x.sum() for x in (half, ~half)):
         return None
-    half = np.arange(len(rows)) % 2 == 0
     counts, n = [Counter(), Counter()], [0, 0]
     for (label, text), h in zip(rows, half):
         if h:
             counts[label].update(_stems(text))
             n[label] += 1
-    if not all(n):
-        return None
     plain = b"".join(w for (label, text), h in zip(rows, half) if h and not label for w in windows(text)[:8])
-    common = plain[:COMMON_BYTES]
-    toxic = b"".join(reversed(_contrast(counts[1], n[1], counts[0], n[0], least, ratio)))
-    ordinary = b"".join(reversed(_contrast(counts[0], n[0], counts[1], n[1], least, ratio)))
-    # the stems stand before the common text, which so has the same distance in both
-    model = {"toxic": toxic[-COMMON_BYTES:] + b" " + common, "ordinary": ordinary[-COMMON_BYTES:] + b" " + common}
-    x = _distance([t for _, t in rows], _codec(model["toxic"]), _codec(model["ordinary"]))
-    fit = ~half if 0 < y[~half].sum() < (~half).sum() else np.ones(len(y), bool)
-    share = y[fit].mean()
-    weight = np.where(y[fit] == 1, 0.5 / share, 0.5 / (1 - share))
-    model["mean"], model["sd"] = x[fit].mean(0), x[fit].std(0) + 1e-9
-    model["beta"] = _logistic((x[fit] - model["mean"]) / model["sd"], y[fit], weight)
-    return model
-
-
-def _score(model, threshold):
-    def run(batches):
-        m = model.value
-        toxic, ordinary = (_codec(m[k]) for k in ("toxic", "ordinary")) if m else (None, None)
-        for batch in batches:
-            score = np.zeros(batch.num_rows)
-            if m:
-                x = _distance(batch.column("text").to_pylist(), toxic, ordinary)
-                z = np.column_stack([np.ones(len(x)), (x - m["mean"]) / m["sd"]]) @ m["beta"]
-                score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(score),
-                 pa.array((score >= threshold).astype(np.int32))],
-                names=["doc_id", "held_out", "score", "predicted"])
-    return run
-
-
-def zstd_toxicity(docs: DataFrame, labels: DataFrame, train_docs: int = 1500, train_chars: int = 20_000,
-                  threshold: float = 0.7) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every document; labels of rows
-    whose crc32(doc_id) mod 3 is 1 are held out from learning."""
-    spark = docs.sparkSession
+    texts, z = [t for (_, t), h in zip(rows, half) if not h], y[~half]
+    share = z.mean()
+    weight = np.where(z == 1, 0.5 / share, 0.5 / (1 - share))
+    best = None
+    for level in least:
+        m = _dictionaries(counts, n, plain[:COMMON_BYTES], level, ratio)
+        x = _distance(texts, *_codecs(m))
+        m["mean"], m["sd"] = x.mean(0), x.std(0) + 1e-9
+        x = (x - m["mean"]) / m["sd"]
+        m["beta"] = _logistic(x, z, weight)
+        p = 1 / (1 + np.exp(-np.clip(np.column_stack([np.ones(len(x)), x]) @ m["beta"], -30, 30)))
+        loss = -(weight * np.log(np.where(z == 1, p, 1 - p) + 1e-12)).sum()
+        if best is None or loss < best[0]:
+            best = (loss, m)
+    return best[1]
+
+
+def _scores(m: dict | None, texts: list, codecs) -> np.ndarray:
+    if m is None:
+        return np.zeros(len(texts))
+    x = _distance(texts, *codecs)
+    z = np.column_stack([np.ones(len(x)), (x - m["mean"]) / m["sd"]]) @ m["beta"]
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _codecs(m: dict | None):
+    return (_codec(m["toxic"]), _codec(m["ordinary"])) if m else None
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, train_docs: int, train_chars: int):
+    """The model, broadcast, from the documents whose labels may be learned from."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     known = (labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold != 1))
              .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -177,10 +180,43 @@ def zstd_toxicity(docs: DataFrame, labels: DataFrame, train_docs: int = 1500, tr
         share = F.when(F.col("toxic") == 1, min(1.0, train_docs / counts[1]) * 1e6).otherwise(
             min(1.0, train_docs / counts[0]) * 1e6)
         picked = F.broadcast(known.filter(place < share))  # about train_docs rows per class
-        rows = (docs.filter(F.col("text").isNotNull()).join(picked, "doc_id")
+        rows = (docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull())
+                .join(picked, "doc_id")
                 .select("toxic", F.substring("text", 1, train_chars).alias("text"),
                         F.xxhash64("doc_id", F.lit(13)).alias("o")).collect())
         model = fit_zstd([(r["toxic"], r["text"]) for r in sorted(rows, key=lambda r: (r["o"], r["text"]))])
-    return (docs.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "text")
-            .mapInArrow(_score(spark.sparkContext.broadcast(model), threshold),
-                        "doc_id long, held_out boolean, score double, predicted int"))
+    return docs.sparkSession.sparkContext.broadcast(model)
+
+
+def zstd_toxicity(docs: DataFrame, labels: DataFrame, train_docs: int = 1500, train_chars: int = 20_000,
+                  threshold: float = 0.7) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every document; labels of rows
+    whose crc32(doc_id) mod 3 is 1 are held out from learning."""
+    shared = _fitted(docs, labels, train_docs, train_chars)
+
+    def run(batches):
+        codecs = _codecs(shared.value)
+        for batch in batches:
+            score = _scores(shared.value, batch.column("text").to_pylist(), codecs)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(score),
+                 pa.array((score >= threshold).astype(np.int32))],
+                names=["doc_id", "held_out", "score", "predicted"])
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    kind = dict(docs.dtypes)["doc_id"]
+    return (docs.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"),
+                        F.col("text").cast("string").alias("text"))
+            .mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, train_docs: int = 1500, train_chars: int = 20_000,
+               threshold: float = 0.7) -> DataFrame:
+    """The documents (all columns) that score below the threshold."""
+    shared = _fitted(docs, labels, train_docs, train_chars)
+
+    def run(batches):
+        codecs = _codecs(shared.value)
+        for batch in batches:
+            score = _scores(shared.value, batch.column("text").to_pylist(), codecs)
+            yield batch.filter(pa.array(score < threshold))
+    return docs.mapInArrow(run, docs.schema)
