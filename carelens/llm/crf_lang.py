@@ -127,10 +127,11 @@ def _posteriors(e: np.ndarray, first: np.ndarray, n: np.ndarray, move: np.ndarra
     return out
 
 
-def fit_crf(segments: list[tuple[str, str]], langs: list[str], epochs: int = 6, rate: float = 0.3,
-            decay: float = 1e-4, batch: int = 96, min_lexicon: int = 3) -> dict:
+def fit_crf(segments: list[tuple[str, str]], langs: list[str], epochs: int = 6, steps: int = 150,
+            rate: float = 0.3, decay: float = 1e-4, batch: int = 48, min_lexicon: int = 3) -> dict:
     """Fit weights and transitions on (language, segment) pairs by AdaGrad on the
-    CRF's log-likelihood. The segments are a bounded sample."""
+    CRF's log-likelihood, ``epochs`` times over them and at least so many steps.
+    The segments are a bounded sample."""
     k = len(langs)
     rng = np.random.default_rng(7)
     label = np.array([langs.index(x) for x, _ in segments])
@@ -145,7 +146,7 @@ def fit_crf(segments: list[tuple[str, str]], langs: list[str], epochs: int = 6,
     g_w, g_l, g_m = np.full(weights.shape, 1e-6), np.full(lex.shape, 1e-6), np.full(move.shape, 1e-6)
     in_lex = np.zeros(len(u), bool)
     in_lex[lexical] = True
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-steps * 2 * batch // max(len(label), 1)))):
         perm = rng.permutation(len(label))
         for lo in range(0, len(perm) - 1, 2 * batch):
             pick = perm[lo:lo + 2 * batch]
