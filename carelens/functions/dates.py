@@ -7,9 +7,7 @@ import datetime as _dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Analyses with a trailing window take an explicit reference date instead of
-# "now", so results are reproducible.
-DEFAULT_AS_OF = _dt.date(2001, 8, 1)
+# Analyses with a trailing window take the reference date of their tables.
 DEFAULT_WINDOW_MONTHS = 24
 
 
@@ -31,6 +29,6 @@ def week_start(d: Column | str) -> Column:
     return F.date_trunc("week", d).cast("date")
 
 
-def window_start(as_of: _dt.date | None = None, months: int = DEFAULT_WINDOW_MONTHS) -> Column:
+def window_start(as_of: _dt.date, months: int = DEFAULT_WINDOW_MONTHS) -> Column:
     """First day (inclusive) of a trailing window of ``months`` ending at ``as_of``."""
-    return F.add_months(F.lit(as_of or DEFAULT_AS_OF), -months)
+    return F.add_months(F.lit(as_of), -months)

@@ -14,7 +14,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from carelens.functions.tiers import right_closed_bins
@@ -44,11 +44,7 @@ MODEL_SEED = 42
 
 def inpatient_frame(encounters: DataFrame, patients: DataFrame) -> DataFrame:
     """Inpatient encounters left-joined to their patient; calendar and age features."""
-    from carelens.session import broadcast_if_small
-    # broadcast when a count proves the patient columns small: the left join is
-    # then map-side and a hot (e.g. orphan) patient key needs no skew handling
-    p = broadcast_if_small(patients.select("patient_id", "age", "chronic_conditions",
-                                           "insurance_type", "ehr_system"))
+    p = patients.select("patient_id", "age", "chronic_conditions", "insurance_type", "ehr_system")
     e = encounters.where(F.col("encounter_type") == "Inpatient")
     d = F.col("encounter_date")
     dow = F.weekday(d)  # Monday = 0
@@ -74,10 +70,29 @@ def feature_table(encounters: DataFrame, patients: DataFrame) -> DataFrame:
     return coded.select("encounter_id", LABEL, *FEATURES)
 
 
-def split_flag(key: str = "encounter_id", seed: int = SPLIT_SEED, percent: int = TRAIN_PERCENT):
-    """Deterministic train flag from a hash of the row key: independent of
-    partitioning and of task retries."""
-    return F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(100)) < percent
+def stratified_split(df: DataFrame, key: str = "encounter_id", label: str = LABEL, seed: int = SPLIT_SEED,
+                     percent: int = TRAIN_PERCENT) -> DataFrame:
+    """Add ``is_train``: of each class exactly ``percent`` percent of the rows (rounded
+    down), the first by md5(seed:key). Independent of partitioning and retries.
+
+    A class is cut at the hash where its quota ends: a histogram over 4096 md5
+    prefixes gives the prefix, and only that prefix's rows are ranked."""
+    place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    df = df.withColumn("_place", place).withColumn("_cell", F.substring("_place", 1, 3))
+    cells = df.groupBy(label, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(label).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+    whole = F.sum("_n").over(Window.partitionBy(label))
+    room = F.floor(whole * percent / 100) - (F.sum("_n").over(w) - F.col("_n"))
+    edges = cells.select(label, "_cell", F.greatest(F.least(room, F.col("_n")), F.lit(0)).alias("_room"), "_n")
+    # at most 4096 rows per class
+    rows = df.join(F.broadcast(edges.withColumnRenamed(label, "_y")),
+                   F.col(label).eqNullSafe(F.col("_y")) & (df["_cell"] == edges["_cell"])).drop(edges["_cell"], "_y")
+    cut = (F.col("_room") > 0) & (F.col("_room") < F.col("_n"))
+    names = [c for c in df.columns if not c.startswith("_")]
+    sure = rows.where(~cut).withColumn("is_train", F.col("_room") == F.col("_n"))
+    rank = F.row_number().over(Window.partitionBy(label, "_cell").orderBy("_place"))
+    edge = rows.where(cut).withColumn("is_train", rank <= F.col("_room"))
+    return sure.select(*names, "is_train").unionByName(edge.select(*names, "is_train"))
 
 
 def assemble(features: DataFrame) -> DataFrame:
@@ -112,7 +127,7 @@ class ReadmissionModels:
     """Feature table, split and the three fitted models for one data folder."""
 
     def __init__(self, encounters: DataFrame, patients: DataFrame):
-        feats = assemble(feature_table(encounters, patients)).withColumn("is_train", split_flag())
+        feats = stratified_split(assemble(feature_table(encounters, patients)))
         self.data = feats.persist(StorageLevel.MEMORY_AND_DISK)
         self.train = self.data.where("is_train")
         self.test = self.data.where("NOT is_train")

@@ -57,11 +57,9 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     """Child rows without a parent row. NULL keys never match and are kept,
-    exactly as LEFT JOIN ... WHERE parent.key IS NULL does. The parent keys are
-    broadcast when a count proves them small (the anti join then runs map-side,
-    so a hot orphan key costs nothing); otherwise AQE splits skewed partitions."""
-    from carelens.session import broadcast_if_small
-    return child.join(broadcast_if_small(parent.select(key)), key, "left_anti")
+    exactly as LEFT JOIN ... WHERE parent.key IS NULL does. AQE broadcasts the
+    parent keys below its size threshold and else splits skewed partitions."""
+    return child.join(parent.select(key), key, "left_anti")
 
 
 def lab_reference_flags(labs: DataFrame) -> DataFrame:

@@ -25,10 +25,10 @@ def _clamp_unit(r: Column) -> Column:
 
 def control_limits(df: DataFrame, value: str, sigma: float = 3.0, scale: int = 4) -> DataFrame:
     """Shewhart limits mean +/- sigma * sd (sample sd) over all rows of an
-    aggregated series; LCL floored at 0; strict out-of-control test.
-    The mean and sd are scalar subqueries, each attached once as a column."""
-    base = (df.withColumn("_m", df.agg(F.avg(value)).scalar())
-              .withColumn("_sd", df.agg(F.stddev_samp(value)).scalar()))
+    aggregated series (one row per period: the window is bounded by them); LCL
+    floored at 0; strict out-of-control test."""
+    every = Window.partitionBy()
+    base = (df.withColumn("_m", F.avg(value).over(every)).withColumn("_sd", F.stddev_samp(value).over(every)))
     mean, sd = F.col("_m"), F.col("_sd")
     ucl = mean + F.lit(sigma) * sd
     lcl = F.greatest(F.lit(0.0), mean - F.lit(sigma) * sd)
@@ -105,9 +105,8 @@ def pearson(df: DataFrame, x: str, y: str, scale: int = 4) -> DataFrame:
 def average_ranks(df: DataFrame, value: str, weight: str, name: str) -> DataFrame:
     """(value, name): the average 1-based rank of each distinct non-NULL ``value``
     among the weighted rows (ties share the mean of their ranks). Built from a
-    histogram with cumulative counts (range-wise when large), so no global sort
-    of rows. Pass a materialised (checkpointed) input: it is read more than once."""
-    from carelens.operators.evaluation import cumulative_counts
+    histogram with cumulative counts, so no global sort of rows."""
+    from carelens.operators.ranges import cumulative_counts
     hist = (df.where(F.col(value).isNotNull()).groupBy(value)
               .agg(F.sum(weight).cast("bigint").alias("_c")))
     cum = cumulative_counts(hist, value, ["_c"])
@@ -118,16 +117,14 @@ def spearman(df: DataFrame, x: str, y: str, weight: str | None = None, scale: in
     """Spearman rank correlation (Pearson r of average ranks) over complete pairs.
     One row: n, rho.
 
-    The data is read once: it is reduced to the joint histogram of (x, y) with
-    counts (checkpointed); average ranks come from its marginals, and the rank
-    moments from the histogram joined with the two rank tables (one row per
-    distinct value, broadcast when a count proves them small)."""
-    from carelens.session import broadcast_if_small, checkpointed
+    The data is reduced to the joint histogram of (x, y) with counts; average
+    ranks come from its marginals, and the rank moments from the histogram joined
+    with the two rank tables (one row per distinct value). The histogram's shuffle
+    is shared by its readers in one plan."""
     w = F.col(weight) if weight else F.lit(1)
-    joint = checkpointed(df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-                           .groupBy(x, y).agg(F.sum(w).cast("bigint").alias("_w")))
-    rx = broadcast_if_small(average_ranks(joint, x, "_w", "_rx"))
-    ry = broadcast_if_small(average_ranks(joint, y, "_w", "_ry"))
+    joint = (df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+               .groupBy(x, y).agg(F.sum(w).cast("bigint").alias("_w")))
+    rx, ry = average_ranks(joint, x, "_w", "_rx"), average_ranks(joint, y, "_w", "_ry")
     ranked = joint.join(rx, x, "inner").join(ry, y, "inner")
     cw = F.col("_w").cast("double")
     sums = ranked.select(cw.alias("n"), (cw * F.col("_rx")).alias("sx"), (cw * F.col("_ry")).alias("sy"),

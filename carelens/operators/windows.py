@@ -3,16 +3,17 @@ numbers and NTILE, running shares and period-over-period trends.
 
 Unpartitioned windows (``Window.partitionBy()``) are used only on inputs whose
 size is bounded by a dimension (departments, issue types, weeks); everything
-that grows with the data goes through :func:`global_row_number`.
+that grows with the data goes through :mod:`carelens.operators.ranges`.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_LOCAL_BITS = 33  # monotonically_increasing_id: partition id above bit 33, row index below
-
+from carelens.operators.ranges import cumulative_counts, global_row_number, position
 
 def latest_rows(df: DataFrame, key: str) -> DataFrame:
     """Rows whose ``key`` equals the maximum ``key`` (a scalar subquery, evaluated once)."""
@@ -26,48 +27,6 @@ def top_distinct(df: DataFrame, key: str, n: int, descending: bool = True) -> Da
     return F.broadcast(df.select(key).distinct().orderBy(order).limit(n))
 
 
-def global_row_number(df: DataFrame, order: list[Column], n_parts: int | None = None,
-                      name: str = "row_number") -> DataFrame:
-    """1-based row number over a total order, without funnelling all rows into one task.
-
-    The rows are range-partitioned on the order keys and sorted inside each
-    partition; each row's index inside its partition comes from
-    ``monotonically_increasing_id``. That ranged table (rows + partition id +
-    local index) is written once to the checkpoint folder, so the partition
-    sizes (one row per partition, windowed into offsets) and the numbering both
-    read it instead of shuffling the rows twice, and a lost executor does not
-    re-run the range shuffle. Include tie-breaker keys in ``order`` so the range
-    partitioner can split a value that holds a large share of the rows.
-    """
-    from carelens.session import checkpointed
-    spark = df.sparkSession
-    n_parts = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Last sort key: the row's position in the scan. Exact copies of a row then
-    # have distinct keys, so the range partitioner can spread even a group of
-    # copies holding a large share of the rows; the numbering among copies does
-    # not change any result.
-    keyed = df.withColumn("_uid", F.monotonically_increasing_id())
-    order = list(order) + [F.col("_uid")]
-    mid = F.monotonically_increasing_id()
-    ranged = checkpointed(
-        keyed.repartitionByRange(n_parts, *order)
-             .sortWithinPartitions(*order)
-             .withColumn("_mid", mid)
-             .select(*df.columns,
-                     F.shiftright("_mid", _LOCAL_BITS).alias("_pid"),
-                     (F.col("_mid") - F.shiftleft(F.shiftright("_mid", _LOCAL_BITS), _LOCAL_BITS))
-                     .alias("_local")))
-    sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_size"))
-    offsets = sizes.select(
-        "_pid",
-        (F.sum("_size").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
-        .alias("_offset"))
-    # at most n_parts rows: bounded broadcast
-    numbered = ranged.join(F.broadcast(offsets), "_pid", "inner")
-    return (numbered.withColumn(name, F.coalesce(F.col("_offset"), F.lit(0)) + F.col("_local") + 1)
-                    .drop("_pid", "_local", "_offset"))
-
-
 def ntile_from_row_number(row_number: Column, n_rows: Column, k: int) -> Column:
     """NTILE(k) bucket of a 1-based row number among ``n_rows`` rows: the first
     ``n mod k`` buckets hold one row more, as the SQL window function does."""
@@ -78,35 +37,51 @@ def ntile_from_row_number(row_number: Column, n_rows: Column, k: int) -> Column:
             .otherwise(r + F.floor((row_number - big - 1) / q) + 1).cast("int")
 
 
-def ntile_global(df: DataFrame, k: int, order: list[Column], name: str = "ntile") -> DataFrame:
-    """Distributed ``NTILE(k) OVER (ORDER BY order)``."""
+def ntile_global(df: DataFrame, k: int, order: list[str], name: str = "ntile") -> DataFrame:
+    """Distributed ``NTILE(k) OVER (ORDER BY order)``, ascending with NULL first."""
     n = df.agg(F.count(F.lit(1))).scalar()
     numbered = global_row_number(df, order, name="_rn").withColumn("_n", n)  # one subquery, referenced once
     return numbered.withColumn(name, ntile_from_row_number(F.col("_rn"), F.col("_n"), k)).drop("_rn", "_n")
 
 
-def lowest_ntile(df: DataFrame, k: int, value: str, tiebreak: list[str]) -> DataFrame:
-    """Rows of bucket 1 of ``NTILE(k) OVER (ORDER BY value ASC NULLS FIRST, tiebreak...)``.
-
-    Bucket 1 is the first ceil(n / k) rows. A histogram of ``value`` (one row
-    per distinct value, cumulated range-wise) gives the smallest value t whose
-    cumulative count reaches that size; only rows with value <= t (or NULL) can
-    be in bucket 1, so just that prefix is range-partitioned and numbered."""
-    from carelens.operators.evaluation import cumulative_counts
-    from carelens.session import checkpointed
-    v = F.col(value)
-    # one scan: histogram of the value, NULL group included, materialised once;
-    # the row count, the NULL count and the threshold all come from it
-    hist_all = checkpointed(df.groupBy(value).agg(F.count(F.lit(1)).alias("_cnt")))
-    n = hist_all.agg(F.sum("_cnt")).scalar()
-    n_null = hist_all.agg(F.coalesce(F.sum(F.when(v.isNull(), F.col("_cnt"))), F.lit(0))).scalar()
-    size = F.ceil(n / F.lit(float(k)))
-    cum = cumulative_counts(hist_all.where(v.isNotNull()), value, ["_cnt"])
-    threshold = cum.where(F.col("cum__cnt") + n_null >= size).agg(F.min(value)).scalar()
-    prefix = df.where(v.isNull() | (v <= threshold))
-    order = [v.asc_nulls_first()] + [F.col(c).asc_nulls_first() for c in tiebreak]
-    numbered = global_row_number(prefix, order, name="_rn").withColumn("_size", size)
-    return numbered.where(F.col("_rn") <= F.col("_size")).drop("_rn", "_size")
+def first_of_lowest_ntile(df: DataFrame, k: int, value: str, tiebreak: list[str], limit: int,
+                          join: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The first ``limit`` rows of ``join(bucket 1)``, where bucket 1 is that of
+    ``NTILE(k) OVER (ORDER BY value, tiebreak...)`` (ascending, NULL first), in
+    that order. ``join`` adds columns and may drop rows.
+
+    Bucket 1 is the first ceil(n / k) rows. The histogram of ``value`` gives the
+    value t on which it ends and how many rows with exactly t belong to it. Rows
+    below t belong to it for certain; of the rows at t only those that reach the
+    top ``limit`` are ranked, by counting the rows at t that come before each of
+    them. So no part of the table is numbered or sorted as a whole."""
+    hist = df.groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
+    # NULL is the lowest value: (is not null, value) orders it first
+    keyed = hist.select(F.struct(F.col(value).isNotNull().alias("known"), F.col(value).alias("v")).alias("_k"), "_c")
+    size = F.ceil(F.col("_n") / F.lit(float(k)))
+    cut = (cumulative_counts(keyed, "_k", ["_c"]).withColumn("_n", hist.agg(F.sum("_c")).scalar())
+           .where(F.col("cum__c") >= size)
+           .agg(F.min(F.struct("_k", (size - (F.col("cum__c") - F.col("_c"))).alias("room"))).alias("cut")))
+    here = F.struct(F.col(value).isNotNull().alias("known"), F.col(value).alias("v"))
+    low = df.withColumn("_cut", cut.scalar()).where(here <= F.col("_cut._k"))
+    low = low.withColumn("_tie", here == F.col("_cut._k"))
+    ranking = [F.col(c).asc_nulls_first() for c in [value, *tiebreak]]
+    top = join(low).orderBy(*ranking).limit(limit)
+    key = F.struct(*tiebreak)
+    own = top.where("_tie").agg(F.array_sort(F.collect_set(key)))
+    ties = low.where("_tie").withColumn("_own", own.scalar())
+    before = (ties.groupBy(position(F.col("_own"), key, limit, strict=False).alias("_at"))
+              .agg(F.count(F.lit(1)).alias("_c")))
+    # at most limit + 1 rows: how many ties stand before the j-th of the top's keys
+    counts = before.agg(F.array_sort(F.collect_list(F.struct("_at", "_c"))))
+    ranked = (top.withColumn("_own", own.scalar()).withColumn("_counts", counts.scalar())
+              .withColumn("_j", position(F.col("_own"), key, limit, strict=False) - 1))
+    ahead = F.aggregate(F.filter("_counts", lambda x: x["_at"] <= F.col("_j")), F.lit(0).cast("long"),
+                        lambda a, x: a + x["_c"])
+    copy = F.row_number().over(Window.partitionBy("_tie", *tiebreak).orderBy(*[F.col(c) for c in tiebreak]))
+    return (ranked.withColumn("_copy", copy)
+                  .where(~F.col("_tie") | (ahead + F.col("_copy") <= F.col("_cut.room")))
+                  .drop("_cut", "_tie", "_own", "_counts", "_j", "_copy").orderBy(*ranking))
 
 
 def running_share(df: DataFrame, value: str, order: list[Column]) -> DataFrame:

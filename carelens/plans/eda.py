@@ -14,7 +14,7 @@ from carelens.functions.numeric import ratio
 from carelens.operators.stats import describe, histogram
 from carelens.operators.windows import latest_rows
 from carelens.sources.adapters import CareTables
-from carelens.sources.dimensions import MEASURES, READMISSION_BENCHMARK_RATE, TREND_MEASURES
+from carelens.sources.dimensions import READMISSION_BENCHMARK_RATE, TREND_MEASURES
 
 
 def eda_describe(t: CareTables) -> DataFrame:
@@ -50,17 +50,18 @@ def eda_monthly_encounters(t: CareTables) -> DataFrame:
 
 
 def eda_measure_heatmap(t: CareTables) -> DataFrame:
-    """Latest quarter: department x measure performance rates (pivot over the
-    fixed measure list, so no extra pass collects the pivot values)."""
+    """Latest quarter: department x measure performance rates, one column per
+    measure in the data (Spark lists them first and refuses more than
+    ``spark.sql.pivotMaxValues``)."""
     latest = latest_rows(t.quality_measures, "quarter").where(F.col("department").isNotNull())
-    return (latest.groupBy("department").pivot("measure", MEASURES).agg(F.max("performance_rate"))
+    return (latest.where(F.col("measure").isNotNull()).groupBy("department").pivot("measure").agg(F.max("performance_rate"))
                   .orderBy("department"))
 
 
 def eda_readmission_by_dept(t: CareTables) -> DataFrame:
     """Inpatient readmission rate, count and total per department, flagged
     against the 15 % benchmark."""
-    e = t.encounters.where((F.col("encounter_type") == "Inpatient") & F.col("department").isNotNull())
+    e = t.encounters_of("Inpatient").where(F.col("department").isNotNull())
     return (e.groupBy("department")
              .agg(F.round(F.avg("readmission_30d"), 6).alias("rate"),
                   F.sum("readmission_30d").alias("readmissions"),

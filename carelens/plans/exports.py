@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from carelens.functions.numeric import round_clean
@@ -47,21 +47,26 @@ def improvement_rates(t: CareTables) -> DataFrame:
 
 def hours_allocation(t: CareTables) -> DataFrame:
     """Weekly analyst hours per department for each quarter: budget 200, 15..40 each,
-    maximising expected improvement points."""
+    maximising expected improvement points, next to the equal split."""
     alloc = bounded_allocation(improvement_rates(t), ["quarter"], "department", "rate",
                                ALLOCATION_BUDGET, ALLOCATION_MIN_HOURS, ALLOCATION_MAX_HOURS)
     hours = F.round("hours", 1)
-    return (alloc.select("quarter", "department", "rate", "alloc_rank", "feasible",
-                         hours.alias("hours"),
-                         F.round(hours * F.col("rate") * 100, 6).alias("expected_points"))
-                 .orderBy("quarter", "alloc_rank"))
+    points = round_clean(hours * F.col("rate") * 100, 2)
+    quarter = Window.partitionBy("quarter")
+    return (alloc.select("quarter", "department", F.col("rate").alias("_rate"), "alloc_rank", "feasible",
+                         hours.alias("hours"), points.alias("expected_points"))
+                 .select("quarter", "department", round_clean(F.col("_rate"), 4).alias("rate"), "alloc_rank", "feasible",
+                         "hours", "expected_points",
+                         (F.col("expected_points") > F.round(F.avg("expected_points").over(quarter), 8)).alias("above_average"),
+                         F.round(F.lit(ALLOCATION_BUDGET) / F.count(F.lit(1)).over(quarter), 6).alias("equal_split_hours"))
+                 .orderBy("quarter", F.col("expected_points").desc(), "alloc_rank"))
 
 
 def export_bi_quality(t: CareTables, path: str, fmt: str = "csv") -> None:
-    """Write the BI export partitioned by quarter (one folder per quarter, header
-    per file), so dashboards read only the quarters they show."""
+    """Write the BI export, one folder ``period=<quarter>`` per quarter with a header
+    per file; ``quarter`` stays a column of the files, so each loads on its own."""
     from carelens.sources.io import write_partitioned
-    write_partitioned(bi_quality_export(t), path, ["quarter"], fmt=fmt)
+    write_partitioned(bi_quality_export(t).withColumn("period", F.col("quarter")), path, ["period"], fmt=fmt)
 
 
 def export_cms_submission(t: CareTables, path: str) -> None:

@@ -23,10 +23,9 @@ ED = "ED"
 
 def kpi1_readmission_rate(t: CareTables, as_of: _dt.date | None = None) -> DataFrame:
     """30-day readmission rate by department and quarter over a trailing 24 months."""
-    e = t.encounters
+    e = t.encounters_of(INPATIENT)
     rate = pct(F.sum("readmission_30d"), F.count(F.lit(1)), 2)
-    return (e.where((F.col("encounter_type") == INPATIENT)
-                    & (F.col("encounter_date") >= window_start(as_of)))
+    return (e.where(F.col("encounter_date") >= window_start(as_of or t.as_of))
              .groupBy("department", quarter_label("encounter_date").alias("quarter"))
              .agg(F.count(F.lit(1)).alias("total_encounters"),
                   F.sum("readmission_30d").alias("readmissions"),
@@ -42,7 +41,7 @@ def kpi2_alos_variance(t: CareTables) -> DataFrame:
     One scan: the hospital average is Σsum / Σcount over the per-department
     partial results (a window over at most one row per department), so the
     encounters table is not read twice."""
-    e = t.encounters.where((F.col("encounter_type") == INPATIENT) & (F.col("length_of_stay") > 0))
+    e = t.encounters_of(INPATIENT).where(F.col("length_of_stay") > 0)
     per_dept = (e.groupBy("department")
                  .agg(F.sum("length_of_stay").alias("_sum"),
                       F.count(F.lit(1)).alias("inpatient_volume"),
@@ -99,24 +98,14 @@ def _ed_visits_by_patient(t: CareTables) -> DataFrame:
     Partial aggregation collapses a patient with very many visits (or the
     orphan key shared by many encounters) to at most one row per department and
     map task, so the join input is skew-free and smaller."""
-    return (t.encounters.where(F.col("encounter_type") == ED)
+    return (t.encounters_of(ED)
              .groupBy("patient_id", "department")
              .agg(F.count(F.lit(1)).alias("_visits")))
 
 
-BROADCAST_MAX_PATIENTS = 2_000_000   # rows of (patient_id, insurance_type, chronic_conditions)
-
-
 def _ed_utilization(t: CareTables, keys: list[str]) -> DataFrame:
     p = t.patients.select("patient_id", "insurance_type", "chronic_conditions")
-    if p.count() <= BROADCAST_MAX_PATIENTS:
-        # proven small: broadcast it and join the ED rows map-side (no shuffle of
-        # encounters before the aggregate, so a hot patient costs nothing)
-        ed = t.encounters.where(F.col("encounter_type") == ED) \
-                         .select("patient_id", "department", F.lit(1).cast("long").alias("_visits"))
-        joined = ed.join(F.broadcast(p), "patient_id", "inner")
-    else:
-        joined = _ed_visits_by_patient(t).join(p, "patient_id", "inner")
+    joined = _ed_visits_by_patient(t).join(p, "patient_id", "inner")
     avoidable = F.when(F.col("chronic_conditions") >= 3, F.col("_visits")).otherwise(F.lit(0))
     return (joined.groupBy(*keys)
                   .agg(F.sum("_visits").alias("ed_visits"),
@@ -138,7 +127,7 @@ def kpi5_ed_rollup(t: CareTables) -> DataFrame:
 
 def kpi6_monthly_volume(t: CareTables, as_of: _dt.date | None = None) -> DataFrame:
     """Monthly volume, charges and readmissions per encounter type, trailing 24 months."""
-    e = t.encounters.where(F.col("encounter_date") >= window_start(as_of))
+    e = t.encounters.where(F.col("encounter_date") >= window_start(as_of or t.as_of))
     return (e.groupBy(month_label("encounter_date").alias("month"), "encounter_type")
              .agg(F.count(F.lit(1)).alias("encounter_volume"),
                   F.round(F.avg("total_charges"), 2).alias("avg_charges"),

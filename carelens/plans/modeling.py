@@ -21,22 +21,29 @@ TOP_FEATURES = 12
 
 
 def _models(t: CareTables) -> ml.ReadmissionModels:
-    return ml.models_for(t.spark, t.sf_dir, t.encounters, t.patients)
+    return ml.models_for(t.spark, t.sf_dir, t.encounters_of("Inpatient"), t.patients)
 
 
 def readmission_features(t: CareTables) -> DataFrame:
     """The 13-feature inpatient table: numerics (NULL -> 0) and alphabetical codes."""
-    return ml.feature_table(t.encounters, t.patients)
+    return ml.feature_table(t.encounters_of("Inpatient"), t.patients)
 
 
 def readmission_split(t: CareTables) -> DataFrame:
-    """Train / test row counts per class for the hash-based 80 / 20 split."""
-    data = ml.feature_table(t.encounters, t.patients).withColumn("is_train", ml.split_flag())
+    """Train / test row counts per class for the stratified 80 / 20 split."""
+    data = ml.stratified_split(t.encounters_of("Inpatient").select("encounter_id", ml.LABEL))
     return (data.groupBy(F.when(F.col("is_train"), "train").otherwise("test").alias("split"), ml.LABEL)
                 .agg(F.count(F.lit(1)).alias("n"))
                 .orderBy("split", ml.LABEL))
 
 
+def readmission_base_rate(t: CareTables) -> DataFrame:
+    """One row: inpatient encounters, readmissions and the overall rate the models start from."""
+    return t.encounters_of("Inpatient").agg(
+        F.count(F.lit(1)).alias("encounters"), F.sum(ml.LABEL).cast("bigint").alias("readmissions"),
+        F.round(F.avg(ml.LABEL) * 100, 1).alias("base_rate_pct"))
+
+
 def readmission_model_auc(t: CareTables) -> DataFrame:
     """Test-set ROC AUC of logistic regression, random forest and gradient boosting."""
     m = _models(t)
@@ -101,7 +108,7 @@ def deterministic_scores(t: CareTables) -> DataFrame:
     """Inpatient encounters with a reproducible score in [0, 1]:
     (numeric part of encounter_id * 13 mod 101) / 100."""
     num = F.substring("encounter_id", 4, 64).cast("bigint")
-    return (t.encounters.where(F.col("encounter_type") == "Inpatient")
+    return (t.encounters_of("Inpatient")
             .select("encounter_id", ml.LABEL, (F.pmod(num * 13, F.lit(101)).cast("double") / 100).alias("score")))
 
 

@@ -25,7 +25,7 @@ _PLANS = [
     eda.eda_describe, eda.eda_frequency, eda.eda_age_histogram, eda.eda_monthly_encounters,
     eda.eda_measure_heatmap, eda.eda_readmission_by_dept, eda.eda_measure_trend, eda.eda_lab_rates,
     exports.bi_quality_export, exports.qm_trend_direction, exports.hours_allocation,
-    modeling.readmission_features, modeling.readmission_split, modeling.readmission_model_auc,
+    modeling.readmission_features, modeling.readmission_base_rate, modeling.readmission_split, modeling.readmission_model_auc,
     modeling.readmission_importance, modeling.readmission_risk_tiers, modeling.readmission_roc,
     modeling.readmission_confusion, modeling.readmission_report,
     modeling.score_auc, modeling.score_roc, modeling.score_confusion, modeling.score_report,

@@ -17,7 +17,7 @@ from carelens.sources.dimensions import SIGNIFICANCE_ALPHA
 def _ttest_los(t: CareTables, scale: int) -> DataFrame:
     # encounters x patients (left, unique patient ids) keeps the encounter rows, so
     # the test runs on inpatient encounters directly
-    e = t.encounters.where(F.col("encounter_type") == "Inpatient")
+    e = t.encounters_of("Inpatient")
     return pooled_ttest(e, "length_of_stay", "readmission_30d", scale=scale)
 
 

@@ -22,8 +22,7 @@ from carelens.functions.tiers import at_least, lookup
 from carelens.operators.stats import (
     available_case_correlation, pairwise_correlation_matrix, quantile_bins,
 )
-from carelens.operators.windows import lowest_ntile
-from carelens.session import checkpointed
+from carelens.operators.windows import first_of_lowest_ntile
 from carelens.sources.adapters import CareTables
 from carelens.sources.dimensions import (
     ACCEPTABLE_SCORE, DOMAIN_MEAN_BANDS, SATISFACTION_QUARTILES, SATISFACTION_TIER_ELSE,
@@ -88,7 +87,7 @@ def srv3_domain_correlation(t: CareTables) -> DataFrame:
 
 def srv4_satisfaction_outcomes(t: CareTables) -> DataFrame:
     """Inpatient outcomes (stay, readmission, charges) per satisfaction tier."""
-    inpatient = (t.encounters.where(F.col("encounter_type") == "Inpatient")
+    inpatient = (t.encounters_of("Inpatient")
                  .select("encounter_id", "length_of_stay", "readmission_30d", "total_charges"))
     tier = at_least(OVERALL, SATISFACTION_TIERS, SATISFACTION_TIER_ELSE)
     labels = [label for _, label in SATISFACTION_TIERS] + [SATISFACTION_TIER_ELSE]
@@ -112,23 +111,14 @@ def srv4_satisfaction_outcomes(t: CareTables) -> DataFrame:
 def srv5_low_score_followup(t: CareTables, cap: int = 200) -> DataFrame:
     """Surveys in the lowest overall-rating decile, with their encounter, first ``cap``.
 
-    The decile is a distributed NTILE: only the prefix of ratings that can fall in
-    the first decile is range-partitioned and numbered, so no single task sorts
-    the survey table. Ties are broken by survey and encounter id, which makes the
-    list deterministic."""
-    order = [F.col(OVERALL).asc_nulls_first(), F.col("survey_id").asc_nulls_first(),
-             F.col("encounter_id").asc_nulls_first()]
-    first_decile = lowest_ntile(t.patient_surveys.select("survey_id", "encounter_id", OVERALL), 10,
-                                OVERALL, ["survey_id", "encounter_id"])
+    Ties are broken by survey and encounter id, which makes the list deterministic."""
     enc = t.encounters.select("encounter_id", "department", "encounter_type", "encounter_date",
                               "attending_provider")
-    return (first_decile
-                  .join(enc, "encounter_id", "inner")
-                  .select("survey_id", "encounter_id", OVERALL, "department", "encounter_type",
-                          "encounter_date", "attending_provider",
-                          F.lit("FOLLOW_UP_REQUIRED").alias("action_flag"))
-                  .orderBy(*order)
-                  .limit(cap))
+    first = first_of_lowest_ntile(t.patient_surveys.select("survey_id", "encounter_id", OVERALL), 10, OVERALL,
+                                  ["survey_id", "encounter_id"], cap,
+                                  lambda s: s.join(enc, "encounter_id", "inner"))
+    return first.select("survey_id", "encounter_id", OVERALL, "department", "encounter_type", "encounter_date",
+                        "attending_provider", F.lit("FOLLOW_UP_REQUIRED").alias("action_flag"))
 
 
 def _top_box_share_sql(d: str) -> str:
@@ -172,22 +162,17 @@ def survey_corr_matrix(t: CareTables) -> DataFrame:
 def survey_quartile_outcomes(t: CareTables) -> DataFrame:
     """Inpatient stay and readmission per overall-rating quartile (qcut, right-closed).
 
-    Every reported quantity is additive per rating value, so the survey x
-    encounter join is reduced ONCE to per-rating sums (one row per distinct
-    rating, checkpointed); the quartile edges (frequency-weighted exact
-    percentiles) and the bins are then computed on that small table."""
-    inpatient = (t.encounters.where((F.col("encounter_type") == "Inpatient")
-                                    & F.col("readmission_30d").isNotNull()
-                                    & F.col("length_of_stay").isNotNull())
+    Surveys are first cut to those of the wanted encounters and then summed per
+    encounter and rating on one shuffle by encounter; every reported quantity is
+    additive per rating value, so edges (frequency-weighted exact percentiles)
+    and bins are computed on one row per distinct rating."""
+    inpatient = (t.encounters_of("Inpatient")
+                 .where(F.col("readmission_30d").isNotNull() & F.col("length_of_stay").isNotNull())
                  .select("encounter_id", "length_of_stay", "readmission_30d"))
-    rated = ratings_per_encounter(t).where(F.col(OVERALL).isNotNull())
-    per_rating = checkpointed(
-        rated.join(inpatient, "encounter_id", "inner")
-             .groupBy(OVERALL)
-             .agg(F.sum("w").alias("w"),
-                  F.sum(F.col("w") * F.col("length_of_stay")).alias("w_los"),
-                  F.sum(F.col("w") * F.col("readmission_30d")).alias("w_readmit"),
-                  F.sum("n_ids").alias("n_ids")))
+    rated = t.patient_surveys.where(F.col(OVERALL).isNotNull()).select("encounter_id", OVERALL, "survey_id")
+    per_rating = (rated.join(inpatient, "encounter_id", "inner").groupBy(OVERALL)
+                  .agg(F.count(F.lit(1)).alias("w"), F.sum("length_of_stay").alias("w_los"),
+                       F.sum("readmission_30d").alias("w_readmit"), F.count("survey_id").alias("n_ids")))
     binned = quantile_bins(per_rating, OVERALL, SATISFACTION_QUARTILES, weight="w")
     order = lookup("sat_quartile", {lab: i + 1 for i, lab in enumerate(SATISFACTION_QUARTILES)})
     return (binned.groupBy(F.col("bin_label").alias("sat_quartile"))

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import SparkSession
 
 # Settings that make results independent of the cluster layout and keep the
@@ -39,42 +35,4 @@ def get_session(master: str | None = None, app_name: str = "carelens",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
-
-    On a cluster that setting points at shared storage and is used as is.
-    Only when it is unset (local tests) a private scratch folder is created."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    local = tempfile.mkdtemp(prefix="carelens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.sparkContext.setCheckpointDir(local)
-    return local
-
-
-def checkpointed(df):
-    """Materialise a small reused intermediate (a histogram, per-value sums) once
-    as a Parquet table in the shared checkpoint folder and read it back: later
-    stages and retries after an executor loss read the files instead of
-    recomputing the inputs. (``Dataset.checkpoint`` would compute an uncached
-    input twice: once for its count and once for the checkpoint write.)"""
-    spark = df.sparkSession
-    path = os.path.join(ensure_checkpoint_dir(spark), "tables", uuid.uuid4().hex)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
-def broadcast_if_small(df, max_rows: int = 1_000_000):
-    """Broadcast ``df`` only when a count proves it small (call it on a
-    checkpointed or otherwise cheap-to-count frame); beyond the bound the join
-    is left to AQE (sort-merge with skew splitting)."""
-    from pyspark.sql import functions as F
-    return F.broadcast(df) if df.count() <= max_rows else df

@@ -11,6 +11,7 @@ the null and integrity rules of the analyses are exercised.
 
 from __future__ import annotations
 
+import datetime as _dt
 import os
 from dataclasses import dataclass, field
 
@@ -38,8 +39,9 @@ GOV_SEVERITIES = ["Low", "Medium", "High", "Critical"]
 GOV_SOURCES = ["Epic", "Clarity", "Manual_Entry", "External_Feed"]
 LAB_TEST_BY_EVENT = {"click": "HbA1c", "view": "LDL", "purchase": "Systolic_BP", "signup": "eGFR"}
 LAB_TEST_ELSE = "Creatinine"
-ORPHAN_PATIENT_ID = "PT999999"
+ORPHAN_PREFIX = "PTX"       # ids outside the patient key space, one per orphan order
 ORPHAN_EVERY = 211          # every 211th order points at a missing patient
+AS_OF = _dt.date(2001, 8, 1)   # trailing windows over the test data end here
 NULL_ZIP_EVERY = 89         # every 89th customer has no zip code
 NULL_PAIN_EVERY = 53        # every 53rd part leaves Pain_Management empty
 
@@ -49,7 +51,9 @@ def _pick(idx: Column, values: list[str]) -> Column:
 
 
 def _id(prefix: str, key: Column, width: int) -> Column:
-    return F.concat(F.lit(prefix), F.format_string(f"%0{width}d", key))
+    """``prefix`` and the key, padded with zeros to a least width, never cut."""
+    text = key.cast("string")
+    return F.concat(F.lit(prefix), F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text))
 
 
 def _flag(cond: Column) -> Column:
@@ -75,7 +79,7 @@ def encounters_from(orders: DataFrame) -> DataFrame:
     ok, ck = F.col("o_orderkey"), F.col("o_custkey")
     return orders.select(
         _id("ENC", ok, 7).alias("encounter_id"),
-        F.when(ok % ORPHAN_EVERY == 0, F.lit(ORPHAN_PATIENT_ID))
+        F.when(ok % ORPHAN_EVERY == 0, _id(ORPHAN_PREFIX, ok, 7))
          .otherwise(_id("PT", ck, 6)).alias("patient_id"),
         F.col("o_orderdate").cast("date").alias("encounter_date"),
         lookup("o_orderpriority", ENCOUNTER_TYPE_BY_PRIORITY, ENCOUNTER_TYPE_ELSE).alias("encounter_type"),
@@ -167,13 +171,27 @@ def lab_results_from(events: DataFrame) -> DataFrame:
 
 @dataclass
 class CareTables:
-    """Lazily built DataFrames of the six care tables for one data folder."""
+    """Lazily built DataFrames of the six care tables for one data folder.
+
+    ``as_of`` ends the trailing windows: by default the last day of the test
+    data, and today for stored tables."""
 
     spark: SparkSession
     sf_dir: str
     _cache: dict = field(default_factory=dict)
 
     stored: bool = False     # True: sf_dir holds the six care tables written by ``ingest``
+    as_of: _dt.date | None = None
+    given: set = field(default_factory=set)     # tables that a caller put in itself
+
+    def __post_init__(self):
+        if self.as_of is None:
+            self.as_of = _dt.date.today() if self.stored else AS_OF
+
+    def put(self, **frames: DataFrame) -> None:
+        """Use these DataFrames as the named care tables."""
+        self._cache.update(frames)
+        self.given.update(frames)
 
     def _src(self, name: str, cols: list[str]) -> DataFrame:
         return self.spark.read.parquet(os.path.join(self.sf_dir, f"{name}.parquet")).select(*cols)
@@ -197,14 +215,26 @@ class CareTables:
         return self._get("encounters", lambda: encounters_from(
             self._src("orders", ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority"])))
 
+    def encounters_of(self, kind: str) -> DataFrame:
+        """Encounters of one type. The type is mapped from a stored column, so the
+        filter goes on that column, where the Parquet scan can use it."""
+        if self.stored or "encounters" in self.given:
+            return self.encounters.where(F.col("encounter_type") == kind)
+        orders = self._src("orders", ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority"])
+        priority = F.col("o_orderpriority")
+        known = [k for k, v in ENCOUNTER_TYPE_BY_PRIORITY.items() if v == kind]
+        if kind == ENCOUNTER_TYPE_ELSE:
+            orders = orders.where(priority.isNull() | ~priority.isin(*ENCOUNTER_TYPE_BY_PRIORITY))
+        else:
+            orders = orders.where(priority == known[0] if len(known) == 1 else priority.isin(*known))
+        return encounters_from(orders)
+
     @property
     def quality_measures(self) -> DataFrame:
-        """Aggregated once per session and written to the checkpoint folder: the
-        table is tiny (departments x measures x quarters) while deriving it scans
-        all of lineitem, and every measure analysis reads it."""
-        from carelens.session import checkpointed
-        return self._get("quality_measures", lambda: checkpointed(quality_measures_from(
-            self._src("lineitem", ["l_partkey", "l_suppkey", "l_returnflag", "l_shipdate"]))))
+        """A small aggregate (departments x measures x quarters) of the line items;
+        ``ingest`` stores it as a table of its own."""
+        return self._get("quality_measures", lambda: quality_measures_from(
+            self._src("lineitem", ["l_partkey", "l_suppkey", "l_returnflag", "l_shipdate"])))
 
     @property
     def patient_surveys(self) -> DataFrame:
@@ -229,12 +259,13 @@ class CareTables:
 _REGISTRY: dict[tuple, CareTables] = {}
 
 
-def care_tables(spark: SparkSession, sf_dir: str, refresh: bool = False, stored: bool = False) -> CareTables:
+def care_tables(spark: SparkSession, sf_dir: str, refresh: bool = False, stored: bool = False,
+                as_of: _dt.date | None = None) -> CareTables:
     """The care tables of one data folder, defined once per session (like tables
     registered in a catalog). Only the lazy plans are kept, no data; pass
     ``refresh=True`` to re-list the folder after its files changed. With
     ``stored=True`` the folder holds the six tables written by ``ingest``."""
-    key = (spark.sparkContext.applicationId, id(spark), os.path.abspath(sf_dir), stored)
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir, stored, as_of)
     if refresh or key not in _REGISTRY:
-        _REGISTRY[key] = CareTables(spark, sf_dir, stored=stored)
+        _REGISTRY[key] = CareTables(spark, sf_dir, stored=stored, as_of=as_of)
     return _REGISTRY[key]

@@ -47,9 +47,11 @@ def write_small_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 def write_partitioned(df: DataFrame, path: str, partition_by: list[str], fmt: str = "parquet",
                       mode: str = "overwrite") -> None:
     """Write a table partitioned by the given columns (e.g. the BI export by
-    quarter), so readers prune partitions; rows are clustered by the partition
-    columns first so each task writes few files."""
-    (df.repartition(*partition_by)
+    quarter), so readers prune partitions. Rows are clustered by the partition
+    columns first so each task writes few files; the rebalance lets AQE split a
+    value with very many rows (one day with most of the events) over several tasks
+    and files of the advisory size."""
+    (df.hint("rebalance", *partition_by)
        .write.mode(mode).partitionBy(*partition_by).format(fmt)
        .option("header", True).save(path))
 

@@ -15,7 +15,6 @@ named by ``spark.checkpoint.dir``, so a restarted query resumes exactly once.
 
 from __future__ import annotations
 
-import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +24,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from carelens.operators import quality
 from carelens.operators.stats import control_limits
-from carelens.session import ensure_checkpoint_dir
 from carelens.sources.adapters import governance_log_from
 
 LINEITEM_COLUMNS = T.StructType([
@@ -72,16 +70,12 @@ def weekly_issue_counts(log: DataFrame, watermark: str = DEFAULT_WATERMARK) -> D
                .select(F.col("w.start").cast("date").alias("week"), "issues"))
 
 
-def _checkpoint(spark: SparkSession, sink_dir: str, name: str) -> str:
-    """One checkpoint folder per (sink, stream), under the shared checkpoint dir."""
-    tag = hashlib.sha1(os.path.abspath(sink_dir).encode()).hexdigest()[:12]
-    return os.path.join(ensure_checkpoint_dir(spark), "streams", tag, name)
-
-
-def start_alerts(spark: SparkSession, source_dir: str, sink_dir: str, available_now: bool = True,
+def start_alerts(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
+                 available_now: bool = True,
                  watermark: str = DEFAULT_WATERMARK) -> list[StreamingQuery]:
     """Start both alert streams into Parquet sinks under ``sink_dir``.
-    ``available_now`` processes what is there and stops (scheduled runs);
+    Give the same ``checkpoint_dir`` (shared storage) again to resume exactly once
+    after a restart. ``available_now`` processes what is there and stops (scheduled runs);
     otherwise the queries keep running."""
     log = governance_stream(spark, source_dir)
     queries = []
@@ -89,7 +83,7 @@ def start_alerts(spark: SparkSession, source_dir: str, sink_dir: str, available_
                      ("weekly_issue_counts", weekly_issue_counts(log, watermark))):
         writer = (df.writeStream.format("parquet").outputMode("append")
                   .option("path", os.path.join(sink_dir, name))
-                  .option("checkpointLocation", _checkpoint(spark, sink_dir, name)))
+                  .option("checkpointLocation", os.path.join(checkpoint_dir, name)))
         writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
         queries.append(writer.start())
     return queries

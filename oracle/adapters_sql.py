@@ -6,12 +6,21 @@ Written independently of the DataFrame adapter in ``carelens.sources.adapters``;
 
 from __future__ import annotations
 
-from carelens.sources.adapters import (
-    DISCHARGE_DISPOSITIONS, ENCOUNTER_TYPE_BY_PRIORITY, ENCOUNTER_TYPE_ELSE, GOV_FIELDS,
-    GOV_ISSUE_TYPES, GOV_SEVERITIES, GOV_SOURCES, GOV_TABLES, ICD10_CODES,
-    LAB_TEST_BY_EVENT, LAB_TEST_ELSE,
-)
-from carelens.sources.dimensions import DEPARTMENTS, MEASURES
+#: Value lists of the mapping, stated here a second time so that a wrong list in the engine shows. Fixed values.
+DEPARTMENTS = ["Cardiology", "Oncology", "Neurology", "Orthopedics", "Primary Care", "Endocrinology",
+               "Pulmonology", "Nephrology"]
+MEASURES = ["BP_Control", "HbA1c_Testing", "Colorectal_Screening", "Mammography", "Flu_Vaccine",
+            "Statin_Therapy", "Readmission_Rate", "CAHPS_Composite"]
+DISCHARGE_DISPOSITIONS = ["Home", "SNF", "Rehab", "AMA", "Expired", "Transferred"]
+ICD10_CODES = ["I10", "E11", "J18", "M79", "Z12", "I25", "N18", "C34", "F32", "G20"]
+ENCOUNTER_TYPES = {"1-URGENT": "Inpatient", "2-HIGH": "ED", "3-MEDIUM": "Outpatient", "4-NOT SPECIFIED": "Telehealth"}
+GOV_TABLES = ["patients", "encounters", "quality_measures", "patient_surveys", "lab_results"]
+GOV_ISSUE_TYPES = ["Missing_Value", "Duplicate_Record", "Out_of_Range", "Format_Error", "Referential_Integrity",
+                   "Late_Submission", "Coding_Error"]
+GOV_FIELDS = ["patient_id", "encounter_date", "icd10_code", "total_charges", "performance_rate", "age", "zip_code"]
+GOV_SEVERITIES = ["Low", "Medium", "High", "Critical"]
+GOV_SOURCES = ["Epic", "Clarity", "Manual_Entry", "External_Feed"]
+LAB_TESTS = {"click": "HbA1c", "view": "LDL", "purchase": "Systolic_BP", "signup": "eGFR"}
 
 
 def _q(s: str) -> str:
@@ -45,9 +54,9 @@ FROM customer"""
 
 ENCOUNTERS = f"""
 SELECT {ident('ENC', 'o_orderkey', 7)} AS encounter_id,
-       CASE WHEN o_orderkey % 211 = 0 THEN 'PT999999' ELSE {ident('PT', 'o_custkey', 6)} END AS patient_id,
+       CASE WHEN o_orderkey % 211 = 0 THEN {ident('PTX', 'o_orderkey', 7)} ELSE {ident('PT', 'o_custkey', 6)} END AS patient_id,
        CAST(o_orderdate AS DATE) AS encounter_date,
-       {case_map('o_orderpriority', ENCOUNTER_TYPE_BY_PRIORITY, ENCOUNTER_TYPE_ELSE)} AS encounter_type,
+       {case_map('o_orderpriority', ENCOUNTER_TYPES, 'Observation')} AS encounter_type,
        {pick('o_orderkey % 8', DEPARTMENTS)} AS department,
        CAST((o_orderkey * 5 + o_custkey) % 61 AS DOUBLE) / 4 AS length_of_stay,
        {pick('o_custkey % 6', DISCHARGE_DISPOSITIONS)} AS discharge_disposition,
@@ -116,7 +125,7 @@ FROM lineitem"""
 LAB_RESULTS = f"""
 SELECT {ident('LAB', 'event_id', 7)} AS lab_id,
        {ident('PT', 'user_id', 6)} AS patient_id,
-       {case_map('event_type', LAB_TEST_BY_EVENT, LAB_TEST_ELSE)} AS test_name,
+       {case_map('event_type', LAB_TESTS, 'Creatinine')} AS test_name,
        value AS result_value,
        CAST(ts AS DATE) AS result_date,
        CAST(value > 100 AS INTEGER) AS abnormal_flag,

@@ -1,7 +1,6 @@
 """DuckDB oracle SQL for the exploratory reports, BI export, trend and allocation."""
 
-from carelens.sources.dimensions import MEASURES
-from oracle.adapters_sql import with_views
+from oracle.adapters_sql import MEASURES, with_views
 
 SQL = {}
 
@@ -114,8 +113,16 @@ WITH r AS (
                 THEN 15.0 + GREATEST(0.0, LEAST(25.0, 200.0 - 15.0 * n - 25.0 * (alloc_rank - 1))) END AS hrs
     FROM k
 )
-SELECT quarter, department, rate, alloc_rank, feasible,
-       ROUND(CAST(hrs AS DOUBLE), 1) AS hours,
-       ROUND(ROUND(CAST(hrs AS DOUBLE), 1) * rate * 100, 6) AS expected_points
-FROM h
-ORDER BY quarter, alloc_rank""")
+, points AS (
+    SELECT *, ROUND(CAST(hrs AS DOUBLE), 1) AS hours,
+           ROUND(ROUND(ROUND(CAST(hrs AS DOUBLE), 1) * rate * 100, 8), 2) AS expected_points FROM h
+)
+SELECT quarter, department, ROUND(ROUND(rate, 8), 4) AS rate, alloc_rank, feasible, hours, expected_points,
+       expected_points > ROUND(AVG(expected_points) OVER (PARTITION BY quarter), 8) AS above_average,
+       ROUND(CAST(200 AS DOUBLE) / n, 6) AS equal_split_hours
+FROM points""")
+
+SQL["readmission_base_rate"] = with_views("""
+SELECT COUNT(*) AS encounters, CAST(SUM(readmission_30d) AS BIGINT) AS readmissions,
+       ROUND(AVG(readmission_30d) * 100, 1) AS base_rate_pct
+FROM encounters WHERE encounter_type = 'Inpatient'""")

@@ -65,7 +65,15 @@ c AS (
 )
 SELECT score AS threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp,
        ROUND(CAST(tp AS DOUBLE) / p, 6) AS tpr, ROUND(CAST(fp AS DOUBLE) / n, 6) AS fpr
-FROM k ORDER BY threshold DESC""", views=["encounters"])
+FROM k
+UNION ALL
+SELECT CAST('inf' AS DOUBLE), 0, 0, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)""", views=["encounters"])
+
+SQL["readmission_split"] = with_views("""
+WITH n AS (SELECT readmission_30d, COUNT(*) AS n FROM encounters WHERE encounter_type = 'Inpatient' GROUP BY 1)
+SELECT 'train' AS split, readmission_30d, n * 80 // 100 AS n FROM n
+UNION ALL
+SELECT 'test', readmission_30d, n - n * 80 // 100 FROM n""", views=["encounters"])
 
 SQL["score_confusion"] = with_views(_SCORES + """,
 cells(actual, predicted) AS (VALUES (0, 0), (0, 1), (1, 0), (1, 1)),

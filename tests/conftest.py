@@ -30,6 +30,6 @@ def tables(spark):
 
     def make(**frames):
         t = CareTables(spark, "/nonexistent")
-        t._cache.update(frames)
+        t.put(**frames)
         return t
     return make

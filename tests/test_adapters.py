@@ -26,5 +26,5 @@ def test_adapter_schema_is_fixed(spark, name):
 def test_injected_faults_present(spark):
     t = care_tables(spark, SF_SMALL)
     assert t.patients.where("zip_code IS NULL").count() > 0
-    assert t.encounters.where("patient_id = 'PT999999'").count() > 0
+    assert t.encounters.where("patient_id LIKE 'PTX%'").count() > 0
     assert t.patient_surveys.where("Pain_Management IS NULL").count() > 0

@@ -16,7 +16,8 @@ from carelens.operators.alloc import bounded_allocation
 from carelens.operators.stats import (
     control_limits, pairwise_correlation_matrix, pooled_ttest, quantile_bins,
 )
-from carelens.operators.windows import global_row_number, ntile_global, running_share
+from carelens.operators.ranges import cumulative_counts, global_row_number
+from carelens.operators.windows import first_of_lowest_ntile, ntile_global, running_share
 from carelens.plans import governance, kpi, survey
 from carelens.sources.dimensions import (
     AGE_GROUPS, MEASURE_TIER_ELSE, MEASURE_TIERS, READMISSION_STATUS, READMISSION_STATUS_ELSE, RISK_TIERS,
@@ -137,7 +138,7 @@ def test_ntile_global_equals_window_ntile(spark, n):
     df = spark.createDataFrame(data, "r double, id string")
     order = [F.col("r").asc_nulls_first(), F.col("id")]
     ref = {r["id"]: r["b"] for r in df.select("id", F.ntile(10).over(Window.orderBy(*order)).alias("b")).collect()}
-    got = {r["id"]: r["b"] for r in ntile_global(df, 10, order, "b").collect()}
+    got = {r["id"]: r["b"] for r in ntile_global(df, 10, ["r", "id"], "b").collect()}
     assert got == ref
 
 
@@ -145,7 +146,7 @@ def test_global_row_number_equals_row_number(spark):
     df = spark.range(0, 997).select((F.col("id") * 7919 % 997).alias("k"), F.col("id"))
     order = [F.col("k"), F.col("id")]
     ref = {r["id"]: r["rn"] for r in df.select("id", F.row_number().over(Window.orderBy(*order)).alias("rn")).collect()}
-    got = {r["id"]: r["rn"] for r in global_row_number(df, order, n_parts=7, name="rn").collect()}
+    got = {r["id"]: r["rn"] for r in global_row_number(df, ["k", "id"], n_ranges=7, name="rn").collect()}
     assert got == ref
 
 
@@ -258,14 +259,24 @@ def test_auc_equals_brute_force(spark):
     assert got == round(_brute_auc(pairs), 6)
 
 
-def test_cumulative_counts_equal_brute_force(spark):
+@pytest.mark.parametrize("n_ranges", [1, 9, 2000])
+def test_cumulative_counts_equal_brute_force(spark, n_ranges):
     keys = [(float(k), k % 3) for k in range(0, 300, 3)]
-    df = spark.createDataFrame(keys, "k double, v long")
-    for desc in (False, True):
-        out = {r["k"]: r["cum_v"] for r in ev.cumulative_counts(df, "k", ["v"], descending=desc, n_ranges=9).collect()}
-        for k, _ in keys:
-            want = sum(v for kk, v in keys if (kk >= k if desc else kk <= k))
-            assert out[k] == want
+    numbers = spark.createDataFrame(keys, "k double, v long")
+    for df in (numbers, numbers.withColumn("k", F.lpad(F.col("k").cast("int").cast("string"), 5, "0"))):
+        for desc in (False, True):
+            out = {float(r["k"]): r["cum_v"]
+                   for r in cumulative_counts(df, "k", ["v"], descending=desc, n_ranges=n_ranges).collect()}
+            for k, _ in keys:
+                assert out[k] == sum(v for kk, v in keys if (kk >= k if desc else kk <= k))
+
+
+def test_cumulative_counts_many_keys(spark):
+    df = spark.range(500_000).select((F.col("id") * 7 % 500_009).alias("k"), F.lit(1).alias("v"))
+    out = cumulative_counts(df, "k", ["v"], n_ranges=200)
+    near = out.agg(F.count(F.lit(1)).alias("n"), F.max("cum_v").alias("last"),
+                   F.countDistinct("cum_v").alias("all")).first()
+    assert (near["n"], near["last"], near["all"]) == (500_000, 500_000, 500_000)
 
 
 def test_confusion_without_positive_predictions(spark):
@@ -332,16 +343,24 @@ def test_null_rating_in_low_tier(spark):
 
 @pytest.mark.parametrize("n", [1, 9, 23, 200])
 def test_lowest_ntile_equals_window_ntile(spark, n):
-    from carelens.operators.windows import lowest_ntile
     # heavy ties on the value (a hot value holds a third of the rows) and NULLs
     data = [(None if i % 17 == 0 else (2.0 if i % 3 == 0 else float(i % 7)), f"s{i:04d}", f"e{i % 5}")
             for i in range(n)]
     df = spark.createDataFrame(data, "r double, sid string, eid string")
     order = [F.col("r").asc_nulls_first(), F.col("sid"), F.col("eid")]
-    ref = sorted(r["sid"] for r in df.withColumn("b", F.ntile(10).over(Window.orderBy(*order)))
-                 .where("b = 1").collect())
-    got = sorted(r["sid"] for r in lowest_ntile(df, 10, "r", ["sid", "eid"]).collect())
-    assert got == ref
+    ref = [r["sid"] for r in df.withColumn("b", F.ntile(10).over(Window.orderBy(*order)))
+           .where("b = 1").orderBy(*order).collect()]
+    for limit in (3, 500):
+        got = [r["sid"] for r in first_of_lowest_ntile(df, 10, "r", ["sid", "eid"], limit, lambda x: x).collect()]
+        assert got == ref[:limit]
+
+
+def test_lowest_ntile_with_copies_and_a_dropping_join(spark):
+    df = spark.createDataFrame([(1.0, "a")] * 6 + [(1.0, "b")] * 6 + [(3.0, "c")] * 28, "r double, s string")
+    got = first_of_lowest_ntile(df, 4, "r", ["s"], 100, lambda x: x)          # the first 10 rows
+    assert sorted(r["s"] for r in got.collect()) == ["a"] * 6 + ["b"] * 4
+    got = first_of_lowest_ntile(df, 4, "r", ["s"], 100, lambda x: x.where("s <> 'a'"))
+    assert [r["s"] for r in got.collect()] == ["b"] * 4
 
 
 def test_spearman_equals_ranked_pearson(spark):
@@ -369,26 +388,53 @@ def test_bi_export_partitioned_by_quarter(spark, tmp_path):
     t = care_tables(spark, SF_SMALL)
     out = str(tmp_path / "bi")
     export_bi_quality(t, out)
-    folders = {p.name for p in (tmp_path / "bi").iterdir() if p.name.startswith("quarter=")}
-    assert folders == {f"quarter={r['quarter']}" for r in t.quality_measures.select("quarter").distinct().collect()}
+    folders = {p.name for p in (tmp_path / "bi").iterdir() if p.name.startswith("period=")}
+    assert folders == {f"period={r['quarter']}" for r in t.quality_measures.select("quarter").distinct().collect()}
     back = spark.read.option("header", True).csv(out)
     assert back.count() == bi_quality_export(t).count()
+    one = next((tmp_path / "bi").glob("period=*/*.csv")).read_text().splitlines()
+    assert "quarter" in one[0].split(",")       # a file holds every column of the table
 
 
 def test_global_row_number_spreads_copies(spark):
     # a third of the rows are exact copies of one row
     df = spark.createDataFrame([(5, "x")] * 100 + [(i, f"k{i}") for i in range(200)], "v int, s string")
-    out = global_row_number(df, [F.col("v"), F.col("s")], n_parts=6, name="rn").collect()
+    out = global_row_number(df, ["v", "s"], n_ranges=6, name="rn").collect()
     assert sorted(r["rn"] for r in out) == list(range(1, 301))
     ordered = sorted(out, key=lambda r: r["rn"])
     assert [(r["v"], r["s"]) for r in ordered] == sorted((r["v"], r["s"]) for r in out)
 
 
-def test_ed_utilization_both_join_paths_agree(spark, monkeypatch):
-    from carelens.sources.adapters import care_tables
-    from tests.conftest import SF_SMALL
-    t = care_tables(spark, SF_SMALL)
-    small = sorted(map(tuple, kpi.kpi5_ed_utilization(t).collect()))
-    monkeypatch.setattr(kpi, "BROADCAST_MAX_PATIENTS", 0)     # force the pre-aggregate + shuffle path
-    large = kpi.kpi5_ed_utilization(t)
-    assert sorted(map(tuple, large.collect())) == small
+def test_split_is_exact_per_class(spark):
+    from carelens.operators.ml import stratified_split
+    df = spark.createDataFrame([(f"E{i}", int(i % 7 == 0), i) for i in range(1000)] + [(None, None, 7)],
+                               "encounter_id string, readmission_30d int, x int")
+    out = stratified_split(df)
+    got = {(r["readmission_30d"], r["is_train"]): r["count"]
+           for r in out.groupBy("readmission_30d", "is_train").count().collect()}
+    assert got == {(1, True): 114, (1, False): 29, (0, True): 685, (0, False): 172, (None, False): 1}
+    assert out.columns == ["encounter_id", "readmission_30d", "x", "is_train"]
+
+
+def test_orphans_stay_when_every_id_exists(spark):
+    from carelens.operators.quality import orphans
+    from carelens.sources.adapters import encounters_from, patients_from
+    customer = spark.createDataFrame([(999_999, 3, "BUILDING"), (5, 1, "BUILDING")],
+                                     "c_custkey long, c_nationkey long, c_mktsegment string")
+    orders = spark.createDataFrame([(211, 5, 1.0, dt.date(2000, 1, 1), "2-HIGH"), (7, 5, 1.0, dt.date(2000, 1, 1), "2-HIGH"),
+                                    (422, 999_999, 1.0, dt.date(2000, 1, 1), "2-HIGH")],
+                                   "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate date, o_orderpriority string")
+    got = orphans(encounters_from(orders), patients_from(customer), "patient_id").collect()
+    assert sorted(r["encounter_id"] for r in got) == ["ENC0000211", "ENC0000422"]
+
+
+def test_hot_encounter_outcomes(spark, tables):
+    """One encounter holds most surveys; the quartile report counts every survey."""
+    enc = [("E1", "Inpatient", 4.0, 1), ("E2", "Inpatient", 2.0, 0), ("E3", "ED", 9.0, 1)]
+    t = tables(encounters=spark.createDataFrame(enc, "encounter_id string, encounter_type string, length_of_stay double, readmission_30d int"),
+               patient_surveys=spark.createDataFrame(
+                   [(f"S{i}", "E1", float(1 + i % 5)) for i in range(400)] + [("T1", "E2", 1.0), ("T2", "E3", 5.0)],
+                   "survey_id string, encounter_id string, Overall_Rating double"))
+    from carelens.plans.survey import survey_quartile_outcomes
+    got = survey_quartile_outcomes(t).collect()
+    assert sum(r["n"] for r in got) == 401

@@ -32,7 +32,7 @@ def test_breach_alerts_match_batch(spark):
 
 
 def test_available_now_file_sinks(spark, tmp_path):
-    queries = ga.start_alerts(spark, SF_SMALL, str(tmp_path / "sinks"))
+    queries = ga.start_alerts(spark, SF_SMALL, str(tmp_path / "sinks"), str(tmp_path / "progress"))
     for q in queries:
         q.awaitTermination(300)
     alerts = spark.read.parquet(str(tmp_path / "sinks" / "sla_breach_alerts"))
