@@ -7,7 +7,8 @@ partial aggregation runs map-side, so an encounter carrying a large share of all
 surveys reaches the shuffle as one row per map task, and the aggregate's hash
 partitioning on encounter_id is reused by the join: a single shuffle of the
 survey side and a 1:1 join. Analyses that need the rating distribution
-(quartiles, ranks) keep one row per (encounter, rating) with a count instead.
+(quartiles, ranks) join the surveys themselves, also on one shuffle; a hot
+encounter there is a skewed join, which AQE splits.
 """
 
 from __future__ import annotations
@@ -43,13 +44,6 @@ def weighted_avg(value: str, weight: str = "w"):
                         F.sum(F.when(v.isNotNull(), F.col(weight))).cast("double"))
 
 
-def ratings_per_encounter(t: CareTables, rating: str = OVERALL) -> DataFrame:
-    """(encounter_id, rating, w = surveys, n_ids = surveys with an id)."""
-    return (t.patient_surveys
-            .groupBy("encounter_id", rating)
-            .agg(F.count(F.lit(1)).alias("w"), F.count("survey_id").alias("n_ids")))
-
-
 def rating_moments_per_encounter(t: CareTables, rating: str = OVERALL) -> DataFrame:
     """(encounter_id, n, sx, sxx) over the non-NULL ratings of each encounter."""
     x = F.col(rating)
