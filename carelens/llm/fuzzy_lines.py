@@ -1,8 +1,8 @@
 """Fuzzy line dedup: near-equal lines of a corpus, one line kept per group.
 
-Lines are compared in lower case without outer blanks, as sets of 8-character
-shingles (UTF-16 code units); a line under 8 characters is its own only
-shingle. Signature: the nine smallest shingle hashes (bottom-k MinHash). Bands
+Lines are compared in lower case without outer blanks, as sets of character
+shingles, each 8 bytes of UTF-8 (8 characters of ASCII text); a shorter line is
+its own only shingle. Signature: the nine smallest shingle hashes (bottom-k MinHash). Bands
 are the eight pairs of neighbours in that order: two lines of Jaccard 0.8 keep
 some pair of neighbours in common with probability over 0.998, while lines that
 only share a frequent shingle do not meet. Equal lines are merged first; in a
@@ -36,11 +36,12 @@ def _form(line: Column) -> Column:
     return F.lower(F.btrim(line, F.lit(BLANKS)))
 
 
-def _shingles(wide: Column, units: Column) -> Column:
-    """Distinct shingle hashes of a UTF-16 encoded line of so many code units."""
-    return F.array_distinct(F.transform(
-        F.sequence(F.lit(0), F.greatest(units - SHINGLE, F.lit(0))),
-        lambda i: F.xxhash64(F.substring(wide, i * 2 + 1, F.lit(2 * SHINGLE)))))
+def _shingles(form: Column) -> Column:
+    """Shingle hashes of a line. The line is bound to a lambda variable as bytes, so
+    that a shingle is a byte slice and not a search for its characters."""
+    return F.get(F.transform(F.array(form.cast("binary")), lambda w: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.octet_length(w) - SHINGLE + 1, F.lit(1))),
+        lambda i: F.xxhash64(F.substring(w, i, F.lit(SHINGLE))))), 0)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -50,37 +51,62 @@ def _lines(docs: DataFrame) -> DataFrame:
             .withColumn("form", _form(F.col("line"))).filter("form <> ''"))
 
 
+def signed_lines(docs: DataFrame, bottom: int = 9) -> DataFrame:
+    """(doc_id, n, a, units, low): identity, length and signature of every line, stored once.
+
+    The ``bottom`` smallest distinct hashes are looked for below three times their
+    expected bound; only where that leaves too few are all hashes sorted."""
+    lines = _lines(docs).select("doc_id", "n", F.xxhash64("form").alias("a"), F.char_length("form").alias("units"),
+                                _shingles(F.col("form")).alias("h"))
+    bound = (F.lit(-9.223372036854775e18) + F.lit(1.8446744073709552e19) * F.least(
+        F.lit(3.0 * bottom) / F.size("h"), F.lit(1.0))).cast("long")
+    lines = lines.select("*", F.get(F.transform(F.array(bound), lambda b: F.filter("h", lambda x: x < b)), 0).alias("few"))
+    few, every = F.array_distinct("few"), F.array_distinct("h")
+    return stored(lines.select("doc_id", "n", "a", "units", F.slice(
+        F.when(F.size(few) >= bottom, F.sort_array(few)).otherwise(F.sort_array(every)), 1, bottom).alias("low")))
+
+
 def _similar(pairs: DataFrame, threshold: float) -> DataFrame:
     """Pairs (u, v) whose lines ``x`` and ``y`` have an exact Jaccard of the threshold or more."""
-    wide = lambda c: F.encode(c, "UTF-16BE").alias(f"{c}w")
-    p = pairs.select("u", "v", wide("x"), wide("y"))
-    p = p.select("u", "v", *[_shingles(F.col(c), (F.octet_length(c) / 2).cast("int")).alias(c) for c in ("xw", "yw")])
+    p = pairs.select("u", "v", F.array_distinct(_shingles(F.col("x"))).alias("xw"),
+                     F.array_distinct(_shingles(F.col("y"))).alias("yw"))
     p = p.select("u", "v", F.size("xw").alias("nx"), F.size("yw").alias("ny"),
                  F.size(F.array_intersect("xw", "yw")).alias("both"))
     return p.filter(F.col("both") >= threshold * (F.col("nx") + F.col("ny") - F.col("both")) - 1e-9).select("u", "v")
 
 
-def line_groups(docs: DataFrame, threshold: float = 0.8, bottom: int = 9) -> DataFrame:
-    """(a, root): the group of each line form that is near another one."""
-    lines = _lines(docs).select(F.xxhash64("form").alias("a"), F.encode("form", "UTF-16BE").alias("wide"))
-    lines = lines.select("a", "wide", (F.octet_length("wide") / 2).cast("int").alias("units"))
-    lines = lines.select("a", "units", F.slice(F.sort_array(_shingles(F.col("wide"), F.col("units"))), 1, bottom)
-                         .alias("low"))
-    keys = F.when(F.size("low") == 1, F.array(F.xxhash64(F.col("low")[0]))).otherwise(F.transform(
+def line_groups(docs: DataFrame, lines: DataFrame, threshold: float = 0.8, overlap: int = 3) -> DataFrame:
+    """(a, root): the group of each line form that is near another one. Candidates
+    must share ``overlap`` of their nine smallest hashes (at a Jaccard of 0.8
+    fewer are shared with probability 3e-4)."""
+    forms = lines.dropDuplicates(["a"])
+    keys = F.when(F.size("low") == 1, F.array(F.xxhash64(F.get("low", F.lit(0))))).otherwise(F.transform(
         F.sequence(F.lit(0), F.size("low") - 2),
         lambda i: F.xxhash64(F.get(F.col("low"), i), F.get(F.col("low"), i + 1))))
-    forms = lines.select("a", "units", "low").dropDuplicates(["a"]).select("a", "units", keys.alias("keys"))
     bucket = Window.partitionBy("key").orderBy("units", "a")
-    met = (forms.select("a", "units", F.explode("keys").alias("key"))
+    met = (forms.select("a", "units", F.explode(keys).alias("key"))
            .select("a", F.first("a").over(bucket.rowsBetween(Window.unboundedPreceding, 0)).alias("head"),
                    F.lag("a").over(bucket).alias("before")))
-    pairs = (met.select("a", F.explode(F.array_distinct(F.array("head", "before"))).alias("b"))
-             .filter("b IS NOT NULL AND a <> b")
+    pairs = (met.filter("head <> a").select("a", F.explode(F.array_distinct(F.array("head", "before"))).alias("b"))
              .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    place = F.struct("doc_id", "n")
+    sketch = forms.select("a", "low", place.alias("at"))
+    pairs = (pairs.join(sketch.select(F.col("a").alias("u"), F.col("low").alias("p"), F.col("at").alias("pu")), "u")
+             .join(sketch.select(F.col("a").alias("v"), F.col("low").alias("q"), F.col("at").alias("pv")), "v")
+             .filter(F.size(F.array_intersect("p", "q")) >= F.least(F.lit(overlap), F.size("p"), F.size("q")))
+             .select("u", "v", "pu", "pv"))
     pairs = stored(pairs)
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("a")).distinct()
-    forms = stored(_lines(docs).select(F.xxhash64("form").alias("a"), "form").join(nodes, "a", "left_semi")
-                   .dropDuplicates(["a"]))
+    # the texts of candidates only, read where each form stands first in the sketch
+    want = (pairs.select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("pu").alias("at")),
+                                           F.struct(F.col("v").alias("a"), F.col("pv").alias("at")))).alias("x"))
+            .select(F.col("x.at.doc_id").alias("doc_id"), F.col("x.at.n").alias("n"), F.col("x.a").alias("a")).distinct()
+            .groupBy("doc_id").agg(F.collect_list(F.struct("n", "a")).alias("want")))
+    texts = docs.select("doc_id", "text").join(want, "doc_id").select(
+        F.split("text", "\n", -1).alias("all"), "want")
+    found = texts.select(F.explode(F.transform("want", lambda x: F.struct(
+        x["a"].alias("a"), F.get(F.col("all"), x["n"]).alias("line")))).alias("x"))
+    forms = stored(found.select(F.col("x.a").alias("a"), _form(F.col("x.line")).alias("form"))
+                   .filter(F.xxhash64("form") == F.col("a")).dropDuplicates(["a"]))
     known = pairs.join(forms.select(F.col("a").alias("u"), F.col("form").alias("x")), "u").join(
         forms.select(F.col("a").alias("v"), F.col("form").alias("y")), "v")
     roots = components(_similar(known, threshold))
@@ -88,26 +114,31 @@ def line_groups(docs: DataFrame, threshold: float = 0.8, bottom: int = 9) -> Dat
 
 
 def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, removed): line numbers to take out, for documents that lose any."""
-    groups = line_groups(docs, threshold)
-    seen = _lines(docs).select("doc_id", "n", F.xxhash64("form").alias("a")).join(groups, "a", "left").select(
+    """(doc_id, n_lines, removed): lines with a word and the line numbers to take
+    out, for every document that has lines."""
+    lines = signed_lines(docs)
+    groups = line_groups(docs, lines, threshold)
+    seen = lines.select("doc_id", "n", "a").join(groups, "a", "left").select(
         "doc_id", "n", F.coalesce("root", "a").alias("root"))
     first = seen.groupBy("root").agg(F.min("doc_id").alias("d"), F.count(F.lit(1)).alias("times")).filter("times > 1")
     # the first line of the first document, from that document's own rows
     later = seen.join(first, "root")
     head = later.filter("doc_id = d").groupBy("root").agg(F.min("n").alias("m"))
     gone = later.join(head, "root").filter("NOT (doc_id = d AND n = m)")
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("n")).alias("removed"))
+    rows = lines.select("doc_id", "n", F.lit(None).cast("int").alias("gone")).unionByName(
+        gone.select("doc_id", F.lit(None).cast("int").alias("n"), F.col("n").alias("gone")))
+    return rows.groupBy("doc_id").agg(F.count("n").alias("n_lines"),
+                                      F.array_sort(F.collect_set("gone")).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """All columns of ``docs`` with ``text`` cut to the kept lines, and n_lines, n_removed."""
+    """All columns of ``docs`` with ``text`` cut to the kept lines, and n_lines
+    (lines with a word), n_removed."""
     names = docs.columns
     gone = removed_lines(docs, threshold).withColumnRenamed("doc_id", "__id")
     cut = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("removed", i)), "\n")
     out = docs.join(gone, F.col("doc_id") == F.col("__id"), "left")
-    words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: _form(x) != ""))
-    return out.select(*[F.when(F.col("removed").isNull(), F.col("text")).otherwise(cut).alias(c)
-                        if c == "text" else F.col(c) for c in names],
-                      words.cast("long").alias("n_lines"),
-                      F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"))
+    some = F.coalesce(F.size("removed"), F.lit(0)) > 0
+    return out.select(*[F.when(some, cut).otherwise(F.col("text")).alias(c) if c == "text" else F.col(c) for c in names],
+                      F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"),
+                      F.when(some, F.size("removed")).otherwise(0).cast("long").alias("n_removed"))

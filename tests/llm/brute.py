@@ -93,7 +93,7 @@ def lines_removed(rows, threshold=0.8):
             f = line.strip(BLANKS).lower()
             if f:
                 occ.append((doc, n, forms.setdefault(f, len(forms))))
-    sets = [{f[j:j + 8] for j in range(max(1, len(f) - 7))} for f in forms]
+    sets = [{f[j:j + 8] for j in range(max(1, len(f) - 7))} for f in (x.encode() for x in forms)]
     u = Union(len(sets))
     for i, a in enumerate(sets):
         for j in range(i):
