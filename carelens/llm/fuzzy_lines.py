@@ -75,10 +75,10 @@ def _similar(pairs: DataFrame, threshold: float) -> DataFrame:
     return p.filter(F.col("both") >= threshold * (F.col("nx") + F.col("ny") - F.col("both")) - 1e-9).select("u", "v")
 
 
-def line_groups(docs: DataFrame, lines: DataFrame, threshold: float = 0.8, overlap: int = 3) -> DataFrame:
+def line_groups(docs: DataFrame, lines: DataFrame, threshold: float = 0.8, overlap: int = 4) -> DataFrame:
     """(a, root): the group of each line form that is near another one. Candidates
     must share ``overlap`` of their nine smallest hashes (at a Jaccard of 0.8
-    fewer are shared with probability 3e-4)."""
+    fewer are shared with probability 3e-3)."""
     forms = lines.dropDuplicates(["a"])
     keys = F.when(F.size("low") == 1, F.array(F.xxhash64(F.get("low", F.lit(0))))).otherwise(F.transform(
         F.sequence(F.lit(0), F.size("low") - 2),

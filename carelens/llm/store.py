@@ -23,10 +23,15 @@ def shared_folder(spark) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write once, read back: later plans and retries start from the table."""
+    """Write once, read back: later plans and retries start from the table.
+
+    Spark removes the shuffle files of a finished job once the driver's JVM has
+    collected its plan; asking for that here keeps a chain of such steps from
+    holding the files of all of them."""
     spark = df.sparkSession
     path = os.path.join(shared_folder(spark), "tables", uuid.uuid4().hex)
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
