@@ -51,7 +51,7 @@ def hours_allocation(t: CareTables) -> DataFrame:
     alloc = bounded_allocation(improvement_rates(t), ["quarter"], "department", "rate",
                                ALLOCATION_BUDGET, ALLOCATION_MIN_HOURS, ALLOCATION_MAX_HOURS)
     hours = F.round("hours", 1)
-    points = round_clean(hours * F.col("rate") * 100, 2)
+    points = F.round(F.round(hours * F.col("rate") * 100, 6), 2)
     quarter = Window.partitionBy("quarter")
     return (alloc.select("quarter", "department", F.col("rate").alias("_rate"), "alloc_rank", "feasible",
                          hours.alias("hours"), points.alias("expected_points"))

@@ -39,11 +39,15 @@ GOV_SEVERITIES = ["Low", "Medium", "High", "Critical"]
 GOV_SOURCES = ["Epic", "Clarity", "Manual_Entry", "External_Feed"]
 LAB_TEST_BY_EVENT = {"click": "HbA1c", "view": "LDL", "purchase": "Systolic_BP", "signup": "eGFR"}
 LAB_TEST_ELSE = "Creatinine"
+LAB_TEST_BY_EVENT_ODD = {"click": "Diastolic_BP", "view": "INR", "purchase": "Hemoglobin", "signup": "Creatinine"}
+LAB_TEST_ELSE_ODD = "HbA1c"      # events with an odd id
 ORPHAN_PREFIX = "PTX"       # ids outside the patient key space, one per orphan order
 ORPHAN_EVERY = 211          # every 211th order points at a missing patient
 AS_OF = _dt.date(2001, 8, 1)   # trailing windows over the test data end here
 NULL_ZIP_EVERY = 89         # every 89th customer has no zip code
 NULL_PAIN_EVERY = 53        # every 53rd part leaves Pain_Management empty
+NULL_DEPARTMENT_EVERY = 131  # every 131st order names no department
+NULL_SEVERITY_EVERY = 97    # every 97th issue has no severity
 
 
 def _pick(idx: Column, values: list[str]) -> Column:
@@ -83,7 +87,7 @@ def encounters_from(orders: DataFrame) -> DataFrame:
          .otherwise(_id("PT", ck, 6)).alias("patient_id"),
         F.col("o_orderdate").cast("date").alias("encounter_date"),
         lookup("o_orderpriority", ENCOUNTER_TYPE_BY_PRIORITY, ENCOUNTER_TYPE_ELSE).alias("encounter_type"),
-        _pick(ok % 8, DEPARTMENTS).alias("department"),
+        F.when(ok % NULL_DEPARTMENT_EVERY != 0, _pick(ok % 8, DEPARTMENTS)).alias("department"),
         (((ok * 5 + ck) % 61).cast("double") / 4).alias("length_of_stay"),
         _pick(ck % 6, DISCHARGE_DISPOSITIONS).alias("discharge_disposition"),
         _flag((ok * 7 + ck) % 6 == 0).alias("readmission_30d"),
@@ -112,7 +116,10 @@ def quality_measures_from(lineitem: DataFrame) -> DataFrame:
         bench.alias("national_benchmark"),
         F.round(rate - bench, 4).alias("gap_to_benchmark"),
         F.col("den").cast("int").alias("denominator"),
-        F.col("num").cast("int").alias("numerator"),
+        # by the rule of the derivation check, with an error in one cell in nine of each third quarter
+        (F.round(rate * F.col("den"), 0)
+         + F.when(((F.col("d") + F.col("m")) % 9 == 4) & F.col("quarter").endswith("Q3"), 1).otherwise(0))
+        .cast("int").alias("numerator"),
     )
 
 
@@ -150,7 +157,7 @@ def governance_log_from(lineitem: DataFrame) -> DataFrame:
         detected.alias("detected_date"),
         F.date_add(detected, days).alias("resolved_date"),
         days.alias("days_to_resolve"),
-        _pick(ok % 4, GOV_SEVERITIES).alias("severity"),
+        F.when((ok * 10 + ln) % NULL_SEVERITY_EVERY != 0, _pick(ok % 4, GOV_SEVERITIES)).alias("severity"),
         _flag((sk + ln) % 8 != 0).alias("resolved_flag"),
         _pick((ok + ln) % 4, GOV_SOURCES).alias("source_system"),
     )
@@ -161,7 +168,8 @@ def lab_results_from(events: DataFrame) -> DataFrame:
     return events.select(
         _id("LAB", F.col("event_id"), 7).alias("lab_id"),
         _id("PT", F.col("user_id"), 6).alias("patient_id"),
-        lookup("event_type", LAB_TEST_BY_EVENT, LAB_TEST_ELSE).alias("test_name"),
+        F.when(F.col("event_id") % 2 == 1, lookup("event_type", LAB_TEST_BY_EVENT_ODD, LAB_TEST_ELSE_ODD))
+         .otherwise(lookup("event_type", LAB_TEST_BY_EVENT, LAB_TEST_ELSE)).alias("test_name"),
         v.alias("result_value"),
         F.col("ts").cast("date").alias("result_date"),
         _flag(v > 100).alias("abnormal_flag"),

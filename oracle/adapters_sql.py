@@ -20,6 +20,7 @@ GOV_ISSUE_TYPES = ["Missing_Value", "Duplicate_Record", "Out_of_Range", "Format_
 GOV_FIELDS = ["patient_id", "encounter_date", "icd10_code", "total_charges", "performance_rate", "age", "zip_code"]
 GOV_SEVERITIES = ["Low", "Medium", "High", "Critical"]
 GOV_SOURCES = ["Epic", "Clarity", "Manual_Entry", "External_Feed"]
+LAB_TESTS_ODD = {"click": "Diastolic_BP", "view": "INR", "purchase": "Hemoglobin", "signup": "Creatinine"}
 LAB_TESTS = {"click": "HbA1c", "view": "LDL", "purchase": "Systolic_BP", "signup": "eGFR"}
 
 
@@ -57,7 +58,7 @@ SELECT {ident('ENC', 'o_orderkey', 7)} AS encounter_id,
        CASE WHEN o_orderkey % 211 = 0 THEN {ident('PTX', 'o_orderkey', 7)} ELSE {ident('PT', 'o_custkey', 6)} END AS patient_id,
        CAST(o_orderdate AS DATE) AS encounter_date,
        {case_map('o_orderpriority', ENCOUNTER_TYPES, 'Observation')} AS encounter_type,
-       {pick('o_orderkey % 8', DEPARTMENTS)} AS department,
+       CASE WHEN o_orderkey % 131 = 0 THEN NULL ELSE {pick('o_orderkey % 8', DEPARTMENTS)} END AS department,
        CAST((o_orderkey * 5 + o_custkey) % 61 AS DOUBLE) / 4 AS length_of_stay,
        {pick('o_custkey % 6', DISCHARGE_DISPOSITIONS)} AS discharge_disposition,
        CAST((o_orderkey * 7 + o_custkey) % 6 = 0 AS INTEGER) AS readmission_30d,
@@ -76,7 +77,8 @@ SELECT {pick('d', DEPARTMENTS)} AS department,
        ROUND(ROUND(CAST(num AS DOUBLE) / den, 4) - CAST(60 + (d * 5 + m * 3) % 14 AS DOUBLE) / 100, 4)
            AS gap_to_benchmark,
        CAST(den AS INTEGER) AS denominator,
-       CAST(num AS INTEGER) AS numerator
+       CAST(ROUND(ROUND(CAST(num AS DOUBLE) / den, 4) * den, 0)
+            + CASE WHEN (d + m) % 9 = 4 AND quarter LIKE '%Q3' THEN 1 ELSE 0 END AS INTEGER) AS numerator
 FROM (
     SELECT l_partkey % 8 AS d, l_suppkey % 8 AS m,
            CAST(YEAR(l_shipdate) AS VARCHAR) || '-Q' || CAST(QUARTER(l_shipdate) AS VARCHAR) AS quarter,
@@ -117,7 +119,7 @@ SELECT {ident('DQ', 'l_orderkey * 10 + l_linenumber', 7)} AS issue_id,
        CAST(l_shipdate AS DATE) AS detected_date,
        CAST(l_shipdate AS DATE) + CAST((l_partkey + l_linenumber) % 31 AS INTEGER) AS resolved_date,
        CAST((l_partkey + l_linenumber) % 31 AS INTEGER) AS days_to_resolve,
-       {pick('l_orderkey % 4', GOV_SEVERITIES)} AS severity,
+       CASE WHEN (l_orderkey * 10 + l_linenumber) % 97 = 0 THEN NULL ELSE {pick('l_orderkey % 4', GOV_SEVERITIES)} END AS severity,
        CAST((l_suppkey + l_linenumber) % 8 <> 0 AS INTEGER) AS resolved_flag,
        {pick('(l_orderkey + l_linenumber) % 4', GOV_SOURCES)} AS source_system
 FROM lineitem"""
@@ -125,7 +127,8 @@ FROM lineitem"""
 LAB_RESULTS = f"""
 SELECT {ident('LAB', 'event_id', 7)} AS lab_id,
        {ident('PT', 'user_id', 6)} AS patient_id,
-       {case_map('event_type', LAB_TESTS, 'Creatinine')} AS test_name,
+       CASE WHEN event_id % 2 = 1 THEN {case_map('event_type', LAB_TESTS_ODD, 'HbA1c')}
+            ELSE {case_map('event_type', LAB_TESTS, 'Creatinine')} END AS test_name,
        value AS result_value,
        CAST(ts AS DATE) AS result_date,
        CAST(value > 100 AS INTEGER) AS abnormal_flag,

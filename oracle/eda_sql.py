@@ -115,7 +115,7 @@ WITH r AS (
 )
 , points AS (
     SELECT *, ROUND(CAST(hrs AS DOUBLE), 1) AS hours,
-           ROUND(ROUND(ROUND(CAST(hrs AS DOUBLE), 1) * rate * 100, 8), 2) AS expected_points FROM h
+           CAST(ROUND(CAST(ROUND(CAST(hrs AS DOUBLE), 1) * rate * 100 AS DECIMAL(18, 6)), 2) AS DOUBLE) AS expected_points FROM h
 )
 SELECT quarter, department, ROUND(ROUND(rate, 8), 4) AS rate, alloc_rank, feasible, hours, expected_points,
        expected_points > ROUND(AVG(expected_points) OVER (PARTITION BY quarter), 8) AS above_average,
