@@ -9,9 +9,9 @@ increasing order, and a process ends as soon as it passes the largest slot of
 its document, so most shingles of a long text cost one point.
 
 Candidates: exact copies are merged first (128-bit hash of the text). The slots
-are banded; inside a bucket every text is compared with the smallest id and with
-its neighbour by size (two links per text, never all pairs), then, as long as a
-bucket still holds several components, with a member of another one. Each
+are banded; inside a bucket every text is compared with the smallest id (one link per text, never all
+pairs), then, as long as a bucket still holds several components and new links
+are found, with a member of another one. Each
 candidate pair is verified exactly on the multisets. Components of the verified
 links are the classes.
 
@@ -27,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from carelens.llm.components import components
 from carelens.llm.store import stored
@@ -144,13 +143,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 16, wi
                            .filter("count > 1").select("bucket"), "bucket"))
     texts = stored(docs.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
                    .dropDuplicates(["doc_id"]))
-    # every member with the bucket's smallest id, and with the member next to it by size
+    # every member with the bucket's smallest id
     first = buckets.groupBy("bucket").agg(F.min("rep").alias("v"))
-    star = buckets.join(first, "bucket").select(F.col("rep").alias("u"), "v")
-    by_size = Window.partitionBy("bucket").orderBy("size", "rep")
-    chain = buckets.select(F.col("rep").alias("u"), F.lag("rep").over(by_size).alias("v")).filter("v IS NOT NULL")
-    pairs = star.unionByName(chain).filter("u <> v").select(
-        F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    pairs = buckets.join(first, "bucket").select(F.col("rep").alias("u"), "v").filter("u <> v").distinct()
     links = stored(_verified(pairs, texts, threshold))
     # buckets that still hold several components: a member of one with the members of the others
     while True:

@@ -36,7 +36,7 @@ GRAM = 16
 SPAN = LENGTH - GRAM + 1
 REACH = LENGTH - GRAM
 
-SUFFIX_SCHEMA = "gram long, doc_id long, pos int, many boolean"
+SUFFIX_SCHEMA = "gram long, doc_id long, many boolean"
 CONTEXT_SCHEMA = "gram long, doc_id long, pos int, ahead binary, behind binary"
 MATCH_SCHEMA = "doc_id long, lo int, hi int, src_doc long, src_lo int"
 
@@ -79,9 +79,8 @@ def _emit_suffixes(batches):
             w = Words(part.column("text"))
             i, g = _minimisers(w, w.hashes(82))
             doc = part.column("doc_id").to_numpy(zero_copy_only=False)[w.row[i]]
-            pos = w.pos[i]
-            order = np.lexsort((pos, doc, g))
-            g, doc, pos = g[order], doc[order], pos[order]
+            order = np.lexsort((doc, g))
+            g, doc = g[order], doc[order]
             # a sequence that meets another document in this slice needs no other proof
             new = np.ones(len(g), bool)
             new[1:] = g[1:] != g[:-1]
@@ -89,9 +88,12 @@ def _emit_suffixes(batches):
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(g)) - 1
             many = (doc[first] != doc[last])[group] if len(g) else np.zeros(0, bool)
+            # one row for a document, however often it repeats a sequence
+            once = new.copy()
+            once[1:] |= doc[1:] != doc[:-1]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(g)), pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(many)],
-                names=["gram", "doc_id", "pos", "many"])
+                [pa.array(signed(g[once])), pa.array(doc[once]), pa.array(many[once])],
+                names=["gram", "doc_id", "many"])
 
 
 def _emit_contexts(batches):
