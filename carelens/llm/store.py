@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame
 
 
+#: Spark's setting to remove an execution's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark) -> str:
     """``spark.checkpoint.dir`` of the session; only a local session (tests) that
     leaves it unset gets a folder of its own."""
@@ -25,13 +29,19 @@ def shared_folder(spark) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """Write once, read back: later plans and retries start from the table.
 
-    Spark removes the shuffle files of a finished job once the driver's JVM has
-    collected its plan; asking for that here keeps a chain of such steps from
-    holding the files of all of them."""
+    The shuffle files of the write are dropped when it has ended, so that a chain
+    of such steps needs the disk of its largest step and not of all of them."""
     spark = df.sparkSession
     path = os.path.join(shared_folder(spark), "tables", uuid.uuid4().hex)
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
