@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from carelens.llm.store import stored
 
@@ -39,3 +40,33 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def linked(members: DataFrame, verify, pairs: DataFrame, links: DataFrame, pivots: int = 4) -> DataFrame:
+    """(node, root) of the components when every two nodes that share a bucket of
+    ``members`` (bucket, node) are linked if ``verify`` keeps their pair (u, v).
+    ``pairs`` were verified before and gave ``links``.
+
+    Each round compares some members of a bucket, its pivots, with all members of
+    other components; they have then met everybody and leave the bucket. The number
+    of pivots grows fourfold a round. A bucket is done when the members left are in
+    one component, so only members that no link joins cost all their pairs."""
+    roots = components(links)
+    order = Window.partitionBy("bucket").orderBy(F.xxhash64("node"), "node")
+    while True:
+        placed = members.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+        members = stored(placed.join(split, "bucket", "left_semi"))
+        if not members.take(1):
+            return roots
+        chosen = stored(members.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= pivots).drop("n"))
+        met = members.join(chosen.select("bucket", F.col("node").alias("pivot"), F.col("root").alias("other")), "bucket")
+        more = stored(met.filter("root <> other").select(F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v"))
+                      .distinct().join(pairs, ["u", "v"], "left_anti"))
+        new = stored(verify(more))
+        if new.take(1):
+            links = links.unionByName(new)
+            roots = components(links)
+        pairs = pairs.select("u", "v").unionByName(more)
+        members = members.join(chosen, ["bucket", "node"], "left_anti")
+        pivots *= 4

@@ -7,7 +7,10 @@ are the eight pairs of neighbours in that order: two lines of Jaccard 0.8 keep
 some pair of neighbours in common with probability over 0.998, while lines that
 only share a frequent shingle do not meet. Equal lines are merged first; in a
 bucket every line is compared with the bucket's first line and with its
-predecessor by length, never all pairs. Candidates are verified by exact Jaccard
+predecessor by length. A bucket that still holds several components is split by
+each further hash (candidates share three of nine), and in the parts some lines
+a round are compared with all of other components, until every line has been
+compared or joined. Candidates are verified by exact Jaccard
 similarity, and the links are joined up by distributed union-find (star
 contraction). The first occurrence (smallest doc_id, then line number) of each
 component stays, every other occurrence goes.
@@ -25,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from carelens.llm.components import components
+from carelens.llm.components import components, linked
 from carelens.llm.store import stored
 
 SHINGLE = 8
@@ -75,42 +78,58 @@ def _similar(pairs: DataFrame, threshold: float) -> DataFrame:
     return p.filter(F.col("both") >= threshold * (F.col("nx") + F.col("ny") - F.col("both")) - 1e-9).select("u", "v")
 
 
-def line_groups(docs: DataFrame, lines: DataFrame, threshold: float = 0.8, overlap: int = 4) -> DataFrame:
+def line_groups(docs: DataFrame, lines: DataFrame, threshold: float = 0.8, overlap: int = 3) -> DataFrame:
     """(a, root): the group of each line form that is near another one. Candidates
-    must share ``overlap`` of their nine smallest hashes (at a Jaccard of 0.8
-    fewer are shared with probability 3e-3)."""
+    must share ``overlap`` of their nine smallest hashes."""
     forms = lines.dropDuplicates(["a"])
     keys = F.when(F.size("low") == 1, F.array(F.xxhash64(F.get("low", F.lit(0))))).otherwise(F.transform(
         F.sequence(F.lit(0), F.size("low") - 2),
         lambda i: F.xxhash64(F.get(F.col("low"), i), F.get(F.col("low"), i + 1))))
     bucket = Window.partitionBy("key").orderBy("units", "a")
     met = (forms.select("a", "units", F.explode(keys).alias("key"))
-           .select("a", F.first("a").over(bucket.rowsBetween(Window.unboundedPreceding, 0)).alias("head"),
+           .select("key", "a", F.first("a").over(bucket.rowsBetween(Window.unboundedPreceding, 0)).alias("head"),
                    F.lag("a").over(bucket).alias("before")))
-    pairs = (met.filter("head <> a").select("a", F.explode(F.array_distinct(F.array("head", "before"))).alias("b"))
-             .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    met = stored(met.filter("head <> a"))
+    pairs = stored(met.select("a", F.explode(F.array_distinct(F.array("head", "before"))).alias("b"))
+                   .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     place = F.struct("doc_id", "n")
     sketch = forms.select("a", "low", place.alias("at"))
-    pairs = (pairs.join(sketch.select(F.col("a").alias("u"), F.col("low").alias("p"), F.col("at").alias("pu")), "u")
-             .join(sketch.select(F.col("a").alias("v"), F.col("low").alias("q"), F.col("at").alias("pv")), "v")
-             .filter(F.size(F.array_intersect("p", "q")) >= F.least(F.lit(overlap), F.size("p"), F.size("q")))
-             .select("u", "v", "pu", "pv"))
-    pairs = stored(pairs)
-    # the texts of candidates only, read where each form stands first in the sketch
-    want = (pairs.select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("pu").alias("at")),
-                                           F.struct(F.col("v").alias("a"), F.col("pv").alias("at")))).alias("x"))
-            .select(F.col("x.at.doc_id").alias("doc_id"), F.col("x.at.n").alias("n"), F.col("x.a").alias("a")).distinct()
-            .groupBy("doc_id").agg(F.collect_list(F.struct("n", "a")).alias("want")))
-    texts = docs.select("doc_id", "text").join(want, "doc_id").select(
-        F.split("text", "\n", -1).alias("all"), "want")
-    found = texts.select(F.explode(F.transform("want", lambda x: F.struct(
-        x["a"].alias("a"), F.get(F.col("all"), x["n"]).alias("line")))).alias("x"))
-    forms = stored(found.select(F.col("x.a").alias("a"), _form(F.col("x.line")).alias("form"))
-                   .filter(F.xxhash64("form") == F.col("a")).dropDuplicates(["a"]))
-    known = pairs.join(forms.select(F.col("a").alias("u"), F.col("form").alias("x")), "u").join(
-        forms.select(F.col("a").alias("v"), F.col("form").alias("y")), "v")
-    roots = components(_similar(known, threshold))
-    return roots.select(F.col("node").alias("a"), "root")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        pairs = (pairs.join(sketch.select(F.col("a").alias("u"), F.col("low").alias("p"), F.col("at").alias("pu")), "u")
+                 .join(sketch.select(F.col("a").alias("v"), F.col("low").alias("q"), F.col("at").alias("pv")), "v")
+                 .filter(F.size(F.array_intersect("p", "q")) >= F.least(F.lit(overlap), F.size("p"), F.size("q")))
+                 .select("u", "v", "pu", "pv"))
+        pairs = stored(pairs)
+        # the texts of candidates only, read where each form stands first in the sketch
+        want = (pairs.select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("pu").alias("at")),
+                                               F.struct(F.col("v").alias("a"), F.col("pv").alias("at")))).alias("x"))
+                .select(F.col("x.at.doc_id").alias("doc_id"), F.col("x.at.n").alias("n"), F.col("x.a").alias("a")).distinct()
+                .groupBy("doc_id").agg(F.collect_list(F.struct("n", "a")).alias("want")))
+        texts = docs.select("doc_id", "text").join(want, "doc_id").select(
+            F.split("text", "\n", -1).alias("all"), "want")
+        found = texts.select(F.explode(F.transform("want", lambda x: F.struct(
+            x["a"].alias("a"), F.get(F.col("all"), x["n"]).alias("line")))).alias("x"))
+        known = stored(found.select(F.col("x.a").alias("a"), _form(F.col("x.line")).alias("form"))
+                       .filter(F.xxhash64("form") == F.col("a")).dropDuplicates(["a"]))
+        both = pairs.join(known.select(F.col("a").alias("u"), F.col("form").alias("x")), "u").join(
+            known.select(F.col("a").alias("v"), F.col("form").alias("y")), "v")
+        return _similar(both, threshold)
+
+    links = stored(verify(pairs))
+    # buckets that still hold several components, by a third hash: candidates share three (a set of two only equals another of two)
+    roots = components(links)
+    placed = met.select("key", "a").join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+    split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+    i = (F.array_position(keys, F.col("key")) - 1).cast("int")
+    third = F.when(F.size("low") < 3, F.array(F.lit(0).cast("long"))).otherwise(
+        F.filter("low", lambda x, j: (j < i) | (j > i + 1)))
+    parts = (met.select("key", "a").join(split, "key").join(forms.select("a", "low"), "a")
+             .select(F.col("a").alias("node"), "key", F.explode(third).alias("third"))
+             .select("node", F.xxhash64("key", "third").alias("bucket")))
+    parts = stored(parts)
+    parts = parts.join(parts.groupBy("bucket").count().filter("count > 1").select("bucket"), "bucket")
+    return linked(parts, verify, pairs, links).select(F.col("node").alias("a"), "root")
 
 
 def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 from zlib import crc32
 
+from carelens.llm.fuzzy_lines import dedup_lines
 from carelens.llm.suffix_tree_lm import suffix_tree_lm
 from tests.llm import brute
 
@@ -52,3 +53,19 @@ def test_language_model_counts_contexts_of_common_words(make, corpus):
         got = {r.doc_id: r.score for r in suffix_tree_lm(make(rows), rare=rare).collect()}
         assert got.keys() == want.keys()
         assert all(abs(got[d] - want[d]) < 1e-6 * max(1, abs(want[d])) for d in want)
+
+
+def test_fuzzy_lines_of_one_template(make):
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    shared, lines = "q" + text(81), []
+    for _ in range(150):
+        own = text(9) + "z"
+        lines += [shared + own + text(7) + "x" for _ in range(2)]
+    rng.shuffle(lines)
+    rows = [(i + 1, "\n".join(lines[i * 10:i * 10 + 10])) for i in range(30)]
+    got = {r.doc_id: r for r in dedup_lines(make(rows)).collect()}
+    want = brute.lines_removed(rows)
+    assert sum(map(len, want.values())) == 150
+    for d, t in rows:
+        assert got[d].text == "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want.get(d, []))
