@@ -9,9 +9,10 @@ increasing order, and a process ends as soon as it passes the largest slot of
 its document, so most shingles of a long text cost one point.
 
 Candidates: exact copies are merged first (128-bit hash of the text). The slots
-are banded; inside a bucket every text is compared with the smallest id (one link per text, never all
-pairs), then, as long as a bucket still holds several components and new links
-are found, with a member of another one. Each
+are banded; inside a bucket every text is compared with the smallest id, then, as
+long as the others are in several components, some members a round are compared
+with all of other components and leave the bucket. So every two texts of a bucket
+are compared or joined; only texts without a link cost all their pairs. Each
 candidate pair is verified exactly on the multisets. Components of the verified
 links are the classes.
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carelens.llm.components import components
+from carelens.llm.components import linked
 from carelens.llm.store import stored
 from carelens.llm.text import Words, base_columns, mix, rolling, signed, slices
 
@@ -146,23 +147,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 16, wi
     # every member with the bucket's smallest id
     first = buckets.groupBy("bucket").agg(F.min("rep").alias("v"))
     pairs = buckets.join(first, "bucket").select(F.col("rep").alias("u"), "v").filter("u <> v").distinct()
+    pairs = stored(pairs)
     links = stored(_verified(pairs, texts, threshold))
-    # buckets that still hold several components: a member of one with the members of the others
-    while True:
-        roots = components(links)
-        placed = buckets.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
-            "root", F.coalesce("root", "rep"))
-        split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-        ends = placed.join(split, "bucket")
-        pivot = ends.filter("root = high").groupBy("bucket").agg(F.max("rep").alias("v"))
-        more = (ends.filter("root <> high").join(pivot, "bucket")
-                .select(F.greatest("rep", "v").alias("u"), F.least("rep", "v").alias("v")).distinct())
-        pairs2 = more.join(pairs, ["u", "v"], "left_anti")
-        new = stored(_verified(pairs2, texts, threshold))
-        if not new.take(1):
-            break
-        pairs = stored(pairs.unionByName(pairs2).distinct())
-        links = stored(links.unionByName(new))
+    # buckets that still hold several components, without the smallest id, which has met all
+    rest = buckets.join(first, "bucket").filter("rep <> v").select("bucket", F.col("rep").alias("node"))
+    roots = linked(rest, lambda more: _verified(more, texts, threshold), pairs, links)
     reps = copies.select("a", "b", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
         "a", "b", "rep", F.coalesce("root", "rep").alias("root"))
     named = signed_docs.filter("size > 0").join(reps, ["a", "b"]).groupBy("doc_id").agg(

@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 from zlib import crc32
 
+from carelens.llm.bag_minhash import near_duplicates
 from carelens.llm.fuzzy_lines import dedup_lines
 from carelens.llm.suffix_tree_lm import suffix_tree_lm
 from tests.llm import brute
@@ -69,3 +70,18 @@ def test_fuzzy_lines_of_one_template(make):
     assert sum(map(len, want.values())) == 150
     for d, t in rows:
         assert got[d].text == "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want.get(d, []))
+
+
+def test_near_duplicates_of_one_template(make):
+    rng = random.Random(9)
+    word = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shared, texts = word(176), []
+    for _ in range(120):
+        own = word(10)
+        texts += [" ".join(shared + own + word(19)) for _ in range(2)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts, 1))
+    got = {r.doc_id: r.class_id for r in near_duplicates(make(rows)).collect()}
+    want = brute.near_classes(rows)
+    assert len(set(want.values())) == 120
+    assert got == want
