@@ -12,8 +12,8 @@ one such window whole, so both its occurrences keep the same suffix.
 3. The matches of a document that lie on one diagonal of the same earlier
    document are joined up to the whole passage.
 
-Sorted suffixes are streamed: a task holds a batch and the few rows before it,
-whatever the size of a group.
+Sorted suffixes are streamed: a task holds a batch and three rows before it,
+whatever the size of a group or the number of repeats inside a document.
 
 Edge cases: null or empty texts and texts under 50 words have no passages; a
 null doc_id is left out; repeats inside one document (or among rows that repeat
@@ -159,12 +159,9 @@ def _neighbours(batches):
                 ok = (total >= LENGTH) & (doc[b] < doc[a])
                 found.append((a[ok], b[ok], left[ok], total[ok] - left[ok]))
             before = np.where(before >= 0, start[np.maximum(before, 0)] - 1, -1)
-        # rows that later ones may still meet
-        tail = len(gram)
-        for _ in range(3):
-            tail = start[tail - 1] if tail > 0 else 0
-        tail = max(tail, len(gram) - 4096)
-        carry = t.slice(tail).to_batches()[0] if tail < len(gram) else None
+        # rows that later ones may still meet: the last of each of the last three runs
+        ends = np.append(np.flatnonzero(run)[1:], len(gram)) - 1
+        carry = t.take(pa.array(ends[-3:])).combine_chunks().to_batches()[0]
         a, b, left, right = (np.concatenate(x) for x in zip(*found))
         # of each suffix the longest match, and those that reach further on a side
         order = np.lexsort((-left - right, a))

@@ -5,8 +5,12 @@ import random
 from collections import Counter, defaultdict
 from zlib import crc32
 
+import numpy as np
+import pyarrow as pa
+
 from carelens.llm.bag_minhash import near_duplicates
 from carelens.llm.fuzzy_lines import dedup_lines
+from carelens.llm.sparse_suffixes import REACH, _neighbours
 from carelens.llm.suffix_tree_lm import suffix_tree_lm
 from tests.llm import brute
 
@@ -85,3 +89,17 @@ def test_near_duplicates_of_one_template(make):
     want = brute.near_classes(rows)
     assert len(set(want.values())) == 120
     assert got == want
+
+
+def test_repeats_of_one_document_over_batches():
+    words = np.arange(1, REACH + 1, dtype=np.uint32).tobytes()
+
+    def batch(docs, pos):
+        n = len(docs)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([7] * n), pa.array(docs), pa.array(pos, pa.int32()), pa.array([words] * n), pa.array([words] * n)],
+            names=["gram", "doc_id", "pos", "ahead", "behind"])
+    found = list(_neighbours([batch([1] + [2] * 6000, [50, *range(6000)]), batch([2] * 5000, list(range(6000, 11000))),
+                              batch([2] * 10 + [3], [*range(11000, 11010), 9])]))
+    hit = {(d, lo + REACH) for b in found for d, lo in zip(b.column("doc_id").to_pylist(), b.column("lo").to_pylist())}
+    assert hit == {(2, i) for i in range(11010)} | {(3, 9)}
