@@ -9,7 +9,12 @@ one such window whole, so both its occurrences keep the same suffix.
    and are sorted by them within equal beginnings, once to the right and once to
    the left. Neighbours of other documents in either order are compared and the
    match is extended left and right word by word; together they must reach 50.
-3. The matches of a document that lie on one diagonal of the same earlier
+3. Near neighbours need not include the earliest holder of a passage. So each
+   window of 50 words around a suffix that no earlier document's match covers is
+   exchanged by its hash, unless the sort shows that no other document shares its
+   longer side; the smallest document of a window is the source of the others. A
+   window's first holder is never covered, so none of its holders is lost.
+4. The matches of a document that lie on one diagonal of the same earlier
    document are joined up to the whole passage.
 
 Sorted suffixes are streamed: a task holds a batch and three rows before it,
@@ -23,12 +28,15 @@ compared by 32-bit hashes.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from carelens.llm.store import stored
 from carelens.llm.text import Words, base_columns, mix, rolling, signed, slices
 
 LENGTH = 50
@@ -38,7 +46,7 @@ REACH = LENGTH - GRAM
 
 SUFFIX_SCHEMA = "gram long, doc_id long, many boolean"
 CONTEXT_SCHEMA = "gram long, doc_id long, pos int, ahead binary, behind binary"
-MATCH_SCHEMA = "doc_id long, lo int, hi int, src_doc long, src_lo int"
+MATCH_SCHEMA = "doc_id long, lo int, hi int, src_doc long, src_lo int, key long"
 
 
 def _minimisers(w: Words, h: np.ndarray):
@@ -134,10 +142,46 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
 
 
-def _neighbours(batches):
+def _prefixes(words: np.ndarray, seed: int, low: int, high: int) -> dict:
+    """Hashes of the first ``low`` .. ``high`` words of each row."""
+    h, out = np.full(len(words), seed, np.uint64), {}
+    for k in range(high + 1):
+        if k >= low:
+            out[k] = h
+        if k < high:
+            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + words[:, k])
+    return out
+
+
+def _windows(words: dict, gram, rows, near, done, column: str):
+    """(row, words to the left, key) of the windows of LENGTH words around the
+    sorted suffixes ``rows`` that another document may hold (``near``: words that
+    the nearest one shares in the sort order) and no match found covers. Half of a
+    window or more lies on the sorted side."""
+    yield np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    half = REACH // 2
+    low = half if column == "ahead" else half + 1
+    rows = rows[near[rows] >= low]
+    other = "behind" if column == "ahead" else "ahead"
+    for at in range(0, len(rows), 20_000):
+        i = rows[at:at + 20_000]
+        a, b = words[column][i], words[other][i]
+        this, that = _prefixes(a, 1, low, REACH), _prefixes(b, 2, 0, REACH - low)
+        for k in range(low, REACH + 1):
+            left = REACH - k if column == "ahead" else k
+            on = (near[i] >= k) & ((done[i] >> np.uint64(left)) & np.uint64(1) == 0)
+            if k < REACH:
+                on &= b[:, REACH - k - 1] != 0
+            key = mix(gram[i[on]].view(np.uint64) + np.uint64(left)) ^ this[k][on]
+            yield i[on], np.full(int(on.sum()), left), mix(mix(key) ^ that[REACH - k][on])
+
+
+def _neighbours(batches, column: str = "ahead"):
     """Compare each sorted suffix with the two nearest of other documents on both
-    sides; the later document of a match gets it."""
-    carry = None
+    sides; the later document of a match gets it. The windows that no match with an
+    earlier document covers go out with a key, to be compared as a whole."""
+    carry, old = None, 0
+    names = ["doc_id", "lo", "hi", "src_doc", "src_lo", "key"]
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -150,6 +194,15 @@ def _neighbours(batches):
         start = np.flatnonzero(run)[np.cumsum(run) - 1]
         found = []
         before = start - 1
+        # words shared with the nearest other document; the last run's next one is not known
+        ends = np.append(np.flatnonzero(run)[1:], len(gram)) - 1
+        after = (ends + 1)[np.cumsum(run) - 1]
+        near = np.where(after < len(gram), 0, (words[column] != 0).sum(axis=1))
+        done = np.zeros(len(gram), np.uint64)
+        for other in (before, after):
+            i = np.flatnonzero((other >= 0) & (other < len(gram)))
+            i = i[gram[other[i]] == gram[i]]
+            near[i] = np.maximum(near[i], _common(words[column][i], words[column][other[i]]))
         for _ in range(2):
             i = np.flatnonzero((before >= 0) & (gram[np.maximum(before, 0)] == gram))
             j = before[i]
@@ -158,10 +211,15 @@ def _neighbours(batches):
             for a, b in ((i, j), (j, i)):
                 ok = (total >= LENGTH) & (doc[b] < doc[a])
                 found.append((a[ok], b[ok], left[ok], total[ok] - left[ok]))
+                # windows with max(0, REACH - right) .. left words to the left are settled
+                low = np.maximum(REACH + GRAM - found[-1][3], 0).astype(np.uint64)
+                bits = ((np.uint64(2) << left[ok].astype(np.uint64)) - np.uint64(1)) >> low << low
+                np.bitwise_or.at(done, a[ok], bits)
             before = np.where(before >= 0, start[np.maximum(before, 0)] - 1, -1)
         # rows that later ones may still meet: the last of each of the last three runs
-        ends = np.append(np.flatnonzero(run)[1:], len(gram)) - 1
         carry = t.take(pa.array(ends[-3:])).combine_chunks().to_batches()[0]
+        open_ = list(_windows(words, gram, np.arange(old, len(gram)), near, done, column))
+        old = carry.num_rows
         a, b, left, right = (np.concatenate(x) for x in zip(*found))
         # of each suffix the longest match, and those that reach further on a side
         order = np.lexsort((-left - right, a))
@@ -173,7 +231,12 @@ def _neighbours(batches):
         a, b, left, right = a[use], b[use], left[use], right[use]
         yield pa.RecordBatch.from_arrays(
             [pa.array(doc[a]), pa.array((pos[a] - left).astype(np.int32)), pa.array((pos[a] + right).astype(np.int32)),
-             pa.array(doc[b]), pa.array((pos[b] - left).astype(np.int32))], names=["doc_id", "lo", "hi", "src_doc", "src_lo"])
+             pa.array(doc[b]), pa.array((pos[b] - left).astype(np.int32)), pa.nulls(len(a), pa.int64())], names=names)
+        i, left, key = (np.concatenate(x) for x in zip(*open_))
+        lo = (pos[i] - left).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(doc[i]), pa.array(lo), pa.array(lo + np.int32(LENGTH)), pa.nulls(len(i), pa.int64()),
+             pa.nulls(len(i), pa.int32()), pa.array(signed(key))], names=names)
 
 
 def _joined(batches):
@@ -189,9 +252,11 @@ def _joined(batches):
         owner, lo, hi, src, diagonal = (x[order] for x in (owner, lo, hi, src, diagonal))
         same = np.zeros(len(lo), bool)
         same[1:] = (owner[1:] == owner[:-1]) & (src[1:] == src[:-1]) & (diagonal[1:] == diagonal[:-1])
-        # running end inside each diagonal: hi grows with lo as matches are at least 50 long
+        # running end inside each diagonal
+        step = hi.max(initial=0) + 1
+        reach = np.maximum.accumulate(hi + np.cumsum(~same) * step) - np.cumsum(~same) * step
         new = ~same
-        new[1:] |= lo[1:] > hi[:-1]
+        new[1:] |= lo[1:] > reach[:-1]
         a = np.flatnonzero(new)
         end = np.maximum.reduceat(hi, a) if len(a) else hi
         ids = batch.column("doc_id").to_numpy()
@@ -213,7 +278,14 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
                 .repartition("gram"))
     found = None
     for column in ("ahead", "behind"):
-        part = contexts.sortWithinPartitions("gram", column, "doc_id", "pos").mapInArrow(_neighbours, MATCH_SCHEMA)
+        part = contexts.sortWithinPartitions("gram", column, "doc_id", "pos").mapInArrow(
+            partial(_neighbours, column=column), MATCH_SCHEMA)
         found = part if found is None else found.unionByName(part)
+    found = stored(found)
+    windows = found.filter("key IS NOT NULL").select("key", "doc_id", "lo", "hi")
+    first = windows.groupBy("key").agg(F.min(F.struct("doc_id", "lo")).alias("s"), F.max("doc_id").alias("last")).filter("s.doc_id < last")
+    late = windows.join(first, "key").filter("doc_id > s.doc_id").select(
+        "doc_id", "lo", "hi", F.col("s.doc_id").alias("src_doc"), F.col("s.lo").alias("src_lo"))
+    found = found.filter("key IS NULL").drop("key").unionByName(late)
     return (found.groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi", "src_doc", "src_lo")).alias("found"))
             .mapInArrow(_joined, "doc_id long, start long, n_words long, src_doc_id long, src_start long"))

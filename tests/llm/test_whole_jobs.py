@@ -10,7 +10,7 @@ import pyarrow as pa
 
 from carelens.llm.bag_minhash import near_duplicates
 from carelens.llm.fuzzy_lines import dedup_lines
-from carelens.llm.sparse_suffixes import REACH, _neighbours
+from carelens.llm.sparse_suffixes import REACH, _neighbours, repeated_passages
 from carelens.llm.suffix_tree_lm import suffix_tree_lm
 from tests.llm import brute
 
@@ -101,5 +101,26 @@ def test_repeats_of_one_document_over_batches():
             names=["gram", "doc_id", "pos", "ahead", "behind"])
     found = list(_neighbours([batch([1] + [2] * 6000, [50, *range(6000)]), batch([2] * 5000, list(range(6000, 11000))),
                               batch([2] * 10 + [3], [*range(11000, 11010), 9])]))
-    hit = {(d, lo + REACH) for b in found for d, lo in zip(b.column("doc_id").to_pylist(), b.column("lo").to_pylist())}
+    hit = {(d, lo + REACH) for b in found for d, lo in zip(b.column("doc_id").to_pylist(), b.column("lo").to_pylist())
+           if b.column("src_doc").null_count == 0}
     assert hit == {(2, i) for i in range(11010)} | {(3, 9)}
+
+
+def test_passages_of_many_documents(make):
+    rng = random.Random(6)
+    word = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for size in (50, 53, 60):
+        passage = word(size)
+        rows += [word(rng.randrange(30, 60)) + passage + word(rng.randrange(30, 60)) for _ in range(300)]
+    long_, ids = word(90), rng.sample(range(1, 2000), 960)
+    rows += [word(40) + long_[a:a + 58] + word(40) for a in (0, 5, 10, 15, 20, 25) * 10]
+    rows = [(d, " ".join(t)) for d, t in zip(ids, rows)]
+    texts = {d: brute.words(t) for d, t in rows}
+    cover = {}
+    for r in repeated_passages(make(rows)).collect():
+        a = texts[r.doc_id][r.start:r.start + r.n_words]
+        assert a == texts[r.src_doc_id][r.src_start:r.src_start + r.n_words] and r.src_doc_id < r.doc_id
+        cover.setdefault(r.doc_id, set()).update(range(r.start, r.start + r.n_words))
+    want = {d: v[1] for d, v in brute.windows_removed(rows).items() if v[1]}
+    assert {d: len(v) for d, v in cover.items()} == want
