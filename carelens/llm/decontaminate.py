@@ -32,6 +32,7 @@ from carelens.llm.text import Words, mix, rolling, slices
 
 SHINGLE = 5
 UNIT = 8
+FEW = 4
 
 
 def _constants(functions: int):
@@ -69,7 +70,7 @@ def item_index(ids: list, texts: list, functions: int) -> dict:
     size = np.diff(first)
     classes: dict[int, list] = {}
     xor, mul = _constants(functions)
-    for i in np.flatnonzero((size > 0) & (w.n >= SHINGLE)):
+    for i in np.flatnonzero((size >= FEW) & (w.n >= SHINGLE)):
         unit = UNIT
         while unit < size[i]:
             unit *= 2
@@ -81,9 +82,11 @@ def item_index(ids: list, texts: list, functions: int) -> dict:
             order = np.argsort(v)
             bands[unit, f] = (v[order], np.array(items)[order])
     short = {k: np.flatnonzero((w.n == k)) for k in range(1, SHINGLE)}
+    few = (size < FEW) & (w.n >= SHINGLE)
     return {"ids": ids, "key": key, "first": first, "size": size, "bands": bands,
             "units": sorted(classes), "functions": functions,
-            "short": {k: (key[first[i]], i) for k, i in short.items() if len(i)}}
+            "short": {k: (key[first[i]], i) for k, i in short.items() if len(i)}
+            | ({SHINGLE: (key[few[row]], row[few[row]])} if few.any() else {})}
 
 
 def _expand(values, items, found):
@@ -129,7 +132,7 @@ def _search(index: dict, col: pa.Array, threshold: float):
                     rows.append(prow[hit][a])
                     items.append(b)
     for k, (values, members) in index["short"].items():
-        a2, g = _grams(w, h, k)
+        a2, g = (at, key) if k == SHINGLE else _grams(w, h, k)
         order = np.argsort(values)
         a, b = _expand(values[order], members[order], g)
         rows.append(w.row[a2][a])
@@ -142,7 +145,7 @@ def _search(index: dict, col: pa.Array, threshold: float):
     # exact: shingles of the item that the whole document holds
     salt = mix(np.arange(len(w.n), dtype=np.uint64) + np.uint64(5))
     held = [key[np.isin(row, row_c)] ^ salt[row[np.isin(row, row_c)]]]
-    for k in index["short"]:
+    for k in index["short"].keys() - {SHINGLE}:
         a2, g = _grams(w, h, k)
         on = np.isin(w.row[a2], row_c)
         held.append(g[on] ^ salt[w.row[a2][on]])

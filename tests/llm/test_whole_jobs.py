@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 from carelens.llm.bag_minhash import near_duplicates
+from carelens.llm.decontaminate import contained_items
 from carelens.llm.fuzzy_lines import dedup_lines
 from carelens.llm.sparse_suffixes import REACH, _neighbours, repeated_passages
 from carelens.llm.suffix_tree_lm import suffix_tree_lm
@@ -124,3 +125,14 @@ def test_passages_of_many_documents(make):
         cover.setdefault(r.doc_id, set()).update(range(r.start, r.start + r.n_words))
     want = {d: v[1] for d, v in brute.windows_removed(rows).items() if v[1]}
     assert {d: len(v) for d, v in cover.items()} == want
+
+
+def test_items_of_one_shingle(spark, make):
+    rng = random.Random(8)
+    word = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = [word(300) for _ in range(150)]
+    items = [(i * 10 + j, " ".join(t[j * 28 + 3:j * 28 + 8 + i % 3])) for i, t in enumerate(texts) for j in range(10)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts, 1)]
+    got = {(r.item_id, r.doc_id) for r in contained_items(
+        make(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(i, i // 10 + 1) for i, _ in items}
