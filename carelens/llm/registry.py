@@ -14,9 +14,12 @@ from carelens.llm.crf_lang import crf_language
 from carelens.llm.decontaminate import contained_items
 from carelens.llm.fuzzy_lines import dedup_lines
 from carelens.llm.line_rules import line_rules
+from carelens.llm.merkle import merkle_manifest
 from carelens.llm.mix_sources import mix_sources
 from carelens.llm.sparse_suffixes import repeated_passages
 from carelens.llm.suffix_tree_lm import suffix_tree_lm
+from carelens.llm.warc import warc_index
+from carelens.llm.whitening import whiten
 from carelens.llm.zstd_toxicity import zstd_toxicity
 
 
@@ -87,8 +90,26 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_lines", "n_lines_removed", "n_words_removed")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings on the first 16 whitened components."""
+    out = whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))  # null beyond a long
+
+
+def op12_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' captures in the merged index of their archives."""
+    return warc_index(spark.read.parquet(f"{sf_dir}/pages.parquet")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "stamp", "rank", "valid")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents, and the roots of the versions with a tampered one."""
+    return merkle_manifest(documents(spark, sf_dir))
+
+
 QUERIES = [op1_suffix_tree_lm, op2_decontaminate, op3_crf_language, op4_bag_minhash, op5_fuzzy_lines,
-           op6_sparse_suffixes, op7_cover_dedup, op8_mix_sources, op9_zstd_toxicity, op10_line_rules]
+           op6_sparse_suffixes, op7_cover_dedup, op8_mix_sources, op9_zstd_toxicity, op10_line_rules,
+           op11_whitening, op12_warc_index, op13_merkle_manifest]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
