@@ -117,4 +117,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mix_sources": sql.MIX_SOURCES, "op10_line_rules": sql.LINE_RULES}
+    return {"op8_mix_sources": sql.MIX_SOURCES, "op10_line_rules": sql.LINE_RULES, "op12_warc_index": sql.WARC_INDEX,
+            "op13_merkle_manifest": sql.MERKLE_MANIFEST}

@@ -87,3 +87,81 @@ SELECT doc_id, CAST(epoch AS INT) AS epoch, domain, lang, source, n_tokens,
        CAST(least(n_tokens, quota - start) AS BIGINT) AS taken
 FROM placed WHERE start < quota
 """
+
+
+WARC_INDEX = r"""
+WITH page AS (
+  SELECT page_id, coalesce(html, '') AS body, lower(coalesce(url, '')) AS u FROM pages),
+held AS (
+  SELECT page_id, u, octet_length(encode(body)) AS payload_bytes, sha1(body) AS hex, min(page_id) OVER (PARTITION BY body) AS low FROM page),
+keyed AS (
+  SELECT *, regexp_extract(u, '^[a-z]+://(?:www[0-9]*\.)?([^/:?#]*)', 1) AS host,
+         regexp_extract(u, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(u, '^[^?#]*\?([^#]*)', 1) AS args FROM held),
+named AS (
+  SELECT page_id, payload_bytes, low,
+         list_aggregate(list_transform(range(8), lambda i: list_aggregate(list_transform(range(4), lambda j:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                  1 + CAST((CAST('0x' || substr(hex, CAST(1 + 5 * i AS INT), 5) AS INT) // CAST(pow(32, 3 - j) AS INT)) % 32 AS INT), 1)), 'string_agg', '')), 'string_agg', '')
+           AS payload_digest,
+         CASE WHEN u = '' THEN '' ELSE list_aggregate(list_reverse(string_split(host, '.')), 'string_agg', ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END
+           || CASE WHEN args = '' THEN '' ELSE '?' || list_aggregate(list_sort(string_split(args, '&')), 'string_agg', '&') END END AS url_key,
+         strftime(TIMESTAMP '2020-01-01' + to_seconds(page_id), '%Y%m%d%H%M%S') AS stamp
+  FROM keyed)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = low THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = low THEN NULL ELSE low END AS refers_to, url_key, stamp,
+       row_number() OVER (ORDER BY url_key, stamp, page_id) AS rank, true AS valid
+FROM named
+"""
+
+
+def _merkle(up: int = 8, over: int = 3) -> str:
+    """Every level as a statement of its own: ``up`` levels above the leaves, ``over`` above the subroots."""
+    out = []
+
+    def level(name: str, below: str) -> None:
+        # a group of one node is its own top and stays; the others are hashed by eights
+        out.append(f"""{name} AS MATERIALIZED (SELECT g, i // 8 AS i, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h,
+  CAST(ceil(any_value(n) / 8.0) AS BIGINT) AS n FROM {below} GROUP BY g, i // 8)""")
+
+    def fold(name: str, below: str, nodes: str, at: str) -> None:
+        # l and r: the others of the node's run, on its left and on its right
+        out.append(f"""{name} AS MATERIALIZED (SELECT v.* REPLACE (CASE WHEN s.n > 1 THEN sha256(coalesce(l, '') || folded || coalesce(r, '')) ELSE folded END AS folded,
+    CASE WHEN s.n > 1 THEN others || coalesce(l, '') || coalesce(r, '') ELSE others END AS others, v.{at} // 8 AS {at})
+  FROM {below} v JOIN (SELECT g, i, n, string_agg(h, '') OVER (PARTITION BY g, i // 8 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l,
+      string_agg(h, '') OVER (PARTITION BY g, i // 8 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS r FROM {nodes}) s
+    ON s.i = v.{at} AND s.g = {'v.g' if at == 'i' else "''"})""")
+
+    for k in range(1, up + 1):
+        level(f"node{k}", f"node{k - 1}")
+    out.append(f"""over0 AS MATERIALIZED (SELECT '' AS g, g AS own, row_number() OVER (ORDER BY g) - 1 AS i, h, count(*) OVER () AS n FROM node{up})""")
+    for k in range(1, over + 1):
+        level(f"over{k}", f"over{k - 1}")
+    out.append("""way0 AS MATERIALIZED (SELECT leaf.*, over0.i AS j, over0.h AS subroot, '' AS others, coalesce(changed, leaf.h) AS folded
+  FROM (SELECT doc_id, g, i, h, changed FROM node0) leaf JOIN (SELECT own, i, h FROM over0) over0 ON over0.own = leaf.g)""")
+    for k in range(up):
+        fold(f"way{k + 1}", f"way{k}", f"node{k}", "i")
+    for k in range(over):
+        fold(f"way{up + k + 1}", f"way{up + k}", f"over{k}", "j")
+    field = lambda c: f"coalesce(CAST(octet_length(encode(CAST({c} AS VARCHAR))) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+    head = " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH crc AS (
+  SELECT list(t ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(range(8), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, CAST(b AS BIGINT)) AS t
+    FROM range(256) AS r(b))),
+hashed AS (
+  SELECT doc_id, CASE WHEN lang IS NULL THEN '0' ELSE '1' || lang END AS g, sha256({head} || {field('text')}) AS h,
+         CASE WHEN xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)),
+                lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1]), 4294967295), 4294967295) % 3 = 0
+              THEN sha256({head} || {field(low)}) END AS changed
+  FROM documents, crc),
+node0 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM hashed),
+{", ".join(out)}
+SELECT doc_id, h AS leaf, subroot, (SELECT h FROM over{over}) AS root, sha256(others) AS proof_sha256, folded AS folded_root,
+       folded = (SELECT h FROM over{over}) AS verified
+FROM way{up + over}
+"""
+
+
+MERKLE_MANIFEST = _merkle()

@@ -11,10 +11,11 @@ from carelens.llm.registry import MIX_WEIGHTS, domain
 from tests.llm import brute
 
 
-@pytest.mark.parametrize("name", ["op8_mix_sources", "op10_line_rules"])
+@pytest.mark.parametrize("name", ["op8_mix_sources", "op10_line_rules", "op12_warc_index", "op13_merkle_manifest"])
 def test_oracle(spark, sf, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for table in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     got = entry.queries()[name](spark, sf)
     want = con.sql(entry.oracle_sql()[name])
     names = sorted(got.columns)
