@@ -102,35 +102,43 @@ def pearson(df: DataFrame, x: str, y: str, scale: int = 4) -> DataFrame:
     return pearson_from_sums(rows, "_n", "_sx", "_sy", "_sxx", "_syy", "_sxy", scale)
 
 
-def average_ranks(df: DataFrame, value: str, weight: str, name: str) -> DataFrame:
-    """(value, name): the average 1-based rank of each distinct non-NULL ``value``
-    among the weighted rows (ties share the mean of their ranks). Built from a
-    histogram with cumulative counts, so no global sort of rows."""
+def average_ranks(df: DataFrame, columns: list[str], weight: str) -> DataFrame:
+    """(column, value, rank) of each distinct non-NULL value of each of the columns: its
+    average 1-based rank among the weighted rows (ties share the mean of their ranks),
+    plus the rows of the columns before it in the list, a constant that no
+    correlation sees. The histograms of all columns are cumulated in one go, without
+    a global sort of rows."""
     from carelens.operators.ranges import cumulative_counts
-    hist = (df.where(F.col(value).isNotNull()).groupBy(value)
-              .agg(F.sum(weight).cast("bigint").alias("_c")))
-    cum = cumulative_counts(hist, value, ["_c"])
-    return cum.select(value, (F.col("cum__c") - (F.col("_c") - 1) / 2.0).alias(name))
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("column"), F.col(c).cast("double").alias("value"), F.col(weight).alias("_c"))
+                                for i, c in enumerate(columns)]))
+    hist = (df.select(cells.alias("_cell")).select("_cell.*").where(F.col("value").isNotNull())
+              .groupBy(F.struct("column", "value").alias("_key")).agg(F.sum("_c").cast("bigint").alias("_c")))
+    cum = cumulative_counts(hist, "_key", ["_c"])
+    return cum.select("_key.column", "_key.value", (F.col("cum__c") - (F.col("_c") - 1) / 2.0).alias("rank"))
 
 
 def spearman(df: DataFrame, x: str, y: str, weight: str | None = None, scale: int = 4) -> DataFrame:
-    """Spearman rank correlation (Pearson r of average ranks) over complete pairs.
-    One row: n, rho.
+    """Spearman rank correlation (Pearson r of average ranks) over complete pairs
+    of two numeric columns. One row: n, rho.
 
-    The data is reduced to the joint histogram of (x, y) with counts; average
-    ranks come from its marginals, and the rank moments from the histogram joined
-    with the two rank tables (one row per distinct value). The histogram's shuffle
-    is shared by its readers in one plan."""
+    The data is reduced to the joint histogram of (x, y) with counts, once; its
+    readers share that exchange. Average ranks come from its marginals, and the rank
+    moments from the histogram joined with the ranks (one row per distinct value)."""
     w = F.col(weight) if weight else F.lit(1)
     joint = (df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-               .groupBy(x, y).agg(F.sum(w).cast("bigint").alias("_w")))
-    rx, ry = average_ranks(joint, x, "_w", "_rx"), average_ranks(joint, y, "_w", "_ry")
-    ranked = joint.join(rx, x, "inner").join(ry, y, "inner")
+               .groupBy(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+               .agg(F.sum(w).cast("bigint").alias("_w")))
+    ranks = average_ranks(joint, ["_x", "_y"], "_w")
+    rx = ranks.where("column = 0").select(F.col("value").alias("_x"), F.col("rank").alias("_rx"))
+    ry = ranks.where("column = 1").select(F.col("value").alias("_y"), F.col("rank").alias("_ry"))
+    ranked = joint.join(rx, "_x", "inner").join(ry, "_y", "inner")
     cw = F.col("_w").cast("double")
-    sums = ranked.select(cw.alias("n"), (cw * F.col("_rx")).alias("sx"), (cw * F.col("_ry")).alias("sy"),
-                         (cw * F.col("_rx") * F.col("_rx")).alias("sxx"),
-                         (cw * F.col("_ry") * F.col("_ry")).alias("syy"),
-                         (cw * F.col("_rx") * F.col("_ry")).alias("sxy"))
+    # ranks from the middle of all, so that the sums of squares stay small
+    mid = F.col("_n") / 2.0
+    ranked = ranked.withColumn("_n", joint.agg(F.sum("_w")).scalar())
+    a, b = F.col("_rx") - mid, F.col("_ry") - F.col("_n") - mid
+    sums = ranked.select(cw.alias("n"), (cw * a).alias("sx"), (cw * b).alias("sy"), (cw * a * a).alias("sxx"),
+                         (cw * b * b).alias("syy"), (cw * a * b).alias("sxy"))
     return pearson_from_sums(sums, "n", "sx", "sy", "sxx", "syy", "sxy", scale) \
         .select("n", F.col("r").alias("rho"))
 

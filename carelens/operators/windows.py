@@ -68,14 +68,19 @@ def first_of_lowest_ntile(df: DataFrame, k: int, value: str, tiebreak: list[str]
     ranking = [F.col(c).asc_nulls_first() for c in [value, *tiebreak]]
     top = join(low).orderBy(*ranking).limit(limit)
     key = F.struct(*tiebreak)
-    own = top.where("_tie").agg(F.array_sort(F.collect_set(key)))
-    ties = low.where("_tie").withColumn("_own", own.scalar())
+    # at most ``limit`` rows in one array; every use of this subquery is the same one, which runs once
+    packed = top.agg(F.collect_list(F.struct(*[F.col(c) for c in top.columns])).alias("_top"))
+    own = F.array_sort(F.array_distinct(F.transform(F.filter("_top", lambda x: x["_tie"]),
+                                                    lambda x: F.struct(*[x[c].alias(c) for c in tiebreak]))))
+    packed = packed.select(F.struct("_top", own.alias("_own")).alias("_packed"))
+    ties = low.where("_tie").withColumn("_packed", packed.scalar()).withColumn("_own", F.col("_packed._own"))
     before = (ties.groupBy(position(F.col("_own"), key, limit, strict=False).alias("_at"))
               .agg(F.count(F.lit(1)).alias("_c")))
     # at most limit + 1 rows: how many ties stand before the j-th of the top's keys
-    counts = before.agg(F.array_sort(F.collect_list(F.struct("_at", "_c"))))
-    ranked = (top.withColumn("_own", own.scalar()).withColumn("_counts", counts.scalar())
-              .withColumn("_j", position(F.col("_own"), key, limit, strict=False) - 1))
+    counts = before.agg(F.array_sort(F.collect_list(F.struct("_at", "_c"))).alias("_counts"))
+    rows = (counts.withColumn("_packed", packed.scalar())
+            .select("_packed._own", "_counts", F.explode("_packed._top").alias("_row")).select("_own", "_counts", "_row.*"))
+    ranked = rows.withColumn("_j", position(F.col("_own"), key, limit, strict=False) - 1)
     ahead = F.aggregate(F.filter("_counts", lambda x: x["_at"] <= F.col("_j")), F.lit(0).cast("long"),
                         lambda a, x: a + x["_c"])
     copy = F.row_number().over(Window.partitionBy("_tie", *tiebreak).orderBy(*[F.col(c) for c in tiebreak]))
