@@ -14,11 +14,13 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from carelens.functions.tiers import right_closed_bins
+from carelens.operators.scoring import compiled_score
 from carelens.sources.dimensions import AGE_GROUPS
+from carelens.sources.snapshot import export_root
 
 LABEL = "readmission_30d"
 CATEGORICAL = ["department", "insurance_type", "primary_icd10", "discharge_disposition",
@@ -124,7 +126,8 @@ def positive_probability(model: PipelineModel, frame: DataFrame) -> DataFrame:
 
 
 class ReadmissionModels:
-    """Feature table, split and the three fitted models for one data folder."""
+    """Feature table, split and the three fitted models for one data folder. A model scores as a
+    compiled expression (``operators.scoring``); ``release`` gives the cached frame back."""
 
     def __init__(self, encounters: DataFrame, patients: DataFrame):
         feats = stratified_split(assemble(feature_table(encounters, patients)))
@@ -132,6 +135,7 @@ class ReadmissionModels:
         self.train = self.data.where("is_train")
         self.test = self.data.where("NOT is_train")
         self._models: dict[str, PipelineModel] = {}
+        self._scores: dict[str, Column] = {}
 
     def model(self, name: str) -> PipelineModel:
         if name not in self._models:
@@ -139,8 +143,16 @@ class ReadmissionModels:
             self._models[name] = estimators(n_train)[name].fit(self.train)
         return self._models[name]
 
+    def score(self, name: str) -> Column:
+        if name not in self._scores:
+            self._scores[name] = compiled_score(self.model(name), FEATURES, export_root(self.data.sparkSession))
+        return self._scores[name]
+
     def scored_test(self, name: str) -> DataFrame:
-        return positive_probability(self.model(name), self.test)
+        return self.test.withColumn("risk_score", self.score(name))
+
+    def release(self) -> None:
+        self.data.unpersist()
 
 
 _CACHE: dict[tuple, ReadmissionModels] = {}
@@ -149,5 +161,7 @@ _CACHE: dict[tuple, ReadmissionModels] = {}
 def models_for(spark, sf_dir: str, encounters: DataFrame, patients: DataFrame) -> ReadmissionModels:
     key = (id(spark.sparkContext), spark.sparkContext.applicationId, sf_dir)
     if key not in _CACHE:
+        for old in [k for k in _CACHE if k[:2] == key[:2]]:  # one folder's frame at a time
+            _CACHE.pop(old).release()
         _CACHE[key] = ReadmissionModels(encounters, patients)
     return _CACHE[key]

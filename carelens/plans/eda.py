@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from carelens.functions.dates import month_label
 from carelens.functions.numeric import ratio
+from carelens.operators.quantiles import exact_quantiles
 from carelens.operators.stats import describe, histogram
 from carelens.operators.windows import latest_rows
 from carelens.sources.adapters import CareTables
@@ -88,3 +89,22 @@ def eda_lab_rates(t: CareTables) -> DataFrame:
                 .withColumn("abnormal_rate", F.round(ratio("abnormal", "total"), 6))
                 .withColumn("critical_rate", F.round(ratio("critical", "total"), 6))
                 .orderBy(F.col("abnormal_rate").desc(), "test_name"))
+
+
+QUARTILES = [0.25, 0.5, 0.75]
+
+
+def _quartiles(df: DataFrame, group: str, value: str, scale: int) -> DataFrame:
+    q = exact_quantiles(df.where(F.col(group).isNotNull()), [group], value, QUARTILES)
+    return q.select(group, "n", *[F.round(F.get("quantiles", F.lit(i)), scale).alias(name) for i, name in enumerate(("q1", "median", "q3"))],
+                    F.round(F.get("quantiles", F.lit(2)) - F.get("quantiles", F.lit(0)), scale).alias("iqr")).orderBy(group)
+
+
+def charges_quartiles(t: CareTables) -> DataFrame:
+    """Exact quartiles of the charges per department (a domain without bounds)."""
+    return _quartiles(t.encounters.select("department", "total_charges"), "department", "total_charges", 2)
+
+
+def lab_value_quartiles(t: CareTables) -> DataFrame:
+    """Exact quartiles of the result values per lab test."""
+    return _quartiles(t.lab_results.select("test_name", "result_value"), "test_name", "result_value", 4)

@@ -9,6 +9,7 @@ from carelens.functions.numeric import round_clean
 from carelens.operators.alloc import bounded_allocation
 from carelens.operators.windows import lag_trend
 from carelens.sources.adapters import CareTables
+from carelens.sources.snapshot import export_root, export_snapshot
 from carelens.sources.dimensions import (
     ALLOCATION_BUDGET, ALLOCATION_MAX_HOURS, ALLOCATION_MIN_HOURS,
 )
@@ -69,6 +70,22 @@ def export_bi_quality(t: CareTables, path: str, fmt: str = "csv") -> None:
     write_partitioned(bi_quality_export(t).withColumn("period", F.col("quarter")), path, ["period"], fmt=fmt)
 
 
+def _bi_digest_columns() -> list:
+    """Columns of the BI export as whole numbers or text, so that every engine digests the same characters."""
+    rates = [F.round(F.col(c) * 10000).cast("bigint") for c in ("performance_rate", "national_benchmark", "gap_to_benchmark")]
+    return [F.col("department"), F.col("measure"), F.col("quarter"), *rates, F.col("denominator"), F.col("numerator"), F.col("above_benchmark")]
+
+
+def export_bi_snapshot(t: CareTables, root: str, fmt: str = "csv") -> DataFrame:
+    """Publish the BI export as the next snapshot under ``root``; returns its manifest."""
+    return export_snapshot(bi_quality_export(t), root, "quarter", _bi_digest_columns(), fmt)
+
+
+def bi_export_manifest(t: CareTables) -> DataFrame:
+    """Rows and digest per quarter of the BI export as published and read back."""
+    return export_bi_snapshot(t, export_root(t.spark)).select(F.col("period").alias("quarter"), "rows", "digest").orderBy("quarter")
+
+
 def export_cms_submission(t: CareTables, path: str) -> None:
     """Write the 8-row CMS submission summary as a single CSV with a header."""
     from carelens.plans.survey import survey_cms_submission

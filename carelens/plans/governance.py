@@ -12,6 +12,8 @@ from carelens.operators import quality
 from carelens.operators.stats import control_limits
 from carelens.operators.windows import running_share
 from carelens.sources.adapters import CareTables
+from carelens.sources.io import csv_rejects
+from carelens.sources.schemas import TABLE_SCHEMAS
 from carelens.sources.dimensions import (
     PARETO_CUTOFF_PCT, SLA_BREACH_ALERT_PCT, SOURCE_GRADE_ELSE, SOURCE_GRADES, severity_dim,
 )
@@ -173,3 +175,24 @@ def load_report(t: CareTables) -> DataFrame:
     """Row count per care table."""
     from carelens.sources.schemas import TABLE_NAMES
     return quality.row_counts({name: t.table(name) for name in TABLE_NAMES})
+
+
+def encounter_csv_lines(t: CareTables) -> DataFrame:
+    """The encounters as CSV lines with damage by the number of the encounter: a date, a length of stay
+    or a charge that is none, lines that end early and lines with a column too many."""
+    fields = TABLE_SCHEMAS["encounters"].fields
+    k = F.regexp_extract("encounter_id", "([0-9]+)$", 1).cast("bigint")
+    text = {f.name: F.col(f.name).cast("string") for f in fields}
+    for (column, bad), (step, rest) in {("encounter_date", "not-a-date"): (97, 5), ("length_of_stay", "x"): (89, 7),
+                                        ("total_charges", "12,5O"): (71, 2)}.items():
+        text[column] = F.when(k % step == rest, bad).otherwise(text[column])
+    cells = [text[f.name].alias(f.name) for f in fields]
+    whole = F.to_csv(F.struct(*cells))
+    line = (F.when(k % 83 == 11, F.to_csv(F.struct(*cells[:6]))).when(k % 79 == 3, F.concat(whole, F.lit(",surplus")))
+            .otherwise(whole))
+    return t.encounters.select(line.alias("line"))
+
+
+def csv_reject_report(t: CareTables) -> DataFrame:
+    """What the CSV intake of the damaged encounter lines rejects, per column and for whole lines."""
+    return csv_rejects(encounter_csv_lines(t), "line", "encounters").orderBy("column_order")

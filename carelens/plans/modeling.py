@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from carelens.operators import crossval as cv
 from carelens.operators import evaluation as ev
 from carelens.operators import ml
+from carelens.operators.importance import permutation_importance
 from carelens.sources.adapters import CareTables
 from carelens.sources.dimensions import CLASSIFICATION_THRESHOLD, RISK_TIERS
 
@@ -104,6 +106,25 @@ def readmission_risk_tiers(t: CareTables) -> DataFrame:
     return ev.risk_tiers(scored, "risk_score", ml.LABEL, RISK_TIERS)
 
 
+def readmission_cv_folds(t: CareTables) -> DataFrame:
+    """Rows per cross-validation fold and class of the inpatient encounters."""
+    return (t.encounters_of("Inpatient").groupBy(cv.fold_of(F.col("encounter_id")).alias("fold"), ml.LABEL)
+            .agg(F.count(F.lit(1)).alias("n")).orderBy("fold", ml.LABEL))
+
+
+def readmission_cv_auc(t: CareTables, models: tuple = ("logistic_regression",)) -> DataFrame:
+    """AUC per fold of the named models, each fold scored by the fit on the others."""
+    frame = ml.assemble(ml.feature_table(t.encounters_of("Inpatient"), t.patients))
+    return cv.cross_validate(frame, lambda n: {m: e for m, e in ml.estimators(n).items() if m in models},
+                             "encounter_id", ml.LABEL)
+
+
+def readmission_permutation_importance(t: CareTables, model: str = "gradient_boosting") -> DataFrame:
+    """AUC lost on the test set when a feature is permuted, per feature of one model."""
+    m = _models(t)
+    return permutation_importance(m.test, ml.FEATURES, ml.LABEL, m.score(model))
+
+
 def deterministic_scores(t: CareTables) -> DataFrame:
     """Inpatient encounters with a reproducible score in [0, 1]:
     (numeric part of encounter_id * 13 mod 101) / 100."""

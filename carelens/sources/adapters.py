@@ -277,3 +277,10 @@ def care_tables(spark: SparkSession, sf_dir: str, refresh: bool = False, stored:
     if refresh or key not in _REGISTRY:
         _REGISTRY[key] = CareTables(spark, sf_dir, stored=stored, as_of=as_of)
     return _REGISTRY[key]
+
+
+def bucketed_tables(spark: SparkSession, prefix: str, names: list[str], as_of: _dt.date | None = None) -> CareTables:
+    """The care tables that ``ingest_bucketed`` saved under ``prefix``."""
+    tables = CareTables(spark, prefix, stored=True, as_of=as_of)
+    tables.put(**{n: spark.table(f"{prefix}{n}") for n in names})
+    return tables

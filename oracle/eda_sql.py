@@ -126,3 +126,22 @@ SQL["readmission_base_rate"] = with_views("""
 SELECT COUNT(*) AS encounters, CAST(SUM(readmission_30d) AS BIGINT) AS readmissions,
        ROUND(AVG(readmission_30d) * 100, 1) AS base_rate_pct
 FROM encounters WHERE encounter_type = 'Inpatient'""")
+
+
+def _quartiles(table: str, group: str, value: str, scale: int) -> str:
+    return f"""
+SELECT {group}, n, ROUND(q[1], {scale}) AS q1, ROUND(q[2], {scale}) AS median, ROUND(q[3], {scale}) AS q3, ROUND(q[3] - q[1], {scale}) AS iqr
+FROM (SELECT {group}, COUNT({value}) AS n, QUANTILE_CONT(CAST({value} AS DOUBLE), [0.25, 0.5, 0.75]) AS q
+      FROM {table} WHERE {group} IS NOT NULL AND {value} IS NOT NULL GROUP BY {group}) AS groups"""
+
+
+SQL["charges_quartiles"] = with_views(_quartiles("encounters", "department", "total_charges", 2), views=["encounters"])
+SQL["lab_value_quartiles"] = with_views(_quartiles("lab_results", "test_name", "result_value", 4), views=["lab_results"])
+
+_FIELDS = ["department", "measure", "quarter"] + [
+    f"CAST(ROUND({c} * 10000) AS BIGINT)" for c in ("performance_rate", "national_benchmark", "gap_to_benchmark")] + [
+    "denominator", "numerator", "CAST(gap_to_benchmark >= 0 AS INTEGER)"]
+_TEXT = " || '|' || ".join(f"COALESCE('=' || CAST({c} AS VARCHAR), '-')" for c in _FIELDS)
+SQL["bi_export_manifest"] = with_views(f"""
+SELECT quarter, COUNT(*) AS rows, CAST(SUM(CAST('0x' || md5({_TEXT})[:15] AS BIGINT)) AS VARCHAR) AS digest
+FROM quality_measures GROUP BY quarter""", views=["quality_measures"])

