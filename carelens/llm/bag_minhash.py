@@ -9,12 +9,13 @@ increasing order, and a process ends as soon as it passes the largest slot of
 its document, so most shingles of a long text cost one point.
 
 Candidates: exact copies are merged first (128-bit hash of the text). The slots
-are banded; inside a bucket every text is compared with the smallest id, then, as
-long as the others are in several components, some members a round are compared
-with all of other components and leave the bucket. So every two texts of a bucket
-are compared or joined; only texts without a link cost all their pairs. Each
-candidate pair is verified exactly on the multisets. Components of the verified
-links are the classes.
+are banded; inside a bucket every text is compared with the smallest id. Texts of
+buckets that still hold several components (a template, a common passage) are
+placed anew, by their rarest shingles (``components.prefix_groups``): any two of them
+that are similar enough meet there, the others hardly ever. In such a group some
+members a round are compared with all of other components, until all have been
+compared or joined. Each candidate pair is verified exactly on the multisets.
+Components of the verified links are the classes.
 
 Edge cases: texts without a word are never duplicates; texts under five words
 are one shingle; a null doc_id is left out of classes and keeps its own row
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carelens.llm.components import linked
+from carelens.llm.components import components, linked, prefix_groups
 from carelens.llm.store import stored
 from carelens.llm.text import Words, base_columns, mix, rolling, signed, slices
 
@@ -103,6 +104,23 @@ def _signatures(bands, width):
     return run
 
 
+def _tokens(batches):
+    """(node, size, token) of each element of a text's multiset: the copies of a shingle are elements of their own."""
+    for batch in batches:
+        for part in slices(batch):
+            w = Words(part.column("text"), lower=True)
+            row, key, weight = shingles(w)
+            size = np.bincount(row, weight, len(w.n)).astype(np.int64)
+            copy = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+            row, key = np.repeat(row, weight), np.repeat(key, weight)
+            token = signed(mix(key + copy.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+            ids = part.column("doc_id").to_numpy()
+            for lo in range(0, len(row), 100_000):
+                r = row[lo:lo + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(size[r]), pa.array(token[lo:lo + 100_000])],
+                                                 names=["node", "size", "token"])
+
+
 def _similar(threshold):
     """Keep the pairs whose multisets overlap enough."""
     def run(batches):
@@ -149,9 +167,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 16, wi
     pairs = buckets.join(first, "bucket").select(F.col("rep").alias("u"), "v").filter("u <> v").distinct()
     pairs = stored(pairs)
     links = stored(_verified(pairs, texts, threshold))
-    # buckets that still hold several components, without the smallest id, which has met all
-    rest = buckets.join(first, "bucket").filter("rep <> v").select("bucket", F.col("rep").alias("node"))
-    roots = linked(rest, lambda more: _verified(more, texts, threshold), pairs, links)
+    # the texts of buckets that still hold several components meet by their rarest shingles
+    from_links = components(links)
+    placed = buckets.select("bucket", F.col("rep").alias("node")).join(from_links, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
+    crowded = placed.join(split, "bucket", "left_semi").select(F.col("node").alias("doc_id")).distinct()
+    tokens = stored(texts.join(crowded, "doc_id", "left_semi").mapInArrow(_tokens, "node long, size long, token long"))
+    roots = linked(prefix_groups(tokens, threshold), lambda more: _verified(more, texts, threshold), pairs, links)
     reps = copies.select("a", "b", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
         "a", "b", "rep", F.coalesce("root", "rep").alias("root"))
     named = signed_docs.filter("size > 0").join(reps, ["a", "b"]).groupBy("doc_id").agg(

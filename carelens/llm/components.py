@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,7 +44,36 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def linked(members: DataFrame, verify, pairs: DataFrame, links: DataFrame, pivots: int = 4) -> DataFrame:
+def prefix_groups(tokens: DataFrame, threshold: float, ratio: float = 1.1) -> DataFrame:
+    """(bucket, node): groups in which every two sets of a Jaccard similarity of ``threshold``
+    or more meet. ``tokens`` has a row (node, size, token) for each element of each set.
+
+    With the elements of all sets in one order, two such sets share one of their first
+    elements: if x and y overlap in k elements, the first they share stands at place
+    |x| - k of x at the latest. The order is by rarity, so what many sets have in common
+    (a template, a passage, a boilerplate line) stands last and brings nobody together
+    who does not share nearly all. Sizes fall into classes, a class being ``ratio``
+    wide, and a set takes part once per class of possible partners, with as many of its first
+    elements as sets of that class need: the closer the sizes, the fewer. Elements of one
+    set only have no partner and are counted, but not exchanged any further."""
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1")
+    met = tokens.join(shared, "token")
+    own = Window.partitionBy("node")
+    size = F.col("size").cast("double")
+    # elements without a partner stand first
+    place = F.col("size") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("sets", "token")) - 1
+    band = lambda n: F.floor(F.log(n) / math.log(ratio)).cast("int")
+    met = met.withColumn("place", place).filter(F.col("place") <= size - F.ceil(threshold * size - 1e-6))
+    met = met.withColumn("own", band(size)).withColumn("other", F.explode(F.sequence(
+        F.greatest(band(size * threshold) - 1, F.lit(0)), band(size / threshold) + 1)))
+    least = F.greatest(F.floor(F.pow(F.lit(ratio), F.col("other")) - 1e-6), F.ceil(threshold * size - 1e-6))
+    need = F.ceil(threshold / (1 + threshold) * (size + least) - 1e-6)
+    met = met.filter(F.col("place") <= size - need)
+    bucket = F.xxhash64(F.least("own", "other"), F.greatest("own", "other"), "token")
+    return met.select(bucket.alias("bucket"), "node")
+
+
+def linked(members: DataFrame, verify, pairs: DataFrame, links: DataFrame, pivots: int = 1) -> DataFrame:
     """(node, root) of the components when every two nodes that share a bucket of
     ``members`` (bucket, node) are linked if ``verify`` keeps their pair (u, v).
     ``pairs`` were verified before and gave ``links``.
@@ -50,21 +81,24 @@ def linked(members: DataFrame, verify, pairs: DataFrame, links: DataFrame, pivot
     Each round compares some members of a bucket, its pivots, with all members of
     other components; they have then met everybody and leave the bucket. The number
     of pivots grows fourfold a round. A bucket is done when the members left are in
-    one component, so only members that no link joins cost all their pairs."""
+    one component, so only members that no link joins cost all their pairs: the
+    buckets should be narrow ones (``prefix_groups``)."""
     roots = components(links)
+    members = stored(members.distinct())
     order = Window.partitionBy("bucket").orderBy(F.xxhash64("node"), "node")
     while True:
         placed = members.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-        members = stored(placed.join(split, "bucket", "left_semi"))
-        if not members.take(1):
+        members = stored(placed.join(split.select("bucket"), "bucket", "left_semi"))
+        if members.isEmpty():
             return roots
         chosen = stored(members.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= pivots).drop("n"))
+        # of a bucket's members of one component the pivot meets each; equal pairs of many buckets are one
         met = members.join(chosen.select("bucket", F.col("node").alias("pivot"), F.col("root").alias("other")), "bucket")
         more = stored(met.filter("root <> other").select(F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v"))
                       .distinct().join(pairs, ["u", "v"], "left_anti"))
         new = stored(verify(more))
-        if new.take(1):
+        if not new.isEmpty():
             links = links.unionByName(new)
             roots = components(links)
         pairs = pairs.select("u", "v").unionByName(more)
