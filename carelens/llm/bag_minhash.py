@@ -12,10 +12,10 @@ Candidates: exact copies are merged first (128-bit hash of the text). The slots
 are banded; inside a bucket every text is compared with the smallest id. Texts of
 buckets that still hold several components (a template, a common passage) are
 placed anew, by their rarest shingles (``components.prefix_groups``): any two of them
-that are similar enough meet there, the others hardly ever. In such a group some
-members a round are compared with all of other components, until all have been
-compared or joined. Each candidate pair is verified exactly on the multisets.
-Components of the verified links are the classes.
+that are similar enough meet there, the others hardly ever. In such a group a few members
+are compared with all of other components, one a round, then all pairs that are
+left in different components. Each candidate pair is verified exactly on the
+multisets. Components of the verified links are the classes.
 
 Edge cases: texts without a word are never duplicates; texts under five words
 are one shingle; a null doc_id is left out of classes and keeps its own row
@@ -173,7 +173,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 16, wi
     split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
     crowded = placed.join(split, "bucket", "left_semi").select(F.col("node").alias("doc_id")).distinct()
     tokens = stored(texts.join(crowded, "doc_id", "left_semi").mapInArrow(_tokens, "node long, size long, token long"))
-    roots = linked(prefix_groups(tokens, threshold), lambda more: _verified(more, texts, threshold), pairs, links)
+    groups = stored(prefix_groups(tokens, threshold))
+    roots = linked(groups, lambda more: _verified(more, texts, threshold), pairs, links, threshold)
     reps = copies.select("a", "b", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
         "a", "b", "rep", F.coalesce("root", "rep").alias("root"))
     named = signed_docs.filter("size > 0").join(reps, ["a", "b"]).groupBy("doc_id").agg(

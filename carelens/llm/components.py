@@ -44,8 +44,8 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def prefix_groups(tokens: DataFrame, threshold: float, ratio: float = 1.1) -> DataFrame:
-    """(bucket, node): groups in which every two sets of a Jaccard similarity of ``threshold``
+def prefix_groups(tokens: DataFrame, threshold: float, ratio: float = 1.03) -> DataFrame:
+    """(bucket, node, size, place): groups in which every two sets of a Jaccard similarity of ``threshold``
     or more meet. ``tokens`` has a row (node, size, token) for each element of each set.
 
     With the elements of all sets in one order, two such sets share one of their first
@@ -70,37 +70,45 @@ def prefix_groups(tokens: DataFrame, threshold: float, ratio: float = 1.1) -> Da
     need = F.ceil(threshold / (1 + threshold) * (size + least) - 1e-6)
     met = met.filter(F.col("place") <= size - need)
     bucket = F.xxhash64(F.least("own", "other"), F.greatest("own", "other"), "token")
-    return met.select(bucket.alias("bucket"), "node")
+    return met.select(bucket.alias("bucket"), "node", "size", "place")
 
 
-def linked(members: DataFrame, verify, pairs: DataFrame, links: DataFrame, pivots: int = 1) -> DataFrame:
-    """(node, root) of the components when every two nodes that share a bucket of
-    ``members`` (bucket, node) are linked if ``verify`` keeps their pair (u, v).
-    ``pairs`` were verified before and gave ``links``.
+def linked(members: DataFrame, verify, pairs: DataFrame, links: DataFrame, threshold: float, heads: int = 3) -> DataFrame:
+    """(node, root) of the components of ``links`` and of all pairs of a bucket of ``members``
+    (``prefix_groups``) that ``verify`` keeps. ``pairs`` were verified before and gave ``links``.
 
-    Each round compares some members of a bucket, its pivots, with all members of
-    other components; they have then met everybody and leave the bucket. The number
-    of pivots grows fourfold a round. A bucket is done when the members left are in
-    one component, so only members that no link joins cost all their pairs: the
-    buckets should be narrow ones (``prefix_groups``)."""
+    In the first rounds one member of a bucket, another one each time, is compared
+    with all the others of other components and leaves the bucket; so a large group of near
+    copies becomes one component by a link per member. In the last round all pairs
+    that still lie in different components are compared. Of every pair only that
+    token counts which leaves room for enough overlap in both sets: the first token
+    that two similar sets share does, so no pair is lost; sets that share a
+    template drop out here, before any text is read."""
     roots = components(links)
-    members = stored(members.distinct())
     order = Window.partitionBy("bucket").orderBy(F.xxhash64("node"), "node")
-    while True:
-        placed = members.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = members.filter("size > 0")
+    for step in range(heads + 1):
+        placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-        members = stored(placed.join(split.select("bucket"), "bucket", "left_semi"))
-        if members.isEmpty():
+        placed = stored(placed.join(split.select("bucket"), "bucket", "left_semi"))
+        if placed.isEmpty():
             return roots
-        chosen = stored(members.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= pivots).drop("n"))
-        # of a bucket's members of one component the pivot meets each; equal pairs of many buckets are one
-        met = members.join(chosen.select("bucket", F.col("node").alias("pivot"), F.col("root").alias("other")), "bucket")
-        more = stored(met.filter("root <> other").select(F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v"))
-                      .distinct().join(pairs, ["u", "v"], "left_anti"))
+        other = placed
+        if step < heads:
+            other = stored(placed.withColumn("n", F.row_number().over(order)).filter("n = 1").drop("n"))
+        other = other.select("bucket", F.col("node").alias("node2"), F.col("root").alias("root2"),
+                             F.col("size").alias("size2"), F.col("place").alias("place2"))
+        room = F.least(F.col("size") - F.col("place"), F.col("size2") - F.col("place2"))
+        fits = room >= F.ceil(threshold / (1 + threshold) * (F.col("size") + F.col("size2")) - 1e-6)
+        met = placed.join(other, (placed["bucket"] == other["bucket"]) & (F.col("root") != F.col("root2")) & fits
+                          & ((F.col("node") > F.col("node2")) if step == heads else F.lit(True)))
+        more = stored(met.select(F.greatest("node", "node2").alias("u"), F.least("node", "node2").alias("v")).distinct()
+                      .join(pairs, ["u", "v"], "left_anti"))
         new = stored(verify(more))
         if not new.isEmpty():
             links = links.unionByName(new)
             roots = components(links)
-        pairs = pairs.select("u", "v").unionByName(more)
-        members = members.join(chosen, ["bucket", "node"], "left_anti")
-        pivots *= 4
+        if step < heads:
+            pairs = pairs.select("u", "v").unionByName(more)
+            members = placed.drop("root").join(other.select("bucket", F.col("node2").alias("node")), ["bucket", "node"], "left_anti")
+    return roots

@@ -7,10 +7,10 @@ are the eight pairs of neighbours in that order: two lines of Jaccard 0.8 keep
 some pair of neighbours in common with probability over 0.998, while lines that
 only share a frequent shingle do not meet. Equal lines are merged first; in a
 bucket every line is compared with the bucket's first line and with its
-predecessor by length. A bucket that still holds several components is split by
-each further hash (candidates share three of nine), and in the parts some lines
-a round are compared with all of other components, until every line has been
-compared or joined. Candidates are verified by exact Jaccard
+predecessor by length. Lines of buckets that still hold several components are
+placed anew by their rarest shingles (``components.prefix_groups``), where any two
+similar ones meet, and compared until every one has been compared or joined
+(candidates of this kind need no shared hashes). Candidates are verified by exact Jaccard
 similarity, and the links are joined up by distributed union-find (star
 contraction). The first occurrence (smallest doc_id, then line number) of each
 component stays, every other occurrence goes.
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from carelens.llm.components import components, linked
+from carelens.llm.components import components, linked, prefix_groups
 from carelens.llm.store import stored
 
 SHINGLE = 8
@@ -78,6 +78,15 @@ def _similar(pairs: DataFrame, threshold: float) -> DataFrame:
     return p.filter(F.col("both") >= threshold * (F.col("nx") + F.col("ny") - F.col("both")) - 1e-9).select("u", "v")
 
 
+def _found(docs: DataFrame, want: DataFrame) -> DataFrame:
+    """(a, form) of the lines in ``want`` (doc_id, [(n, a)]), read from the texts once more."""
+    texts = docs.select("doc_id", "text").join(want, "doc_id").select(F.split("text", "\n", -1).alias("all"), "want")
+    found = texts.select(F.explode(F.transform("want", lambda x: F.struct(
+        x["a"].alias("a"), F.get(F.col("all"), x["n"]).alias("line")))).alias("x"))
+    return (found.select(F.col("x.a").alias("a"), _form(F.col("x.line")).alias("form"))
+            .filter(F.xxhash64("form") == F.col("a")).dropDuplicates(["a"]))
+
+
 def line_groups(docs: DataFrame, lines: DataFrame, threshold: float = 0.8, overlap: int = 3) -> DataFrame:
     """(a, root): the group of each line form that is near another one. Candidates
     must share ``overlap`` of their nine smallest hashes."""
@@ -106,30 +115,23 @@ def line_groups(docs: DataFrame, lines: DataFrame, threshold: float = 0.8, overl
                                                F.struct(F.col("v").alias("a"), F.col("pv").alias("at")))).alias("x"))
                 .select(F.col("x.at.doc_id").alias("doc_id"), F.col("x.at.n").alias("n"), F.col("x.a").alias("a")).distinct()
                 .groupBy("doc_id").agg(F.collect_list(F.struct("n", "a")).alias("want")))
-        texts = docs.select("doc_id", "text").join(want, "doc_id").select(
-            F.split("text", "\n", -1).alias("all"), "want")
-        found = texts.select(F.explode(F.transform("want", lambda x: F.struct(
-            x["a"].alias("a"), F.get(F.col("all"), x["n"]).alias("line")))).alias("x"))
-        known = stored(found.select(F.col("x.a").alias("a"), _form(F.col("x.line")).alias("form"))
-                       .filter(F.xxhash64("form") == F.col("a")).dropDuplicates(["a"]))
+        known = stored(_found(docs, want))
         both = pairs.join(known.select(F.col("a").alias("u"), F.col("form").alias("x")), "u").join(
             known.select(F.col("a").alias("v"), F.col("form").alias("y")), "v")
         return _similar(both, threshold)
 
     links = stored(verify(pairs))
-    # buckets that still hold several components, by a third hash: candidates share three (a set of two only equals another of two)
+    # lines of buckets that still hold several components meet anew by their rarest shingles
     roots = components(links)
     placed = met.select("key", "a").join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
     split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    i = (F.array_position(keys, F.col("key")) - 1).cast("int")
-    third = F.when(F.size("low") < 3, F.array(F.lit(0).cast("long"))).otherwise(
-        F.filter("low", lambda x, j: (j < i) | (j > i + 1)))
-    parts = (met.select("key", "a").join(split, "key").join(forms.select("a", "low"), "a")
-             .select(F.col("a").alias("node"), "key", F.explode(third).alias("third"))
-             .select("node", F.xxhash64("key", "third").alias("bucket")))
-    parts = stored(parts)
-    parts = parts.join(parts.groupBy("bucket").count().filter("count > 1").select("bucket"), "bucket")
-    return linked(parts, verify, pairs, links).select(F.col("node").alias("a"), "root")
+    crowded = met.join(split, "key", "left_semi").select("a").distinct()
+    crowded = sketch.join(crowded, "a", "left_semi").select("a", F.col("at.doc_id").alias("doc_id"), F.col("at.n").alias("n"))
+    want = crowded.groupBy("doc_id").agg(F.collect_list(F.struct("n", "a")).alias("want"))
+    found = _found(docs, want).select("a", F.array_distinct(_shingles(F.col("form"))).alias("h"))
+    tokens = stored(found.select(F.col("a").alias("node"), F.size("h").cast("long").alias("size"), F.explode("h").alias("token")))
+    groups = stored(prefix_groups(tokens, threshold))
+    return linked(groups, verify, pairs, links, threshold).select(F.col("node").alias("a"), "root")
 
 
 def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
