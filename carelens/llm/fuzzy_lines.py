@@ -1,16 +1,15 @@
 """Fuzzy line dedup: near-equal lines of a corpus, one line kept per group.
 
-Lines are compared in lower case without outer blanks, as sets of character
-shingles, each 8 bytes of UTF-8 (8 characters of ASCII text); a shorter line is
-its own only shingle. Signature: the nine smallest shingle hashes (bottom-k MinHash). Bands
+Lines are compared in lower case without outer blanks, as sets of shingles of 8
+characters (code points); a shorter line is its own only shingle. Signature: the nine smallest shingle hashes (bottom-k MinHash). Bands
 are the eight pairs of neighbours in that order: two lines of Jaccard 0.8 keep
 some pair of neighbours in common with probability over 0.998, while lines that
 only share a frequent shingle do not meet. Equal lines are merged first; in a
 bucket every line is compared with the bucket's first line and with its
-predecessor by length. Lines of buckets that still hold several components are
-placed anew by their rarest shingles (``components.prefix_groups``), where any two
-similar ones meet, and compared until every one has been compared or joined
-(candidates of this kind need no shared hashes). Candidates are verified by exact Jaccard
+predecessor by length. Lines of a bucket that share a third hash but no component
+are placed anew by their rarest shingles (``components.prefix_groups``), where any
+two similar ones meet, and compared until every one has been compared or
+joined. Candidates are verified by exact Jaccard
 similarity, and the links are joined up by distributed union-find (star
 contraction). The first occurrence (smallest doc_id, then line number) of each
 component stays, every other occurrence goes.
@@ -40,11 +39,16 @@ def _form(line: Column) -> Column:
 
 
 def _shingles(form: Column) -> Column:
-    """Shingle hashes of a line. The line is bound to a lambda variable as bytes, so
-    that a shingle is a byte slice and not a search for its characters."""
-    return F.get(F.transform(F.array(form.cast("binary")), lambda w: F.transform(
+    """Hashes of a line's shingles, each of ``SHINGLE`` characters in UTF-8. The line is bound to a
+    lambda variable in a form of fixed width, so that a shingle is a slice and not a
+    search for its characters: its bytes where all are ASCII, else UTF-32."""
+    plain = F.transform(F.array(form.cast("binary")), lambda w: F.transform(
         F.sequence(F.lit(1), F.greatest(F.octet_length(w) - SHINGLE + 1, F.lit(1))),
-        lambda i: F.xxhash64(F.substring(w, i, F.lit(SHINGLE))))), 0)
+        lambda i: F.xxhash64(F.substring(w, i, F.lit(SHINGLE)))))
+    wide = F.transform(F.array(F.encode(form, "UTF-32")), lambda w: F.transform(
+        F.sequence(F.lit(0), F.greatest(F.shiftright(F.octet_length(w), 2) - SHINGLE, F.lit(0))),
+        lambda i: F.xxhash64(F.decode(F.substring(w, i * 4 + 1, F.lit(4 * SHINGLE)), "UTF-32"))))
+    return F.get(F.when(F.octet_length(form) == F.char_length(form), plain).otherwise(wide), 0)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -121,17 +125,30 @@ def line_groups(docs: DataFrame, lines: DataFrame, threshold: float = 0.8, overl
         return _similar(both, threshold)
 
     links = stored(verify(pairs))
-    # lines of buckets that still hold several components meet anew by their rarest shingles
+    # lines that share a bucket and a third hash with one of another component meet anew by their rarest shingles
     roots = components(links)
     placed = met.select("key", "a").join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
     split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    crowded = met.join(split, "key", "left_semi").select("a").distinct()
+    i = (F.array_position(keys, F.col("key")) - 1).cast("int")
+    third = F.when(F.size("low") < 3, F.array(F.lit(0).cast("long"))).otherwise(
+        F.filter("low", lambda x, j: (j < i) | (j > i + 1)))
+    parts = (met.select("key", "a").join(split, "key").join(forms.select("a", "low"), "a")
+             .select("a", "key", F.explode(third).alias("third")).select("a", F.xxhash64("key", "third").alias("part")))
+    parts = stored(parts.join(roots.withColumnRenamed("node", "a"), "a", "left").select("part", "a", F.coalesce("root", "a").alias("root")))
+    split = parts.groupBy("part").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("part")
+    crowded = parts.join(split, "part", "left_semi").select("a").distinct()
     crowded = sketch.join(crowded, "a", "left_semi").select("a", F.col("at.doc_id").alias("doc_id"), F.col("at.n").alias("n"))
-    want = crowded.groupBy("doc_id").agg(F.collect_list(F.struct("n", "a")).alias("want"))
-    found = _found(docs, want).select("a", F.array_distinct(_shingles(F.col("form"))).alias("h"))
+    known = stored(_found(docs, crowded.groupBy("doc_id").agg(F.collect_list(F.struct("n", "a")).alias("want"))))
+
+    def verify_known(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(known.select(F.col("a").alias("u"), F.col("form").alias("x")), "u").join(
+            known.select(F.col("a").alias("v"), F.col("form").alias("y")), "v")
+        return _similar(both, threshold)
+
+    found = known.select("a", F.array_distinct(_shingles(F.col("form"))).alias("h"))
     tokens = stored(found.select(F.col("a").alias("node"), F.size("h").cast("long").alias("size"), F.explode("h").alias("token")))
-    groups = stored(prefix_groups(tokens, threshold))
-    return linked(groups, verify, pairs, links, threshold).select(F.col("node").alias("a"), "root")
+    groups = stored(prefix_groups(tokens, threshold, 1.1))
+    return linked(groups, verify_known, pairs, links, threshold, 1).select(F.col("node").alias("a"), "root")
 
 
 def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -154,12 +171,22 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """All columns of ``docs`` with ``text`` cut to the kept lines, and n_lines
-    (lines with a word), n_removed."""
-    names = docs.columns
+    (lines with a word), n_removed, which take the place of columns of these names."""
     gone = removed_lines(docs, threshold).withColumnRenamed("doc_id", "__id")
-    cut = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("removed", i)), "\n")
-    out = docs.join(gone, F.col("doc_id") == F.col("__id"), "left")
-    some = F.coalesce(F.size("removed"), F.lit(0)) > 0
-    return out.select(*[F.when(some, cut).otherwise(F.col("text")).alias(c) if c == "text" else F.col(c) for c in names],
-                      F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"),
-                      F.when(some, F.size("removed")).otherwise(0).cast("long").alias("n_removed"))
+    row = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").alias("__doc"))
+    out = row.join(gone.select("__id", F.col("n_lines").alias("__lines"), F.col("removed").alias("__gone")),
+                   F.col("__doc") == F.col("__id"), "left")
+    some = F.coalesce(F.size("__gone"), F.lit(0)) > 0
+    # the kept runs between removed lines: one slice each, so a text costs its length
+    lines, edges = F.split(F.col("__row.text"), "\n", -1), F.array_union(F.array(F.lit(-1)), F.col("__gone"))
+    cut = F.get(F.transform(F.array(F.struct(lines.alias("all"), F.concat(edges, F.array(F.size(lines))).alias("at"))), lambda x: F.array_join(
+        F.flatten(F.transform(F.sequence(F.lit(0), F.size(x["at"]) - 2), lambda i: F.slice(
+            x["all"], F.get(x["at"], i) + 2, F.get(x["at"], i + 1) - F.get(x["at"], i) - 1))), "\n")), 0)
+    return out.select(*[F.when(some, cut).otherwise(F.col("__row.text")).alias(c) if c == "text" else F.col(f"__row.{_quoted(c)}").alias(c)
+                        for c in docs.columns if c not in ("n_lines", "n_removed")],
+                      F.coalesce("__lines", F.lit(0)).cast("long").alias("n_lines"),
+                      F.when(some, F.size("__gone")).otherwise(0).cast("long").alias("n_removed"))
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
