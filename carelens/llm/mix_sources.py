@@ -80,11 +80,13 @@ def leaf_budgets(leaves: DataFrame, weights: dict, budget: int, max_epochs: int,
 
 
 def mix_sources(docs: DataFrame, domain: Column, weights: dict, budget_share: float = 0.5, max_epochs: int = 2,
-                seed: int = 20, default_weight: int = 100, per_bucket: int = 2000) -> DataFrame:
+                seed: int = 20, default_weight: int = 100, per_bucket: int = 2000, tag: str | None = None) -> DataFrame:
     """(doc_id, epoch, domain, lang, source, n_tokens, taken, th): the documents
     of the mix with the tokens taken of each; the budget is a share of all
-    tokens. ``weights`` maps a level's name to whole weights by node name."""
-    meta = docs.select("doc_id", F.xxhash64("text").alias("th"),
+    tokens. ``weights`` maps a level's name to whole weights by node name. With
+    ``tag``, a column of ``docs`` that differs in every row, it is returned too."""
+    tags = [tag] if tag else []
+    meta = docs.select("doc_id", *tags, F.xxhash64("text").alias("th"),
                        *[F.coalesce(c, F.lit("none")).alias(n) for c, n in
                          ((domain, "domain"), (F.col("lang").cast("string"), "lang"),
                           (F.col("source").cast("string"), "source"))],
@@ -93,7 +95,8 @@ def mix_sources(docs: DataFrame, domain: Column, weights: dict, budget_share: fl
     total = meta.agg(F.sum("n_tokens")).first()[0] or 0
     leaves = meta.groupBy(*TREE).agg(F.sum("n_tokens").cast("long").alias("tokens"),
                                      F.count(F.lit(1)).alias("n_docs"))
-    plan = leaf_budgets(leaves, weights, int(total * budget_share), max_epochs, default_weight)
+    # one row per leaf; stored, as every reader would run the windows of all levels again
+    plan = stored(leaf_budgets(leaves, weights, int(total * budget_share), max_epochs, default_weight))
     epochs = (plan.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))))
               .withColumn("quota", F.least(F.col("tokens"), F.col("got") - F.col("epoch") * F.col("tokens")))
               .filter("quota > 0")
@@ -111,9 +114,9 @@ def mix_sources(docs: DataFrame, domain: Column, weights: dict, budget_share: fl
     sums = (sums.withColumn("start", F.sum("sum").over(w) - F.col("sum")).filter("start < quota")
             .withColumn("room", F.col("quota") - F.col("start")).select(*cell, "sum", "room"))
     hit = rows.drop("quota").join(sums, cell)
-    out = ["doc_id", "epoch", *TREE, "n_tokens", "taken", "th"]
+    out = ["doc_id", "epoch", *TREE, "n_tokens", "taken", "th", *tags]
     whole = hit.filter("sum <= room").withColumn("taken", F.col("n_tokens")).select(*out)
-    inside = Window.partitionBy(*cell).orderBy("place", "th").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*cell).orderBy("place", "th", *tags).rowsBetween(Window.unboundedPreceding, 0)
     edge = (hit.filter("sum > room").withColumn("start", F.sum("n_tokens").over(inside) - F.col("n_tokens"))
             .filter("start < room").withColumn("taken", F.least(F.col("n_tokens"), F.col("room") - F.col("start")))
             .select(*out))
@@ -122,15 +125,17 @@ def mix_sources(docs: DataFrame, domain: Column, weights: dict, budget_share: fl
 
 def mixed_documents(docs: DataFrame, domain: Column, weights: dict, **options) -> DataFrame:
     """The mix with its texts: all columns of ``docs`` and domain, epoch, n_tokens,
-    taken; a document that is taken in part keeps its first ``taken`` words."""
-    mix = mix_sources(docs, domain, weights, **options).select(
-        F.col("doc_id").alias("__id"), F.col("th").alias("__th"), *[
-            F.col(c).alias(f"mix_{c}") for c in ("domain", "epoch", "n_tokens", "taken")])
-    mix = mix.dropDuplicates()
-    keyed = docs.withColumn("__key", F.xxhash64("text"))
+    taken (which take the place of columns of these names); a document that is taken
+    in part keeps its first ``taken`` words. Rows are numbered in a stored copy first, so that
+    equal rows are taken as often as the mix takes them."""
+    own = ("domain", "epoch", "n_tokens", "taken")
+    names = [c for c in docs.columns if c not in own]
+    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()))
+    mix = mix_sources(numbered, domain, weights, tag="__row", **options).select(
+        F.col("__row").alias("__taken_row"), *[F.col(c).alias(f"__mix_{c}") for c in own])
     words = F.split(F.btrim("text", F.lit(BLANKS)), "[ \\t-\\r]+")
-    cut = F.when(F.col("mix_taken") < F.col("mix_n_tokens"),
-                 F.array_join(F.slice(words, F.lit(1), F.col("mix_taken").cast("int")), " ")).otherwise(F.col("text"))
-    return (keyed.join(mix, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__th")))
-            .select(*[cut.alias(c) if c == "text" else F.col(c) for c in docs.columns],
-                    *[F.col(f"mix_{c}").alias(c) for c in ("domain", "epoch", "n_tokens", "taken")]))
+    cut = F.when(F.col("__mix_taken") < F.col("__mix_n_tokens"),
+                 F.array_join(F.slice(words, F.lit(1), F.col("__mix_taken").cast("int")), " ")).otherwise(F.col("text"))
+    return (numbered.join(mix, F.col("__row") == F.col("__taken_row"))
+            .select(*[cut.alias(c) if c == "text" else F.col(c) for c in names],
+                    *[F.col(f"__mix_{c}").alias(c) for c in own]))

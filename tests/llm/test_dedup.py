@@ -1,5 +1,7 @@
 """Duplicate operators against plain versions, and their odd inputs."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +134,34 @@ def test_contained_items(spark, make, corpus, items):
     assert left - {None} == {d for d, _ in corpus} - {d for _, d in want}
     assert contained_items(make([]), bench).count() == 0
     assert contained_items(docs, bench.filter(F.lit(False))).count() == 0
+
+
+def test_lines_beyond_ascii_with_clashing_names(spark):
+    rng = random.Random(1)
+    letters = "abcdefghij äöüéß日本語テスト𝒳"
+    base = ["".join(rng.choice(letters) for _ in range(60)) for _ in range(30)]
+    rows = []
+    for i in range(60):
+        lines = []
+        for _ in range(6):
+            x = list(rng.choice(base))
+            for _ in range(rng.randrange(3)):
+                x[rng.randrange(60)] = rng.choice(letters)
+            lines.append("".join(x))
+        rows.append((i + 1, "\n".join(lines)))
+    want = brute.lines_removed(rows)
+    assert sum(map(len, want.values())) > 50
+    docs = spark.createDataFrame([(d, t, 5, "x", 7) for d, t in rows], "doc_id long, text string, n_lines int, removed string, __id long")
+    got = dedup_lines(docs)
+    assert got.columns == ["doc_id", "text", "removed", "__id", "n_lines", "n_removed"]
+    texts = dict(rows)
+    for r in got.collect():
+        gone = want.get(r.doc_id, [])
+        assert r.text == "\n".join(x for i, x in enumerate(texts[r.doc_id].split("\n")) if i not in gone)
+        assert (r.n_lines, r.n_removed, r.removed) == (6, len(gone), "x")
+
+
+def test_very_long_text_of_repeated_lines(spark):
+    text = "\n".join(f"line {i % 977} of a text" for i in range(80_000))
+    (r,) = dedup_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert (r.n_lines, r.n_lines - r.n_removed) == (80_000, len(r.text.split("\n"))) and r.n_removed >= 79_023

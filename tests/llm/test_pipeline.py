@@ -85,3 +85,14 @@ def test_pipeline_stages(spark, sf):
     final = corpus_pipeline.run(spark, sf)
     assert 0 < final.count() and final.agg(F.sum("taken")).first()[0] > 0
     assert domain() is not None and MIX_WEIGHTS
+
+
+def test_mixed_documents_of_equal_rows_and_clashing_names(spark):
+    rows = [(1, "a b c d", "en", "s1", 9, 9, 9, 9), (1, "a b c d", "en", "s1", 9, 9, 9, 9)]
+    schema = "doc_id long, text string, lang string, source string, domain int, epoch int, taken int, mix_taken int"
+    got = mixed_documents(spark.createDataFrame(rows, schema), F.lit("d"), {}).collect()
+    assert [(r.text, r.epoch, r.n_tokens, r.taken, r.domain, r.mix_taken) for r in got] == [("a b c d", 0, 4, 4, "d", 9)]
+    rows = [(i % 3, f"w{i % 3} x y z", "en", "s1", 9, 9, 9, 9) for i in range(60)]
+    for share in (0.3, 0.77, 1.4):
+        got = mixed_documents(spark.createDataFrame(rows, schema), F.lit("d"), {}, budget_share=share).collect()
+        assert sum(r.taken for r in got) == int(240 * share) == sum(len(brute.words(r.text)) for r in got)
