@@ -1,27 +1,41 @@
-"""Toxicity by compression distance under two zstandard dictionaries.
-
-A window of words that is toxic compresses shorter with a dictionary of toxic
-text than with one of ordinary text. Both dictionaries share the same common
-text (so ordinary content costs the same under either); on top of it each holds
-the word stems that its class uses significantly more often than the other
-(likelihood-ratio test over training documents). The saving in bytes per window
-is summed up per document (largest, mean, share of windows with a saving) and
-calibrated to a probability by logistic regression on training documents that
-did not go into the dictionaries; ``threshold`` turns it into a decision.
-
-Fitting uses a bounded, hash-chosen sample: ``train_docs`` documents per class,
-``train_chars`` characters of each. Scoring covers every window of every text.
-
-Edge cases: a null or empty text scores like a text without any saving; with no
-labels of both classes every score is 0; labels that are null or not 0/1 are
-ignored, of several labels of one document the largest counts; rows that repeat
-a doc_id are scored each for itself; extra columns are ignored.
+"""Toxicity by compression distance under two trained zstandard dictionaries.
+
+A window of words that is toxic compresses shorter with a dictionary trained on
+toxic text than with one trained on ordinary text. The ordinary dictionary is
+trained on windows of ordinary documents. The toxic one is trained on windows of
+toxic documents and stands before the ordinary one, so that ordinary content
+costs the same under either and only what is typical of toxic text saves bytes.
+
+A toxic document is ordinary in most of its windows, so the windows to train on
+are chosen in rounds, starting from those that the ordinary dictionary compresses
+worst. In each round the toxic documents are cut in two parts; the dictionary of
+one part measures the windows of the other, and a window stays if its saving is
+``contrast`` times as common there as in ordinary documents that took no part in
+training (a window never judges itself). Ordinary windows with a saving become
+training text of the ordinary dictionary. zstandard puts the most valuable
+segments last, so a shorter tail of a trained dictionary is a stricter one.
+
+The savings of a document's windows are summed up (largest, mean, shares of
+windows from 2 to 6 bytes on) and calibrated to a probability by logistic
+regression on training documents that did not go into the dictionaries; of all
+rounds and tails the pair with the smallest loss there is taken. ``threshold``
+turns the probability into a decision.
+
+Fitting uses a bounded sample: the first ``train_docs`` labelled documents per
+class in the order of a 64-bit hash of the id, ``train_chars`` characters of
+each, at every size of the input. Scoring covers every window of every text.
+
+Edge cases: a null or empty text scores like a text without any saving; where
+either class has fewer than two documents to learn from every score is 0; too few
+windows for zstandard's training are taken as a dictionary as they are; labels
+that are null or not 0/1 are ignored, of several labels of one document the
+largest counts; rows that repeat a doc_id are scored each for itself, the
+smallest of their texts is learned from; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -29,62 +43,24 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from carelens.llm.text import slices
+
 WINDOW = 24
-MIN_STEM, MAX_STEM = 5, 12
-COMMON_BYTES = 60_000
 _SPLIT = re.compile(rb"[^a-z0-9\x80-\xff]+")
 
 
-def _words(text: str | None) -> list[bytes]:
-    return [w for w in _SPLIT.split((text or "").lower().encode()) if w]
-
-
 def windows(text: str | None) -> list[bytes]:
-    w = _words(text)
+    w = [x for x in _SPLIT.split((text or "").lower().encode()) if x]
     return [b" " + b" ".join(w[i:i + WINDOW]) + b" " for i in range(0, max(1, len(w)), WINDOW)]
 
 
-def _stems(text: str) -> set[bytes]:
-    """Whole words and their beginnings, with the blank in front."""
-    out = set()
-    for w in set(_words(text)):
-        w = b" " + w + b" "
-        out.update(w[:n] for n in range(MIN_STEM, min(MAX_STEM, len(w)) + 1))
-        out.add(w)
-    return out
-
-
-def _llr(a, b, n1, n2):
-    """Likelihood ratio of two binomial shares."""
-    p = (a + b) / (n1 + n2)
-
-    def part(k, n):
-        x = k * np.log(k / n / p) if k else 0.0
-        return x + ((n - k) * np.log((1 - k / n) / (1 - p)) if k < n else 0.0)
-    return 2 * (part(a, n1) + part(b, n2))
-
-
-def _contrast(own: Counter, n1: int, other: Counter, n2: int, least: float, ratio: float) -> list[bytes]:
-    """Stems that one class uses more, strongest first; of a stem and its
-    extensions only the one with the clearest difference stays."""
-    g = {}
-    for s, k in own.items():
-        if k >= 3 and k / n1 > ratio * (other[s] + 0.5) / n2:
-            v = _llr(k, other[s], n1, n2)
-            if v > least:
-                g[s] = v
-    best: dict[bytes, bytes] = {}
-    for t in sorted(g, key=len):  # a longer stem stands for a shorter one that says no more
-        for n in range(MIN_STEM, len(t)):
-            if t[:n] in g and g[t] >= 0.9 * g[t[:n]]:
-                best[t[:n]] = t
-    out: list[bytes] = []
-    for s in sorted(g, key=lambda x: (-g[x], x)):
-        while s in best:
-            s = best[s]
-        if not any(s.startswith(t) or t.startswith(s) for t in out):
-            out.append(s)
-    return out
+def train(parts: list[bytes], size: int, segment: int) -> bytes:
+    """zstandard's dictionary of these windows; of too few for training, their text."""
+    try:
+        size = max(1024, min(size, sum(map(len, parts)) // 3))
+        return zstandard.train_dictionary(size, parts, k=segment, d=6).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(parts)[-size:]
 
 
 def _codec(d: bytes):
@@ -96,16 +72,27 @@ def _codec(d: bytes):
         compression_params=p)
 
 
-def _distance(texts, toxic, ordinary) -> np.ndarray:
-    """Features of each text from its windows' compressed lengths."""
-    out = np.zeros((len(texts), 4))
-    for r, t in enumerate(texts):
-        d = np.array([len(ordinary.compress(w)) - len(toxic.compress(w)) for w in windows(t)], float)
-        out[r] = (min(d.max(), 12.0), np.clip(d, -4, 12).mean(), (d >= 2).mean(), np.log1p(len(d)))
+def _lengths(codec, parts: list[bytes]) -> np.ndarray:
+    return np.array([len(codec.compress(w)) for w in parts], float)
+
+
+def _saved(codecs, parts: list[bytes]) -> np.ndarray:
+    """Bytes that each window is shorter with the toxic dictionary."""
+    toxic, ordinary = codecs
+    return _lengths(ordinary, parts) - _lengths(toxic, parts)
+
+
+def _distance(texts: list[list[bytes]], codecs) -> np.ndarray:
+    """Features of each text, given as its windows."""
+    out = np.zeros((len(texts), 8))
+    for r, parts in enumerate(texts):
+        d = _saved(codecs, parts)
+        out[r] = (min(d.max(), 12.0), np.clip(d, -4, 12).mean(), *((d >= n).mean() for n in range(2, 7)),
+                  np.log1p(len(d)))
     return out
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-1) -> np.ndarray:
     x = np.column_stack([np.ones(len(x)), x])
     b = np.zeros(x.shape[1])
     for _ in range(30):
@@ -116,50 +103,80 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return b
 
 
-def _dictionaries(counts, n, common: bytes, least: float, ratio: float) -> dict:
-    toxic = b"".join(reversed(_contrast(counts[1], n[1], counts[0], n[0], least, ratio)))
-    ordinary = b"".join(reversed(_contrast(counts[0], n[0], counts[1], n[1], least, ratio)))
-    # the stems stand before the common text, which so has the same distance in both
-    return {"toxic": toxic[-COMMON_BYTES:] + b" " + common, "ordinary": ordinary[-COMMON_BYTES:] + b" " + common}
+def _pair(toxic: list[bytes], hard: list[bytes], base: bytes, size: int, tail: int, segment: int) -> dict:
+    """Both dictionaries: the ordinary one again holds the ordinary windows that looked toxic."""
+    ordinary = (train(hard, 4 * size, segment) if len(hard) > 50 else b"") + base
+    return {"toxic": train(toxic, size, segment)[-tail:] + ordinary, "ordinary": ordinary}
+
+
+def _calibrated(m: dict, texts, z: np.ndarray) -> tuple[float, dict]:
+    """Logistic regression on the distances, classes weighing the same, and its loss."""
+    share = z.mean()
+    weight = np.where(z == 1, 0.5 / share, 0.5 / (1 - share))
+    x = _distance(texts, _codecs(m))
+    m = m | {"mean": x.mean(0), "sd": x.std(0) + 1e-9}
+    x = (x - m["mean"]) / m["sd"]
+    m["beta"] = _logistic(x, z, weight)
+    p = 1 / (1 + np.exp(-np.clip(np.column_stack([np.ones(len(x)), x]) @ m["beta"], -30, 30)))
+    return -(weight * np.log(np.where(z == 1, p, 1 - p) + 1e-12)).sum(), m
 
 
-def fit_zstd(rows: list[tuple[int, str]], least: tuple = (10.0, 15.0, 20.0, 30.0, 45.0), ratio: float = 3.0) -> dict | None:
+def _chosen(saved: np.ndarray, usual: np.ndarray, contrast: float) -> np.ndarray:
+    """Windows from the least saving on that is ``contrast`` times as common as in ordinary text."""
+    for least in range(1, 12):
+        if (saved >= least).mean() > contrast * ((usual >= least).mean() + 0.5 / max(len(usual), 1)):
+            return saved >= least
+    return saved >= 4
+
+
+def fit_zstd(rows: list[tuple[int, str]], rounds: int = 3, size: int = 4_000, tails: tuple = (800, 1200, 2000),
+             base_size: int = 60_000, segment: int = 12, contrast: float = 12.0) -> dict | None:
     """Dictionaries and calibration from (label, text) rows. One half of the rows
-    makes the dictionaries, the other the calibration; of the significance levels
-    ``least`` the one with the smallest loss on the second half is taken."""
+    makes the dictionaries, the other the calibration."""
     y = np.array([a for a, _ in rows], int)
     half = np.zeros(len(rows), bool)
     for label in (0, 1):
         half[np.flatnonzero(y == label)[::2]] = True
     if not all(0 < y[x].sum() < x.sum() for x in (half, ~half)):
         return None
-    counts, n = [Counter(), Counter()], [0, 0]
-    for (label, text), h in zip(rows, half):
-        if h:
-            counts[label].update(_stems(text))
-            n[label] += 1
-    plain = b"".join(w for (label, text), h in zip(rows, half) if h and not label for w in windows(text)[:8])
-    texts, z = [t for (_, t), h in zip(rows, half) if not h], y[~half]
-    share = z.mean()
-    weight = np.where(z == 1, 0.5 / share, 0.5 / (1 - share))
+    parts = [windows(t) for _, t in rows]
+    toxic = [p for p, label, h in zip(parts, y, half) if h and label]
+    plain = [w for p, label, h in zip(parts, y, half) if h and not label for w in p]
+    texts, z = [p for p, h in zip(parts, half) if not h], y[~half]
+    base = train(plain[::2], base_size, segment=32)
+    usual = [plain[1::4], plain[3::4]]
+    of_part = [[w for p in toxic[i::2] for w in p] for i in (0, 1)]
+    picked, hard = [], [[], []]
+    plain_codec = _codec(base)
+    for part in of_part:
+        cost = _lengths(plain_codec, part) / np.array([len(w) for w in part])
+        picked.append([part[i] for i in np.flatnonzero(cost >= np.median(cost))] if part else [])
     best = None
-    for level in least:
-        m = _dictionaries(counts, n, plain[:COMMON_BYTES], level, ratio)
-        x = _distance(texts, *_codecs(m))
-        m["mean"], m["sd"] = x.mean(0), x.std(0) + 1e-9
-        x = (x - m["mean"]) / m["sd"]
-        m["beta"] = _logistic(x, z, weight)
-        p = 1 / (1 + np.exp(-np.clip(np.column_stack([np.ones(len(x)), x]) @ m["beta"], -30, 30)))
-        loss = -(weight * np.log(np.where(z == 1, p, 1 - p) + 1e-12)).sum()
+    for _ in range(rounds):
+        tried = [(*_calibrated(_pair(picked[0] + picked[1], hard[0] + hard[1], base, size, tail, segment), texts, z), tail)
+                 for tail in tails]
+        loss, model, tail = min(tried, key=lambda t: t[0])
         if best is None or loss < best[0]:
-            best = (loss, m)
+            best = (loss, model)
+        now = list(picked)
+        for i in (0, 1):  # one part's dictionary measures the other's windows
+            part, other = of_part[1 - i], usual[1 - i]
+            if not picked[i] or not part:
+                continue
+            codecs = _codecs(_pair(picked[i], hard[i], base, size, tail, segment))
+            saved, common = _saved(codecs, part), _saved(codecs, other)
+            new = [part[j] for j in np.flatnonzero(_chosen(saved, common, contrast))]
+            if len(new) > 10:
+                now[1 - i] = new
+            hard[1 - i] += [other[j] for j in np.flatnonzero(common >= 2)]
+        picked = now
     return best[1]
 
 
 def _scores(m: dict | None, texts: list, codecs) -> np.ndarray:
     if m is None:
         return np.zeros(len(texts))
-    x = _distance(texts, *codecs)
+    x = _distance([windows(t) for t in texts], codecs)
     z = np.column_stack([np.ones(len(x)), (x - m["mean"]) / m["sd"]]) @ m["beta"]
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -173,18 +190,16 @@ def _fitted(docs: DataFrame, labels: DataFrame, train_docs: int, train_chars: in
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
     known = (labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold != 1))
              .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")))
-    counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    model = None
-    if counts.get(0) and counts.get(1):
-        place = F.abs(F.xxhash64("doc_id", F.lit(9)) % 1000000)
-        share = F.when(F.col("toxic") == 1, min(1.0, train_docs / counts[1]) * 1e6).otherwise(
-            min(1.0, train_docs / counts[0]) * 1e6)
-        picked = F.broadcast(known.filter(place < share))  # about train_docs rows per class
-        rows = (docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull())
-                .join(picked, "doc_id")
-                .select("toxic", F.substring("text", 1, train_chars).alias("text"),
-                        F.xxhash64("doc_id", F.lit(13)).alias("o")).collect())
-        model = fit_zstd([(r["toxic"], r["text"]) for r in sorted(rows, key=lambda r: (r["o"], r["text"]))])
+    place = F.xxhash64("doc_id", F.lit(9))
+    picked = None
+    for label in (0, 1):  # the first by hash: the same bound at every size of the labels
+        first = known.filter(F.col("toxic") == label).orderBy(place, "doc_id").limit(train_docs)
+        picked = first if picked is None else picked.unionByName(first)
+    rows = (docs.select("doc_id", F.substring(F.col("text").cast("string"), 1, train_chars).alias("text"))
+            .filter(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id")  # 2 * train_docs rows
+            .groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+            .select("toxic", "text", F.xxhash64("doc_id", F.lit(13)).alias("o")).collect())
+    model = fit_zstd([(r["toxic"], r["text"]) for r in sorted(rows, key=lambda r: (r["o"], r["text"]))])
     return docs.sparkSession.sparkContext.broadcast(model)
 
 
@@ -196,10 +211,10 @@ def zstd_toxicity(docs: DataFrame, labels: DataFrame, train_docs: int = 1500, tr
 
     def run(batches):
         codecs = _codecs(shared.value)
-        for batch in batches:
-            score = _scores(shared.value, batch.column("text").to_pylist(), codecs)
+        for part in (p for batch in batches for p in slices(batch)):
+            score = _scores(shared.value, part.column("text").to_pylist(), codecs)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(score),
+                [part.column("doc_id"), part.column("held_out"), pa.array(score),
                  pa.array((score >= threshold).astype(np.int32))],
                 names=["doc_id", "held_out", "score", "predicted"])
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
@@ -216,7 +231,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, train_docs: int = 1500, train
 
     def run(batches):
         codecs = _codecs(shared.value)
-        for batch in batches:
-            score = _scores(shared.value, batch.column("text").to_pylist(), codecs)
-            yield batch.filter(pa.array(score < threshold))
+        for part in (p for batch in batches for p in slices(batch)):
+            score = _scores(shared.value, part.column("text").to_pylist(), codecs)
+            yield part.filter(pa.array(score < threshold))
     return docs.mapInArrow(run, docs.schema)

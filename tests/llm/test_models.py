@@ -11,7 +11,7 @@ from carelens.llm.crf_lang import crf_language, fit_crf, _emissions, _posteriors
 from carelens.llm.line_rules import line_rules
 from carelens.llm.suffix_tree_lm import suffix_tree_lm
 from carelens.llm.text import Words, rolling
-from carelens.llm.zstd_toxicity import drop_toxic, zstd_toxicity
+from carelens.llm.zstd_toxicity import _codecs, _scores, drop_toxic, fit_zstd, windows, zstd_toxicity
 from tests.llm import brute
 
 
@@ -142,6 +142,39 @@ def test_toxicity(spark, make, toxic_rows):
     assert zstd_toxicity(make([]), labels).count() == 0
 
 
+def test_toxic_dictionary_is_trained_on_toxic_text(toxic_rows):
+    m = fit_zstd([(y, t) for _, t, y in toxic_rows])
+    bad = {w[i:i + 6] for w in (b"nastyword", b"vileterm", b"foulthing") for i in range(len(w) - 5)}
+    assert m["toxic"].endswith(m["ordinary"])
+    own = m["toxic"][:-len(m["ordinary"])]
+    assert any(x in own for x in bad) and not any(x in m["ordinary"] for x in bad)
+
+
+def test_toxicity_score_is_the_plain_one(toxic_rows):
+    import zstandard
+    m = fit_zstd([(y, t) for _, t, y in toxic_rows])
+    p = zstandard.ZstdCompressionParameters.from_level(3, min_match=5, strategy=zstandard.STRATEGY_LAZY,
+                                                       write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    def size(dictionary, window):
+        raw = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=raw, compression_params=p).compress(window))
+    texts = [t for _, t, _ in toxic_rows[:12]] + ["", None]
+    for text, got in zip(texts, _scores(m, texts, _codecs(m))):
+        d = [size(m["ordinary"], w) - size(m["toxic"], w) for w in windows(text)]
+        x = [min(max(d), 12), sum(min(max(v, -4), 12) for v in d) / len(d),
+             *(sum(v >= n for v in d) / len(d) for n in range(2, 7)), math.log(1 + len(d))]
+        z = m["beta"][0] + sum(b * (v - mu) / sd for b, v, mu, sd in zip(m["beta"][1:], x, m["mean"], m["sd"]))
+        assert abs(got - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_toxicity_learns_from_few_and_repeated_rows(spark, make):
+    rows = [(i, f"plain words number {i} and more of them") for i in range(1, 40)] + [(1, "plain words again")] * 50
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(1, 40)], "doc_id long, toxic int")
+    got = zstd_toxicity(make(rows), labels).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+
+
 def test_line_rules(make, corpus):
     junk = [(5001, "a# b$ c% d& e* f# g$ h% i& j* k#"), (5002, "Home | About | Contact | Help | News | Map"),
             (5003, "A fine line of prose that says a thing, and ends well.\n" + "HOME! BUY! NOW! " * 20),
