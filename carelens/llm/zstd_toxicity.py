@@ -10,16 +10,16 @@ A toxic document is ordinary in most of its windows, so the windows to train on
 are chosen in rounds, starting from those that the ordinary dictionary compresses
 worst. In each round the toxic documents are cut in two parts; the dictionary of
 one part measures the windows of the other, and a window stays if its saving is
-``contrast`` times as common there as in ordinary documents that took no part in
-training (a window never judges itself). Ordinary windows with a saving become
-training text of the ordinary dictionary. zstandard puts the most valuable
-segments last, so a shorter tail of a trained dictionary is a stricter one.
+``contrast`` times as common there as in ordinary documents (a window never
+judges itself). Of a trained toxic dictionary the stretches stay that clearly
+more toxic than ordinary documents hold (``typical``), as zstandard's training
+values what is frequent, whether it is typical or not.
 
 The savings of a document's windows are summed up (largest, mean, shares of
 windows from 2 to 6 bytes on) and calibrated to a probability by logistic
-regression on training documents that did not go into the dictionaries; of all
-rounds and tails the pair with the smallest loss there is taken. ``threshold``
-turns the probability into a decision.
+regression on training documents that did not go into the dictionaries, classes
+weighing the same; of the rounds the one with the smallest loss there is taken.
+``threshold`` turns the probability into a decision.
 
 Fitting uses a bounded sample: the first ``train_docs`` labelled documents per
 class in the order of a 64-bit hash of the id, ``train_chars`` characters of
@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 from carelens.llm.text import slices
 
 WINDOW = 24
+GRAM = 6
 _SPLIT = re.compile(rb"[^a-z0-9\x80-\xff]+")
 
 
@@ -76,17 +77,13 @@ def _lengths(codec, parts: list[bytes]) -> np.ndarray:
     return np.array([len(codec.compress(w)) for w in parts], float)
 
 
-def _saved(codecs, parts: list[bytes]) -> np.ndarray:
-    """Bytes that each window is shorter with the toxic dictionary."""
+def _distance(texts: list[list[bytes]], codecs, plain: list | None = None) -> np.ndarray:
+    """Features of each text, given as its windows; ``plain``: their lengths under
+    the ordinary dictionary, where they are known."""
     toxic, ordinary = codecs
-    return _lengths(ordinary, parts) - _lengths(toxic, parts)
-
-
-def _distance(texts: list[list[bytes]], codecs) -> np.ndarray:
-    """Features of each text, given as its windows."""
     out = np.zeros((len(texts), 8))
     for r, parts in enumerate(texts):
-        d = _saved(codecs, parts)
+        d = (_lengths(ordinary, parts) if plain is None else plain[r]) - _lengths(toxic, parts)
         out[r] = (min(d.max(), 12.0), np.clip(d, -4, 12).mean(), *((d >= n).mean() for n in range(2, 7)),
                   np.log1p(len(d)))
     return out
@@ -103,17 +100,51 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return b
 
 
-def _pair(toxic: list[bytes], hard: list[bytes], base: bytes, size: int, tail: int, segment: int) -> dict:
-    """Both dictionaries: the ordinary one again holds the ordinary windows that looked toxic."""
-    ordinary = (train(hard, 4 * size, segment) if len(hard) > 50 else b"") + base
-    return {"toxic": train(toxic, size, segment)[-tail:] + ordinary, "ordinary": ordinary}
+def _grams(text: bytes) -> np.ndarray:
+    """The six bytes from each position on, as numbers."""
+    x = np.frombuffer(text, np.uint8).astype(np.uint64)
+    n = max(len(x) - GRAM + 1, 0)
+    out = np.zeros(n, np.uint64)
+    for i in range(GRAM):
+        out = out << np.uint64(8) | x[i:i + n]
+    return out
+
+
+def _docs_with(grams: np.ndarray, docs: list[list[bytes]]) -> np.ndarray:
+    """Number of documents that hold each of the (sorted) grams."""
+    out = np.zeros(len(grams), np.int64)
+    for parts in docs:
+        g = np.unique(_grams(b"".join(parts)))
+        at = np.minimum(np.searchsorted(grams, g), len(grams) - 1)
+        out[at[grams[at] == g]] += 1
+    return out
+
+
+def typical(dictionary: bytes, toxic: list[list[bytes]], plain: list[list[bytes]], ratio: float) -> bytes:
+    """The stretches of a trained dictionary that toxic documents hold clearly more often."""
+    g = _grams(dictionary)
+    if not len(g):
+        return b""
+    u = np.unique(g)
+    a, b = _docs_with(u, toxic), _docs_with(u, plain)
+    good = (a >= 3) & ((a - 1.5 * np.sqrt(a)) / max(len(toxic), 1) > ratio * (b + 0.5) / max(len(plain), 1))
+    keep = np.zeros(len(dictionary) + 1, bool)
+    for i in np.flatnonzero(good[np.searchsorted(u, g)]):
+        keep[i:i + GRAM] = True
+    edge = np.flatnonzero(np.diff(keep.astype(np.int8), prepend=0))
+    return b"\n".join(dict.fromkeys(dictionary[i:j] for i, j in zip(edge[::2], edge[1::2])))
+
+
+def _pair(part: list[bytes], base: bytes, size: int, segment: int, toxic, plain, ratio: float) -> dict:
+    """Both dictionaries; the toxic one is trained on the windows of ``part``."""
+    return {"toxic": typical(train(part, size, segment), toxic, plain, ratio) + b"\n" + base, "ordinary": base}
 
 
-def _calibrated(m: dict, texts, z: np.ndarray) -> tuple[float, dict]:
+def _calibrated(m: dict, texts, plain, z: np.ndarray) -> tuple[float, dict]:
     """Logistic regression on the distances, classes weighing the same, and its loss."""
     share = z.mean()
     weight = np.where(z == 1, 0.5 / share, 0.5 / (1 - share))
-    x = _distance(texts, _codecs(m))
+    x = _distance(texts, _codecs(m), plain)
     m = m | {"mean": x.mean(0), "sd": x.std(0) + 1e-9}
     x = (x - m["mean"]) / m["sd"]
     m["beta"] = _logistic(x, z, weight)
@@ -129,7 +160,7 @@ def _chosen(saved: np.ndarray, usual: np.ndarray, contrast: float) -> np.ndarray
     return saved >= 4
 
 
-def fit_zstd(rows: list[tuple[int, str]], rounds: int = 3, size: int = 4_000, tails: tuple = (800, 1200, 2000),
+def fit_zstd(rows: list[tuple[int, str]], rounds: int = 3, size: int = 4_000, ratio: float = 3.0,
              base_size: int = 60_000, segment: int = 12, contrast: float = 12.0) -> dict | None:
     """Dictionaries and calibration from (label, text) rows. One half of the rows
     makes the dictionaries, the other the calibration."""
@@ -141,34 +172,34 @@ def fit_zstd(rows: list[tuple[int, str]], rounds: int = 3, size: int = 4_000, ta
         return None
     parts = [windows(t) for _, t in rows]
     toxic = [p for p, label, h in zip(parts, y, half) if h and label]
-    plain = [w for p, label, h in zip(parts, y, half) if h and not label for w in p]
+    plain = [p for p, label, h in zip(parts, y, half) if h and not label]
     texts, z = [p for p, h in zip(parts, half) if not h], y[~half]
-    base = train(plain[::2], base_size, segment=32)
-    usual = [plain[1::4], plain[3::4]]
+    base = train([w for p in plain[::2] for w in p], base_size, segment=32)
+    usual = [w for p in plain[1::2] for w in p]
     of_part = [[w for p in toxic[i::2] for w in p] for i in (0, 1)]
-    picked, hard = [], [[], []]
-    plain_codec = _codec(base)
-    for part in of_part:
-        cost = _lengths(plain_codec, part) / np.array([len(w) for w in part])
+    codec = _codec(base)
+    before, usual_before = [_lengths(codec, part) for part in of_part], _lengths(codec, usual)
+    texts_before = [_lengths(codec, p) for p in texts]
+    picked = []
+    for part, cost in zip(of_part, before):
+        cost = cost / np.array([len(w) for w in part])
         picked.append([part[i] for i in np.flatnonzero(cost >= np.median(cost))] if part else [])
     best = None
     for _ in range(rounds):
-        tried = [(*_calibrated(_pair(picked[0] + picked[1], hard[0] + hard[1], base, size, tail, segment), texts, z), tail)
-                 for tail in tails]
-        loss, model, tail = min(tried, key=lambda t: t[0])
+        m = _pair(picked[0] + picked[1], base, size, segment, toxic, plain, ratio)
+        loss, m = _calibrated(m, texts, texts_before, z)
         if best is None or loss < best[0]:
-            best = (loss, model)
+            best = (loss, m)
         now = list(picked)
         for i in (0, 1):  # one part's dictionary measures the other's windows
-            part, other = of_part[1 - i], usual[1 - i]
+            part = of_part[1 - i]
             if not picked[i] or not part:
                 continue
-            codecs = _codecs(_pair(picked[i], hard[i], base, size, tail, segment))
-            saved, common = _saved(codecs, part), _saved(codecs, other)
-            new = [part[j] for j in np.flatnonzero(_chosen(saved, common, contrast))]
+            codec, _ = _codecs(_pair(picked[i], base, size, segment, toxic[i::2], plain, ratio))
+            saved = before[1 - i] - _lengths(codec, part)
+            new = [part[j] for j in np.flatnonzero(_chosen(saved, usual_before - _lengths(codec, usual), contrast))]
             if len(new) > 10:
                 now[1 - i] = new
-            hard[1 - i] += [other[j] for j in np.flatnonzero(common >= 2)]
         picked = now
     return best[1]
 
