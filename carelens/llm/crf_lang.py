@@ -15,7 +15,7 @@ matrices are multiplied up, which is exact, so memory is bounded by a slice.
 
 Edge cases: a null text, or one without any letter, gives ``und`` with score 0;
 with no learnable row every text gives ``und``; ties go to the language first in
-order; rows that repeat a doc_id are judged each for itself; extra columns are
+order; rows that repeat a doc_id are judged each for itself and learned from once per language; extra columns are
 ignored.
 """
 
@@ -235,10 +235,16 @@ def _predict(model):
     return run
 
 
+def share_of(count: int, wanted: int) -> int:
+    """Largest of the 63-bit hashes so that about ``wanted`` of ``count`` rows are not above it."""
+    return (1 << 63) - 1 if count <= wanted else (wanted << 63) // count
+
+
 def crf_language(docs: DataFrame, train_segments: int = 1500, segment_chars: int = 300) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every document; rows whose
     crc32(doc_id) mod 4 is 2 are held out from learning."""
     spark = docs.sparkSession
+    kind = dict(docs.dtypes)["doc_id"]
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     docs = docs.withColumn("held_out", F.coalesce(
         F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False)))
@@ -247,13 +253,14 @@ def crf_language(docs: DataFrame, train_segments: int = 1500, segment_chars: int
     langs = sorted(counts)
     model = {"langs": []}
     if langs:
-        place = F.abs(F.xxhash64("doc_id", F.lit(3)) % 1000000)
-        share = F.create_map(*[F.lit(x) for c in langs for x in (c, int(min(1.0, train_segments / counts[c]) * 1e6))])
+        place = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(3)), 1)
+        share = F.create_map(*[F.lit(x) for c in langs for x in (c, share_of(counts[c], train_segments))])
         at = 1 + F.pmod(F.xxhash64("doc_id", F.lit(5)),
                         F.greatest(F.char_length("text") - segment_chars, F.lit(1)).cast("long"))
-        rows = (learn.filter(place < share[F.col("lang")])
-                .select("lang", F.substring("text", at.cast("int"), F.lit(segment_chars)).alias("t")).collect())
+        rows = (learn.filter(place <= share[F.col("lang")].cast("long"))
+                .select("lang", "doc_id", F.substring("text", at.cast("int"), F.lit(segment_chars)).alias("t"))
+                .groupBy("lang", "doc_id").agg(F.min("t").alias("t")).collect())  # a repeated id counts once
         model = fit_crf(sorted((r["lang"], r["t"]) for r in rows), langs)
     return (docs.select("doc_id", "held_out", "text")
             .mapInArrow(_predict(spark.sparkContext.broadcast(model)),
-                        "doc_id long, held_out boolean, lang_pred string, score double"))
+                        f"doc_id {kind}, held_out boolean, lang_pred string, score double"))

@@ -7,7 +7,7 @@ from zlib import crc32
 import numpy as np
 import pytest
 
-from carelens.llm.crf_lang import crf_language, fit_crf, _emissions, _posteriors
+from carelens.llm.crf_lang import crf_language, fit_crf, share_of, _emissions, _posteriors
 from carelens.llm.line_rules import line_rules
 from carelens.llm.suffix_tree_lm import suffix_tree_lm
 from carelens.llm.text import Words, rolling
@@ -84,6 +84,19 @@ def test_language_odd_rows(make, corpus):
     assert {r.lang_pred for r in crf_language(make([(2, "a b"), (4, "c")])).collect()} == {"und"}  # no lang known
 
 
+def test_language_sample_holds_at_any_size():
+    for count in (1_000_000, 2_000_000_000, 50_000_000_000):
+        assert abs(share_of(count, 1500) / 2**63 * count - 1500) < 0.01
+    assert share_of(1500, 1500) == share_of(1, 1500) == 2**63 - 1
+
+
+def test_language_takes_any_id_and_repeated_rows(spark):
+    rows = [(f"d{i}", "ab ba abba ab" if i % 2 else "xy yx xyxy yx", "a" if i % 2 else "b") for i in range(60)]
+    got = crf_language(spark.createDataFrame(rows + rows[:1] * 50, "doc_id string, text string, lang string")).collect()
+    want = {d: lang for d, _, lang in rows}
+    assert len(got) == 110 and all(r.lang_pred == want[r.doc_id] for r in got)
+
+
 def test_posteriors_match_plain_forward_backward():
     import pyarrow as pa
     rng = np.random.default_rng(3)
