@@ -3,8 +3,8 @@
 Every block of rows (an Arrow batch) comes out once as it is and once per feature with
 that feature's values permuted inside the block, without a shuffle; the seed of a
 block's permutation is the feature and a digest of the block's labels and values, so a
-retried task permutes alike. All versions are scored by one Column expression and
-their AUCs come from one grouped cumulation.
+retried task permutes alike. All versions are scored by one Column expression, once,
+and their AUCs come from one grouped cumulation over the cached scores.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,11 +39,17 @@ def _versions(features: list[str], label: str, seed: int):
 def permutation_importance(df: DataFrame, features: list[str], label: str, score: Column, seed: int = 42,
                            scale: int = 6) -> DataFrame:
     """(feature, auc, auc_drop, rank), largest drop first (ties by name). ``score`` is an expression over the
-    features; rows with a NULL label or feature are left out. An AUC that is undefined gives NULLs."""
+    features; rows with a NULL label or feature are left out. An AUC that is undefined gives NULLs.
+    The cached scores are released before this returns; only a row per version comes to the driver."""
     rows = df.select(F.col(label).cast("double").alias(label), *[F.col(c).cast("double").alias(c) for c in features]).dropna()
     schema = f"version int, `{label}` double, " + ", ".join(f"`{c}` double" for c in features)
     versions = rows.mapInArrow(_versions(features, label, seed), schema)
-    aucs = grouped_auc(versions.withColumn("_score", score), ["version"], "_score", label, scale=12)
+    scored = versions.select("version", label, score.alias("_score")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        aucs = grouped_auc(scored, ["version"], "_score", label, scale=12)
+        aucs = df.sparkSession.createDataFrame(aucs.collect(), aucs.schema)
+    finally:
+        scored.unpersist()
     whole = Window.partitionBy()  # one row per feature
     base = F.max(F.when(F.col("version") == -1, F.col("auc"))).over(whole)
     name = F.element_at(F.array(*[F.lit(c) for c in features]), F.col("version") + 1)

@@ -110,3 +110,16 @@ def test_permutation_ranks_a_useless_feature_last(frame):
     assert drop["c"] == 0 and drop["a"] > drop["b"] > 0.01
     again = permutation_importance(frame, ["a", "b", "c"], "y", score).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+
+
+def test_permutation_scores_each_row_once(spark, frame):
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        calls.add(1)
+        return x
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    score = F.udf(counted, "double")(F.col("a"))
+    got = permutation_importance(frame, ["a", "b"], "y", score).collect()
+    assert len(got) == 2 and calls.value == 3 * 900
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before  # the cached scores are released
