@@ -112,6 +112,37 @@ def test_permutation_ranks_a_useless_feature_last(frame):
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
 
 
+def test_boosting_trains_on_few_partitions_and_every_row(spark, monkeypatch):
+    rows = spark.range(900).selectExpr("id", "id % 2 AS y").repartition(40)
+    cores = spark.sparkContext.defaultParallelism
+    few = ml.boosting_frame(rows, 900)
+    assert few.rdd.getNumPartitions() == min(cores, 40) and few.distinct().count() == 900
+    monkeypatch.setattr(ml, "BOOSTING_ROWS", 900 // 30)
+    assert ml.boosting_frame(rows, 900).rdd.getNumPartitions() == max(cores, 30)  # more rows, more tasks
+    monkeypatch.setattr(ml, "BOOSTING_ROWS", 1)
+    assert ml.boosting_frame(rows, 900).rdd.getNumPartitions() == 40
+
+
+def test_each_model_is_fitted_once_and_only_boosting_on_few_partitions(spark, frame, monkeypatch):
+    fits = []
+
+    class Fit:
+        def __init__(self, name):
+            self.name = name
+
+        def fit(self, train):
+            fits.append((self.name, train.rdd.getNumPartitions(), train.count()))
+            return self.name
+    monkeypatch.setattr(ml, "estimators", lambda n: {k: Fit(k) for k in ("logistic_regression", "random_forest", "gradient_boosting")})
+    models = object.__new__(ml.ReadmissionModels)
+    models.data = models.train = frame.repartition(40)
+    models._models, models._scores = {}, {}
+    for name in ("random_forest", "gradient_boosting", "random_forest", "logistic_regression", "gradient_boosting"):
+        assert models.model(name) == name
+    cores = spark.sparkContext.defaultParallelism
+    assert sorted(fits) == [("gradient_boosting", min(cores, 40), 900), ("logistic_regression", 40, 900), ("random_forest", 40, 900)]
+
+
 def test_permutation_scores_each_row_once(spark, frame):
     calls = spark.sparkContext.accumulator(0)
 
