@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from carelens.operators import ml
 from carelens.operators.crossval import cross_validate, fold_of, grouped_auc
+from carelens.operators.evaluation import auc as auc_of
 from carelens.operators.importance import permutation_importance
 from carelens.operators.newton import newton_logistic
 from carelens.operators.scoring import compiled_score, linear_score
@@ -154,3 +155,21 @@ def test_permutation_scores_each_row_once(spark, frame):
     got = permutation_importance(frame, ["a", "b"], "y", score).collect()
     assert len(got) == 2 and calls.value == 3 * 900
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == before  # the cached scores are released
+
+
+def test_evaluations_read_cached_scores(spark, frame, monkeypatch):
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        calls.add(1)
+        return x
+    monkeypatch.setattr(ml, "FEATURES", ["a"])
+    monkeypatch.setattr(ml, "LABEL", "y")
+    models = object.__new__(ml.ReadmissionModels)
+    models.data = models.test = frame.withColumnRenamed("id", "encounter_id")
+    models._models, models._scored, models._scores = {}, {}, {"random_forest": F.udf(counted, "double")(F.col("a"))}
+    assert auc_of(models.scored_test("random_forest"), "risk_score", "y").first()["n_pos"] > 0
+    assert auc_of(models.scored_test("random_forest"), "risk_score", "y").first()["auc"] > 0.5
+    assert calls.value == 900
+    models.release()
+    assert not models._scored
