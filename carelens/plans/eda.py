@@ -96,8 +96,11 @@ QUARTILES = [0.25, 0.5, 0.75]
 
 def _quartiles(df: DataFrame, group: str, value: str, scale: int) -> DataFrame:
     q = exact_quantiles(df.where(F.col(group).isNotNull()), [group], value, QUARTILES)
-    return q.select(group, "n", *[F.round(F.get("quantiles", F.lit(i)), scale).alias(name) for i, name in enumerate(("q1", "median", "q3"))],
-                    F.round(F.get("quantiles", F.lit(2)) - F.get("quantiles", F.lit(0)), scale).alias("iqr")).orderBy(group)
+    q1, median, q3 = (F.get("quantiles", F.lit(i)) for i in range(3))
+    # a quarter of the way between two amounts in cents often ends in a half: rounded as a double, like in the SQL form
+    unit = F.lit(10.0 ** scale)
+    named = {"q1": q1, "median": median, "q3": q3, "iqr": q3 - q1}
+    return q.select(group, "n", *[(F.round(x * unit) / unit).alias(name) for name, x in named.items()]).orderBy(group)
 
 
 def charges_quartiles(t: CareTables) -> DataFrame:
