@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carelens.llm.components import components, linked, prefix_groups
-from carelens.llm.store import stored
+from carelens.llm.store import discard, stored
 from carelens.llm.text import Words, base_columns, mix, rolling, signed, slices
 
 SHINGLE = 5
@@ -174,7 +174,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 16, wi
     crowded = placed.join(split, "bucket", "left_semi").select(F.col("node").alias("doc_id")).distinct()
     tokens = stored(texts.join(crowded, "doc_id", "left_semi").mapInArrow(_tokens, "node long, size long, token long"))
     groups = stored(prefix_groups(tokens, threshold))
-    roots = linked(groups, lambda more: _verified(more, texts, threshold), pairs, links, threshold)
+    discard(tokens)
+    roots = linked(groups, lambda more: _verified(more, texts, threshold), pairs, from_links, threshold)
     reps = copies.select("a", "b", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
         "a", "b", "rep", F.coalesce("root", "rep").alias("root"))
     named = signed_docs.filter("size > 0").join(reps, ["a", "b"]).groupBy("doc_id").agg(

@@ -165,3 +165,44 @@ def test_very_long_text_of_repeated_lines(spark):
     text = "\n".join(f"line {i % 977} of a text" for i in range(80_000))
     (r,) = dedup_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
     assert (r.n_lines, r.n_lines - r.n_removed) == (80_000, len(r.text.split("\n"))) and r.n_removed >= 79_023
+
+
+def test_components_of_stars_are_written_once(spark, monkeypatch):
+    import carelens.llm.components as module
+    tables = []
+    monkeypatch.setattr(module, "stored", lambda df: tables.append(df) or df)
+    got = {r.node: r.root for r in components(spark.createDataFrame([(5, 1), (1, 6), (9, 8)], "u long, v long")).collect()}
+    assert got == {5: 1, 6: 1, 1: 1, 9: 8, 8: 8} and len(tables) == 1
+
+
+def test_prefix_groups_have_a_row_per_shared_element(spark):
+    from carelens.llm.components import prefix_groups
+    sets = {n: [*range(100), 1000 + n] for n in range(4)}
+    rows = [(n, len(s), t) for n, s in sets.items() for t in s]
+    got = prefix_groups(spark.createDataFrame(rows, "node long, size long, token long"), 0.8).collect()
+    # place 0 is the element of its own, places 1 to 20 are the only ones that can be the first in common
+    assert sorted((r.node, r.place) for r in got) == [(n, p) for n in range(4) for p in range(1, 21)]
+
+
+def test_lines_of_compared_buckets_are_not_placed_anew(make, monkeypatch):
+    import carelens.llm.fuzzy_lines as module
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    rows = []
+    for i in range(40):  # two lines with most shingles in common, but fewer than it takes
+        common = " ".join(word() for _ in range(20))
+        rows += [(2 * i, f"{common} {word()} {word()} {word()}"), (2 * i + 1, f"{common} {word()} {word()} {word()}")]
+    placed = []
+    whole = module.prefix_groups
+    monkeypatch.setattr(module, "prefix_groups", lambda tokens, *rest: placed.append(tokens.count()) or whole(tokens, *rest))
+    got = dedup_lines(make(rows)).collect()
+    assert placed == [0]
+    assert sorted(r.doc_id for r in got if r.n_removed) == sorted(brute.lines_removed(rows))
+
+
+def test_short_lines_share_a_band(make):
+    # sets of 4 to 6 shingles that differ in one of them, and long lines of few different shingles
+    rows = [(i, "abcdefghijklm"[:11 + i % 3] + ("" if i < 3 else "\n" + "ab" * (40 + i))) for i in range(9)]
+    rows += [(20, "qrstuvwxyzab"), (21, "xqrstuvwxyzab"), (22, "qrstuvwxyza"), (23, "z" * 300), (24, "z" * 301)]
+    got = {r.doc_id: r.n_removed for r in dedup_lines(make(rows)).collect()}
+    assert got == {d: len(brute.lines_removed(rows).get(d, [])) for d, _ in rows}
