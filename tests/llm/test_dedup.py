@@ -189,9 +189,9 @@ def test_lines_of_compared_buckets_are_not_placed_anew(make, monkeypatch):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
     rows = []
-    for i in range(40):  # two lines with most shingles in common, but fewer than it takes
+    for i in range(40):  # three lines with most shingles in common, but fewer than it takes
         common = " ".join(word() for _ in range(20))
-        rows += [(2 * i, f"{common} {word()} {word()} {word()}"), (2 * i + 1, f"{common} {word()} {word()} {word()}")]
+        rows += [(3 * i + j, f"{common} {word()} {word()} {word()}") for j in range(3)]
     placed = []
     whole = module.prefix_groups
     monkeypatch.setattr(module, "prefix_groups", lambda tokens, *rest: placed.append(tokens.count()) or whole(tokens, *rest))
