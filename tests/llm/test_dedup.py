@@ -206,3 +206,24 @@ def test_short_lines_share_a_band(make):
     rows += [(20, "qrstuvwxyzab"), (21, "xqrstuvwxyzab"), (22, "qrstuvwxyza"), (23, "z" * 300), (24, "z" * 301)]
     got = {r.doc_id: r.n_removed for r in dedup_lines(make(rows)).collect()}
     assert got == {d: len(brute.lines_removed(rows).get(d, [])) for d, _ in rows}
+
+
+def test_pairs_of_small_buckets_are_compared_without_tokens(make, monkeypatch):
+    import carelens.llm.fuzzy_lines as module
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    rows = []
+    for i in range(20):  # six lines with most shingles in common, of which the last two are near
+        common, near = " ".join(word() for _ in range(20)), f"{word()} {word()} {word()}"
+        rows += [(6 * i + j, f"{common} " + (near + "x" * j if j > 3 else f"{word()} {word()} {word()}")) for j in range(6)]
+    placed = []
+    whole = module.prefix_groups
+    monkeypatch.setattr(module, "prefix_groups", lambda tokens, *rest: placed.append(tokens.count()) or whole(tokens, *rest))
+    want = brute.lines_removed(rows)
+    assert len(want) == 20
+    assert sorted(r.doc_id for r in dedup_lines(make(rows)).collect() if r.n_removed) == sorted(want)
+    assert placed == [0]
+    lines = module._lines(make(rows)).groupBy("a").agg(F.first("form").alias("form"))
+    for small in (0, 64):  # whichever way they are compared
+        assert module.line_groups(lines, small=small).count() == 40
+    assert placed[0] == 0 < placed[1] and placed[2] == 0
